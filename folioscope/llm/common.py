@@ -73,13 +73,14 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, salt: Column
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), key, "left")
     names = [c for c in small.columns if c != key]
+    text = F.hex(key) if dict(small.dtypes)[key] == "binary" else F.col(key).cast("string")
     total = small.agg(F.sum(weight)).first()[0]
     bound = max(10_000, total // HOT_SHARE + 1)
     hot = small.where(F.col(weight) >= bound).select(key, *(F.col(c).alias(f"__hot_{c}") for c in names))
-    cold = small.where(F.col(weight) < bound).select(F.concat(F.lit("c"), F.col(key).cast("string")).alias("__key"), *(F.col(c).alias(f"__cold_{c}") for c in names))
+    cold = small.where(F.col(weight) < bound).select(F.concat(F.lit("c"), text).alias("__key"), *(F.col(c).alias(f"__cold_{c}") for c in names))
     hit = F.col(f"__hot_{weight}").isNotNull()
     both = big.join(F.broadcast(hot), key, "left")
-    both = both.withColumn("__key", F.when(hit | F.col(key).isNull(), F.concat(F.lit("h"), F.xxhash64(salt).cast("string"))).otherwise(F.concat(F.lit("c"), F.col(key).cast("string"))))
+    both = both.withColumn("__key", F.when(hit | F.col(key).isNull(), F.concat(F.lit("h"), F.xxhash64(salt).cast("string"))).otherwise(F.concat(F.lit("c"), text)))
     both = both.join(cold, "__key", "left")
     return both.select(*big.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names))
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, simhash, url_filter, warc
+from . import exact_dedup, media, mixing, pii_surrogates, secret_forest, sentencepiece_topk, simhash, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_topk.encode(table(spark, sf_dir, "documents"), k=2)
+
+
 #: The contract's rules; longer ones win.
 DOMAIN_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: What the method itself blocks where no rule fits: globs over host and path.
@@ -41,6 +45,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(hos
 """
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count", "pii_kinds")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -77,6 +85,11 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND
 """
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_forest.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "nth", "start", "length", "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -94,5 +107,10 @@ m AS (SELECT d.doc_id, d.size, t.z AS source_size, t.target, CASE WHEN t.z > 0 T
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_exact_dedup, op5_simhash, op6_media, op7_warc, op9_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_pii_surrogates, op4_exact_dedup, op5_simhash, op6_media, op7_warc, op8_secret_forest, op9_mixing, op10_toxicity)}
 SQL = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
