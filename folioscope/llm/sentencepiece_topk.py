@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -477,7 +478,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "id
     path = model_file or default_model()
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(ids: pd.Series) -> pd.Series:
         model = pieces(path, 1.0)
         return ids.map(lambda x: None if x is None else model.decode(x.tolist()))
 

@@ -1,0 +1,50 @@
+import re
+
+import numpy as np
+
+from folioscope.llm import secret_forest as S
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    trees = S.trained(spark)
+    table = S.findings_table(spark, S.labelled_findings(600, seed=99))
+    score = "(" + " + ".join(f"({t})" for t in trees) + f") / {len(trees)}D"
+    got = table.selectExpr("label", f"{score} >= 0.5 AS hit").collect()
+    assert sum(r.hit == bool(r.label) for r in got) >= 0.95 * len(got)
+
+
+def test_trees_as_sql_are_the_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((200, len(S.FEATURES)))
+    y = (x[:, 0] + x[:, 3] > 1).astype(float)
+    trees = S.forest(x, y, trees=3, depth=4)
+    rows = spark.createDataFrame([(tuple(map(float, r)),) for r in x], "f struct<" + ", ".join(f"{n}: double" for n in S.FEATURES) + ">")
+    for t in trees:
+        got = [r[0] for r in rows.selectExpr(S.as_sql(t)).collect()]
+        assert got == [S.vote(t, r) for r in x]
+
+
+def test_findings_and_places(spark):
+    key = "a" * 3 + "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7"
+    text = f'prose here token = "{key}" and more. commit 0123456789abcdef0123456789abcdef01234567 then einheitlichkeitverbundenheit'
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (None, text, "x"), (1, text, "x"), (4, "x=" + " ab1" * 3, "x")], "doc_id int, text string, score string")
+    got = S.scan(docs).collect()
+    mine = sorted((r.nth, r.start, r.length, r.value, r.is_secret) for r in got if r.doc_id is None)
+    assert [text[s : s + n] for _, s, n, _, _ in mine] == [v for _, _, _, v, _ in mine]
+    assert {v: hit for _, _, _, v, hit in mine} == {key: True, "0123456789abcdef0123456789abcdef01234567": False, "einheitlichkeitverbundenheit": False}
+    assert sum(r.doc_id == 1 for r in got) == 2 * len(mine)
+
+
+def test_many_candidates_in_one_text(spark):
+    text = "\n".join(f"token = {i:032x}" for i in range(2000))
+    got = S.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len(got) == 2000 and all(text[r.start : r.start + r.length] == r.value for r in got)
+
+
+def test_main_path_is_native(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    assert not re.search("Python|Pandas|Arrow", S.scan(docs)._jdf.queryExecution().toString())
+
+
+def test_empty(spark):
+    assert S.scan(spark.createDataFrame([], "doc_id int, text string")).count() == 0
