@@ -83,110 +83,116 @@ def feature(payload: bytes, size: tuple[int, int, int]) -> str:
 
 
 def store(payloads: DataFrame, folder: str) -> DataFrame:
-    """Write the payloads (columns digest, payload), a tar shard or none for each task, and give the index: (digest, shard, at, length).
+    """Write the payloads (doc_id, n_bytes, digest, payload), a tar shard or none for each task; the index: (doc_id, n_bytes, digest, shard, at, length).
 
     at is the offset of the member's data. A task that is run again writes a shard of its own name; the index, once kept,
-    names only shards that were written whole. Rows of one digest that meet in a task are stored once.
+    names only shards that were written whole. Rows of one digest that meet in a task share a member.
     """
     ship(payloads.sparkSession)
+    kind = payloads.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
-        name, at, out, seen = f"{uuid.uuid4().hex}.tar", 0, None, set()
-        rows: list[tuple[str, int, int]] = []
+        name, at, out = f"{uuid.uuid4().hex}.tar", 0, None
+        place: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            for digest, payload in zip(batch.column(0), batch.column(1), strict=True):
+            places = []
+            for digest, payload in zip(batch.column(2), batch.column(3), strict=True):
                 digest = digest.as_py()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                data = png(payload.as_py())
-                if out is None:
-                    out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                out.write(tar_header(f"{digest}.png", len(data)) + data + bytes(-len(data) % 512))
-                rows.append((digest, at + 512, len(data)))
-                at += 512 + len(data) + -len(data) % 512
+                if digest not in place:
+                    data = png(payload.as_py())
+                    if out is None:
+                        out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    out.write(tar_header(f"{digest.hex()}.png", len(data)) + data + bytes(-len(data) % 512))
+                    place[digest] = at + 512, len(data)
+                    at += 512 + len(data) + -len(data) % 512
+                places.append(place[digest])
+            if places:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(places)), *(pa.array([p[i] for p in places], pa.int64()) for i in (0, 1))], ["doc_id", "n_bytes", "digest", "shard", "at", "length"])
         if out is not None:
             out.write(bytes(1024))
             out.close()
-        for k in range(0, len(rows), 10_000):
-            part = rows[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([name] * len(part)), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["digest", "shard", "at", "length"])
 
-    return payloads.select("digest", "payload").mapInArrow(write, "digest string, shard string, at long, length long")
+    return payloads.select("doc_id", "n_bytes", "digest", "payload").mapInArrow(write, f"doc_id {kind}, n_bytes long, digest binary, shard string, at long, length long")
+
 
+def read_back(index: DataFrame, folder: str, whole: bool) -> DataFrame:
+    """The index's rows (doc_id, n_bytes, digest) with what is read by range, in shard order.
 
-def ranges(index: DataFrame, folder: str, take, schema: str, whole: bool) -> DataFrame:
-    """take(digest, bytes) for each row of the index, bytes being the member, or its header only; read by range in shard order."""
+    Width, height and bits come from the first HEADER bytes of each member. If whole, the member is then read too, for
+    media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32 and feature; a payload that is not the digest's fails.
+    """
     ship(index.sparkSession)
+    kind = index.schema["doc_id"].dataType.simpleString()
+    columns = [("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())]
+    if whole:
+        columns += [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         shard, file = None, None
         for batch in batches:
             rows = []
-            for digest, name, at, length in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for digest, name, at, length in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 if name != shard:
                     shard, file = name, fs.open_input_file(f"{path}/{name}")
-                rows.append(take(digest, file.read_at(length if whole else min(length, HEADER), at)))
+                size = header(file.read_at(min(length, HEADER), at))
+                if not whole:
+                    rows.append(size)
+                    continue
+                data = file.read_at(length, at)
+                payload = samples(data)
+                found = hashlib.sha256(payload)
+                if found.digest() != digest:
+                    raise ValueError(f"a member of {name} is not its digest's")
+                rows.append((*size, length, hashlib.sha256(data).hexdigest(), len(payload), found.hexdigest(), zlib.crc32(payload[-64:]), feature(payload, size)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    placed = index.select("digest", "shard", "at", "length").repartition("shard", F.expr(f"at div {READ_BYTES}")).sortWithinPartitions("shard", "at")
-    return placed.mapInArrow(read, schema)
-
-
-def read_headers(index: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bits) from the first HEADER bytes of each stored payload."""
-    return ranges(index, folder, lambda digest, data: (digest, *header(data)), "digest string, width long, height long, bits long", False)
-
-
-def read_payloads(index: DataFrame, folder: str) -> DataFrame:
-    """(digest, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, feature) of each stored payload, read back whole."""
-
-    def take(digest: str, data: bytes) -> tuple:
-        payload = samples(data)
-        return digest, len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(payload, header(data))
+                found = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], ["doc_id", "n_bytes", "digest", *(n for n, _ in columns)])
 
-    return ranges(index, folder, take, "digest string, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", True)
+    # a number of its own, so that the few bytes that describe the members are not coalesced into one task
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1
+    placed = index.select("doc_id", "n_bytes", "digest", "shard", "at", "length").repartition(int(tasks), "shard", F.expr(f"at div {READ_BYTES}")).sortWithinPartitions("shard", "at")
+    types = {pa.int64(): "long", pa.string(): "string"}
+    return placed.mapInArrow(read, f"doc_id {kind}, n_bytes long, digest binary, " + ", ".join(f"{n} {types[k]}" for n, k in columns))
 
 
 def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """(rows, index, folder): rows has doc_id, n_bytes and digest for each row of docs, index where each digest is stored.
+    """(index, others, folder): index has the rows whose payload was written, others (doc_id, n_bytes, digest, owner, n) those that share one.
 
-    Each payload is stored once: of rows with one digest only that of the smallest id is written. The others are left out by an
-    anti-join on (digest, id), broadcast up to two million rows, else shuffled. Rows without an id, and repeated rows, may be
-    written more than once; the index keeps one place for each digest.
+    Each payload is stored once: of the n rows with one digest only that of the smallest id, the owner, is written. The others
+    are left out by an anti-join on (digest, id), broadcast up to two million rows of 16 bytes, else shuffled. Rows without an
+    id, and repeated rows, may be written more than once.
     """
     folder = folder or new_folder(docs.sparkSession, "media")
-    data = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), padded(F.col(text_col)).alias("payload"))
-    data = data.withColumn("digest", F.sha2("payload", 256))
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    data = docs.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), padded(F.col(text_col)).alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     rows = keep(data.select("doc_id", "n_bytes", "digest"))
     many = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
-    others = lookup(rows.select("doc_id", "digest"), many, "digest", "n", F.col("doc_id")).where("doc_id <> owner").select("digest", "doc_id")
-    others = keep(others.distinct())
+    others = keep(lookup(rows, many, "digest", "n", F.col("doc_id")).where("doc_id <> owner"))
     limit = 2_000_000
     few = others.limit(limit + 1).count() <= limit
     left_out = others.select(F.col("doc_id").alias("other"), F.xxhash64("digest").alias("h"))
     same = (F.col("doc_id") == F.col("other")) & (F.xxhash64("digest") == F.col("h"))
     own = data.join(F.broadcast(left_out) if few else left_out, same, "left_anti")
-    index = keep(store(own, folder))
-    if many.limit(1).count():
-        index = index.groupBy("digest").agg(F.min(F.struct("shard", "at", "length")).alias("p")).select("digest", "p.*")
-    return rows, index, folder
+    return keep(store(own, folder)), others, folder
 
 
 def text_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, n_bytes, digest, where it is stored, header columns, and what reading it back gave.
+    """For each row of docs: doc_id, n_bytes, digest, header columns, and what reading its payload back gave.
 
     Null texts are empty and stored as 64 zero bytes; equal texts share one member; null ids and repeated rows stay; an empty
     table gives an empty result; other columns are not read. Texts of any length: one payload at a time is in memory.
     """
-    rows, index, folder = store_texts(docs, folder, id_col, text_col)
-    index = keep(index)
-    known = read_payloads(index, folder).join(read_headers(index, folder), "digest").join(index, "digest")
-    sizes = rows.groupBy("digest").agg(F.count("*").alias("n"))
-    known = keep(known.join(sizes, "digest"))
-    return lookup(rows, known, "digest", "n", F.col("doc_id")).drop("n")
+    index, others, folder = store_texts(docs, folder, id_col, text_col)
+    own = read_back(index, folder, True)
+    shared = others.groupBy("digest").agg(F.count("*").alias("n"))
+    if not shared.limit(1).count():
+        return own
+    # members with more than one row: read once more for the rows that were not written
+    again = index.join(shared, "digest").groupBy("digest", "n").agg(F.min(F.struct("shard", "at", "length")).alias("p"))
+    again = again.select(F.col("n").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), "digest", "p.*")
+    found = keep(read_back(again, folder, True).withColumnRenamed("doc_id", "n").drop("n_bytes"))
+    rest = lookup(others.select("doc_id", "n_bytes", "digest"), found, "digest", "n", F.col("doc_id"))
+    return own.unionByName(rest.select(*own.columns))
