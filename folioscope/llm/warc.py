@@ -173,8 +173,10 @@ def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+    # a number of its own, so that the few bytes that describe the ranges are not coalesced into one task
+    tasks = archives.agg(F.coalesce(F.sum(F.ceil(F.col("size") / F.lit(split_bytes))), F.lit(1))).first()[0]
     splits = archives.select("name", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {split_bytes}L)")).alias("start"))
-    return splits.repartition("name", "start").mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, at long")
+    return splits.repartition(max(1, int(tasks)), "name", "start").mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, at long")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
