@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,12 +122,30 @@ def segments(text: Column, hang_spaces: bool = True) -> Column:
     return ends
 
 
-def fold(rows: DataFrame, key: str, order: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """function over the ordered rows of each key, whole: for folds whose step depends on what was folded. A key is one document."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return function(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+def fold(rows: DataFrame, key: str, order: str, values: list[str], function: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """(key, order, ...) of function over each key's rows in order: tuples (order, values...) in, tuples (order, ...) out.
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    For folds whose step depends on what was folded. A key is one document: its rows become one array, and arrays cross to
+    Python a batch at a time, not a group at a time. schema names what comes after the key.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    names = [order, *values]
+    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for k, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = function([tuple(i[n] for n in names) for i in items])
+                keys += [k] * len(found)
+                out += found
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], [key, *labels])
+
+    parts = [x.strip().split() for x in schema.split(",")]
+    labels = [p[0] for p in parts]
+    types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[p[1]] for p in parts]
+    return by.mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 def joined_lines(baselines: list[int | None], sizes: list[int | None]) -> list[int]:

@@ -11,18 +11,9 @@ from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import catalog as C
 from ..sources.tables import CATALOGUE_SQL, FEATURES, TAGGER, UNDETECTABLE, catalogue, license_of, table
+from .base import registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 CORPUS = f"WITH {CATALOGUE_SQL} "

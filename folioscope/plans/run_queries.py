@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..sources.tables import table
+from .base import registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
