@@ -15,21 +15,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import ship
 
 #: Lattices are built for the distinct words of so many characters of text at a time (whole documents).
-BATCH_CHARS = 3 << 20
+BATCH_CHARS = 3 << 19
 #: Words longer than this many bytes are cut, at character boundaries, before their lattice is built.
 WORD_BYTES = 128
 #: Weights are scaled by exp(SCALE) a byte, which cancels, so that sums over paths of WORD_BYTES stay within doubles.
 SCALE = 5.0
 #: Regions this far below the first are not kept: their chance to be taken is under e^-60.
 FLOOR = -60.0
+#: Pieces of a document among which regions are sought at first.
+HEAD = 192
 #: White space that no piece contains, runs of spaces with the word that follows, and spaces at the end.
 WORDS = re.compile(r"[\n\t\r\x0b\x0c]| *[^ \n\t\r\x0b\x0c]+| +")
 
@@ -101,7 +103,8 @@ class Pieces:
         for k, i in ends.items():
             self.piece[place[k]] = i
         self.flat = self.next.reshape(-1)
-        self.weight = np.exp(self.scores + SCALE * np.array([len(x) for x in self.bytes]))
+        self.log_weight = self.scores + SCALE * np.array([len(x) for x in self.bytes])
+        self.weight = np.exp(self.log_weight)
 
     def decode(self, ids) -> str:
         """The text of an encoding: pieces joined, less the space put before it."""
@@ -118,7 +121,7 @@ def pieces(model_file: str, temperature: float) -> Pieces:
 class Lattice:
     """Lattices of many words, side by side. Nodes are byte places (one more at each word's end), edges sorted by their node."""
 
-    FIELDS = ("start", "end", "text", "degree", "base", "to", "id", "node", "cum", "chance")
+    FIELDS = ("start", "end", "text", "degree", "base", "to", "id", "node", "cum", "total")
 
     def __init__(self, model: Pieces, words: list[bytes]):
         self.model = model
@@ -167,10 +170,8 @@ class Lattice:
         edges = len(begin)
         self.to, self.id, self.node = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32)
         self.to[where], self.id[where], self.node[where] = np.concatenate(to), np.concatenate(ids), begin
-        weight = model.weight.take(self.id, mode="wrap")
-        if len(alone):
-            lone = np.flatnonzero(self.id < 0)
-            weight[lone] = np.exp((model.least + SCALE) * (self.to[lone] - self.node[lone]))
+        del begin, to, ids, slots, where
+        weight = self.weight(slice(None))
         # backward sums, from the words' ends, a place of each word at a time
         total = np.zeros(n)
         total[self.end] = 1.0
@@ -195,9 +196,21 @@ class Lattice:
                 k += 1
                 left = left[deg.take(left) > k]
             total[p] = acc
-        whole = total.take(self.node)
-        self.cum /= whole
-        self.chance = weight * total.take(self.to) / whole
+        self.cum /= total.take(self.node)
+        self.cum = self.cum.astype(np.float32)
+        self.total = total
+
+    def weight(self, edges) -> np.ndarray:
+        ids = self.id[edges]
+        out = self.model.weight.take(ids, mode="wrap")
+        lone = np.flatnonzero(ids < 0)
+        if len(lone):
+            out[lone] = np.exp((self.model.least + SCALE) * (self.to[edges][lone] - self.node[edges][lone]))
+        return out
+
+    def chance(self, edges: np.ndarray) -> np.ndarray:
+        """Of each edge, given that a path is at its node."""
+        return self.weight(edges) * self.total.take(self.to.take(edges)) / self.total.take(self.node.take(edges))
 
     def with_more(self, more: Lattice) -> Lattice:
         """The words of this and then those of `more`."""
@@ -241,24 +254,26 @@ class Lattice:
             out[offset.take(a) + k] = e
         return out, count
 
-    def ids(self, edges: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of edges, byte pieces for characters without a piece; cuts (ends of each path) in ids."""
+    def ids(self, edges: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of edges, byte pieces for characters without a piece; cuts (ends of each path) in ids; log weights of edges."""
         found = self.id.take(edges)
         alone = np.flatnonzero(found < 0)
         size = np.ones(len(edges), np.int32)
         size[alone] = self.to[edges[alone]] - self.node[edges[alone]]
+        weights = self.model.log_weight.take(found, mode="wrap")
+        weights[alone] = (self.model.least + SCALE) * size[alone]
         after = np.cumsum(size, dtype=np.int64)
         out = np.repeat(found, size) if int(size.sum()) > len(edges) else found
         for b in range(4):
             at = alone[size[alone] > b]
             out[after[at] - size[at] + b] = self.model.byte_ids[self.text[self.node[edges[at]] + b]]
-        return out, np.concatenate([[0], after])[cuts]
+        return out, np.concatenate([[0], after])[cuts], weights
 
 
 GOLDEN = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
 #: Frequent words of which a worker keeps the lattices from batch to batch, and how often a word must occur in a batch to count.
-KEPT_WORDS, KEPT_TIMES = 100_000, 3
+KEPT_WORDS, KEPT_TIMES = 80_000, 2
 
 
 def scalar_uniform(x: int) -> float:
@@ -293,7 +308,7 @@ class Kept:
     def __init__(self, model: Pieces):
         self.numbers, self.lattice = Numbers(), Lattice(model, [])
 
-    def note(self, fresh: list[str], times: np.ndarray, lattice: Lattice) -> None:
+    def note(self, fresh: list[str], times: np.ndarray) -> None:
         """Add the frequent of the fresh words while there is room."""
         frequent = np.flatnonzero(times >= KEPT_TIMES)[: max(0, KEPT_WORDS - len(self.numbers))]
         if len(frequent) < 1000 and len(self.numbers):
@@ -322,11 +337,13 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
     fresh = list(numbers)[old:]
     new = Lattice(model, [w.encode("utf-8", "replace") for w in fresh])
     lattice = kept.lattice.with_more(new) if old else new
+    del new
     if len(kept.numbers) < KEPT_WORDS:
-        kept.note(fresh, np.bincount(seq, minlength=len(numbers))[old:], new)
+        kept.note(fresh, np.bincount(seq, minlength=len(numbers))[old:])
     n = len(texts)
     out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in range(n)]
     docs = np.repeat(np.arange(n), np.diff(bounds))
+    mass = np.concatenate([[0.0], np.cumsum(np.log(lattice.total.take(lattice.start.take(seq))))])  # of all paths of the words before
     ordinal = (np.arange(len(seq)) - bounds[docs]).astype(np.uint64) * np.uint64(2 * WORD_BYTES)
     # a region: bound, sample it leaves (its edges, where it branches, word of the branch), edges not to be taken there
     regions: list[list[tuple[float, int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
@@ -338,32 +355,44 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
 
     def finish(which: list[int], edges: np.ndarray, count: np.ndarray, cut: np.ndarray, word_cut: np.ndarray, value: np.ndarray, branch: dict[int, tuple[int, tuple[int, ...]]], r: int) -> None:
         """Note a sample of each document of `which`, and the regions it leaves. edges: of all, cut by document."""
-        logs = np.log(np.maximum(lattice.chance.take(edges), 1e-300))
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        found, id_cut = lattice.ids(edges, cut)
+        found, id_cut, weights = lattice.ids(edges, cut)
+        paths = np.concatenate([[0.0], np.cumsum(weights)])[cut]
         seed = mix64(seeds(r))
+        # regions begin at the branch: what lies before was cut when its parent was taken. The first HEAD pieces of each
+        # document nearly always reach FLOOR; where they don't, all its pieces are looked at.
+        begin = cut[:-1] + np.array([branch[d][0] if d in branch else 0 for d in which], np.int64)
+        size = np.minimum(HEAD, cut[1:] - begin)
+        end = np.cumsum(size)
+        some = edges.take(np.arange(int(end[-1])) - np.repeat(end - size, size) + np.repeat(begin, size))
+        chances = lattice.chance(some)
+        logs = np.log(np.maximum(chances, 1e-300))
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        free_of = lattice.degree.take(lattice.node.take(some))
         for x, d in enumerate(which):
             a, b = int(cut[x]), int(cut[x + 1])
             own, g = edges[a:b], float(value[x])
-            out[d].append((found[id_cut[x] : id_cut[x + 1]], float(logs[a:b].sum()), g, 1.0))
+            whole = float(paths[x + 1] - paths[x]) - float(mass[bounds[d + 1]] - mass[bounds[d]])
+            out[d].append((found[id_cut[x] : id_cut[x + 1]], min(whole, 0.0), g, 1.0))
             samples[d].append((own, count[word_cut[x] : word_cut[x + 1]]))
             if a == b:
                 continue
             s = len(samples[d]) - 1
             at, barred = branch.get(d, (0, ()))
-            # regions begin at the branch: what lies before was cut when its parent was taken; far off they weigh nothing
-            head = sums[a + at : b]
-            far = len(head) if head[-1] > head[0] + FLOOR else int(np.searchsorted(-head, -(head[0] + FLOOR), side="right"))
-            head = head[:far] - sums[a]
-            taken = np.exp(logs[a + at : a + at + far])
-            free = lattice.degree[lattice.node[own[at : at + far]]]
+            p, q = int(end[x] - size[x]), int(end[x])
+            lead, taken, free = sums[p:q] - sums[p], chances[p:q].copy(), free_of[p:q].copy()
+            if q - p < b - a - at and lead[-1] + logs[q - 1] > FLOOR:
+                rest = own[at:]
+                taken = lattice.chance(rest)
+                step = np.log(np.maximum(taken, 1e-300))
+                lead, free = np.cumsum(step) - step, lattice.degree.take(lattice.node.take(rest))
+            start = float(np.log(np.maximum(lattice.chance(own[:at]), 1e-300)).sum()) if at else 0.0
             free[0] -= len(barred)
             if barred:
-                taken[0] += lattice.chance[list(barred)].sum()
-            live = np.flatnonzero((free > 1) & (taken < 1 - 1e-14))
+                taken[0] += lattice.chance(np.array(barred)).sum()
+            live = np.flatnonzero((free > 1) & (taken < 1 - 1e-14) & (lead > FLOOR))
             if not len(live):
                 continue
-            phi = head[live] + np.log(1 - taken[live])
+            phi = start + lead[live] + np.log(1 - taken[live])
             u = uniform(seed[d] + np.uint64(1 << 40) + (live + at).astype(np.uint64))
             bound = phi - np.log(np.exp(np.minimum(phi - g, 700)) - np.log(u))
             best = np.argpartition(-bound, k)[:k] if len(bound) > k else range(len(bound))
@@ -389,7 +418,7 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
             own, own_count = samples[d][s]
             place = int(lattice.node[own[j]])
             options = [e for e in range(int(lattice.base[place]), int(lattice.base[place] + lattice.degree[place])) if e not in barred]
-            chances = lattice.chance[options]
+            chances = lattice.chance(np.array(options))
             with np.errstate(over="ignore"):
                 u = scalar_uniform(int(seed[d]) + (1 << 42)) * chances.sum()
             e = options[min(int(np.searchsorted(np.cumsum(chances), u)), len(options) - 1)]
@@ -477,9 +506,9 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "id
     ship(encoded.sparkSession)
     path = model_file or default_model()
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def text(ids: pa.Array) -> pa.Array:
         model = pieces(path, 1.0)
-        return ids.map(lambda x: None if x is None else model.decode(x.tolist()))
+        return pa.array([None if x is None else model.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))
