@@ -150,12 +150,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     few = many.limit(BROADCAST_ROWS * 5 + 1).count() <= BROADCAST_ROWS * 5  # 16 bytes a row
     only = F.broadcast(many.select("fp")) if few else many.select("fp")
     # Byte verification: equal texts collapse where they are read, before the shuffle; what remains above one is equal byte by byte.
-    routed = rows.select("plain", F.xxhash64("plain").alias("fp"))
+    routed = rows.select("doc_id", "plain", F.xxhash64("plain").alias("fp"))
     if few:
         routed = routed.join(only, "fp", "left_semi")
     else:  # hot fingerprints are spread over 16 salts
         salted = only.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        routed = routed.withColumn("salt", (F.rand(7) * 16).cast("int")).join(salted, ["fp", "salt"], "left_semi")
+        routed = routed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salted, ["fp", "salt"], "left_semi")
     equal = routed.groupBy("plain").agg(F.count("*").alias("group_size")).where("group_size > 1").select(F.sha2("plain", 256).alias("text_sha256"), "group_size")
     own = base.join(only, "fp", "left_semi").groupBy("text_sha256", "size", "doc_id").agg(F.count("*").alias("ties"))
     first = F.min(F.struct((-F.col("size")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "ties")).alias("first")
