@@ -1,16 +1,19 @@
 """Alignment of two renderings of one text, break matching, and the agreement measures M1 to M7.
 
-One document is one group: both sides meet in a cogrouped map, since each step depends on the last. Streams longer than
-MAX_CHARS are refused with a reason, so a group's memory is bounded.
+One document is one row: both sides meet as arrays, since each step depends on the last. Streams longer than MAX_CHARS are
+refused with a reason, so a row's work is bounded.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sequence import increasing, joined_lines
 
@@ -239,15 +242,16 @@ def comparable(text: str) -> str:
 class Stream:
     """The comparable text of one side, with where its pages and its joined lines begin; those without characters take no part."""
 
-    def __init__(self, lines: pd.DataFrame):
+    def __init__(self, lines: list[tuple], page_count: int):
+        """lines: (page, line, baseline, size, text), in any order."""
         parts, self.pages, self.lines, at = [], [], [], 0
-        self.page_count = int(lines["page_count"].max()) if len(lines) else 0
-        for _, page in lines.groupby("page", sort=True):
-            page = page.sort_values("line", kind="stable")
-            groups = joined_lines([None if pd.isna(v) else int(v) for v in page["baseline"]], [None if pd.isna(v) else int(v) for v in page["size"]])
+        self.page_count = page_count
+        for _, page in groupby(sorted(lines, key=lambda r: r[:2]), key=lambda r: r[0]):
+            rows = list(page)
+            groups = joined_lines([r[2] for r in rows], [r[3] for r in rows])
             begin, last = at, None
-            for text, group in zip(page["text"], groups, strict=True):
-                text = comparable(text or "")
+            for row, group in zip(rows, groups, strict=True):
+                text = comparable(row[4] or "")
                 if text and group != last:
                     self.lines.append(at)
                     last = group
@@ -278,25 +282,42 @@ def compare(reference: Stream, candidate: Stream, work: int = WORK) -> dict:
     }
 
 
-MEASURES = "doc string, pages_reference int, pages_candidate int, m2_total long, m2_agreed long, m3_total long, m3_agreed long, m3_first_difference long, text_reference long, text_candidate long, text_matched long, complete boolean, hunks long, problem string"
+MEASURES = "pages_reference long, pages_candidate long, m2_total long, m2_agreed long, m3_total long, m3_agreed long, m3_first_difference long, text_reference long, text_candidate long, text_matched long, complete boolean, hunks long, problem string"
 
 
-def compare_layouts(reference: DataFrame, candidate: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Measures of each document: rows of both sides are (doc, page_count, page, line, baseline, size, text).
+def paired(reference: DataFrame, candidate: DataFrame, function: Callable[[Stream, Stream], dict], schema: str) -> DataFrame:
+    """(doc, ...) of function over both sides of each document, as streams; rows are (doc, page_count, page, line, baseline, size, text).
 
-    A document that only one side has is compared with an empty layout. Sides longer than max_chars get a problem and no
-    measures, never a cut text.
+    Each side becomes one array a document, the sides meet by an equi-join, and arrays cross to Python a batch at a time. A
+    document that only one side has meets an empty layout.
     """
-    columns = [c.split()[0] for c in MEASURES.split(", ")]
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.strip().split()[1]] for c in schema.split(",")]
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("doc").agg(F.collect_list(F.struct("page", "line", "baseline", "size", "text")).alias(name), F.max("page_count").alias(f"{name}_pages"))
+
+    def stream(items: list[dict] | None, pages: int | None) -> Stream:
+        return Stream([tuple(i[n] for n in ("page", "line", "baseline", "size", "text")) for i in items or []], pages or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, a, n, b, m = (batch.column(i).to_pylist() for i in range(5))
+            found = [function(stream(*x), stream(*y)) for x, y in zip(zip(a, n, strict=True), zip(b, m, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), *(pa.array([f.get(c) for f in found], k) for c, k in zip(names, kinds, strict=True))], ["doc", *names])
+
+    both = side(reference, "a").join(side(candidate, "b"), "doc", "full_outer")
+    return both.select("doc", "a", "a_pages", "b", "b_pages").mapInArrow(run, f"doc string, {schema}")
+
+
+def compare_layouts(reference: DataFrame, candidate: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Measures of each document. Sides longer than max_chars get a problem and no measures, never a cut text."""
 
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        sides = [Stream(x), Stream(y)]
-        row = dict.fromkeys(columns) | {"doc": key[0]}
-        long = [n for n, s in zip(("reference", "candidate"), sides, strict=True) if len(s.text) > max_chars]
-        row |= {"problem": f"too long: {', '.join(long)}"} if long else compare(*sides)
-        return pd.DataFrame([row], columns=columns).astype({"m3_first_difference": "Int64"})
+    def measure(x: Stream, y: Stream) -> dict:
+        long = [n for n, s in (("reference", x), ("candidate", y)) if len(s.text) > max_chars]
+        return {"problem": f"too long: {', '.join(long)}"} if long else compare(x, y)
 
-    return reference.groupBy("doc").cogroup(candidate.groupBy("doc")).applyInPandas(run, MEASURES)
+    return paired(reference, candidate, measure, MEASURES)
 
 
 def hint_agreement(text: str, hints: list[int], candidate: Stream) -> dict:

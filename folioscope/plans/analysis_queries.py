@@ -45,15 +45,9 @@ def aligned_reference_length(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def hint_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """AL7: hinted page breaks, every 200 displayed characters, against the pages of the other rendering."""
-    names = ["doc", "total", "agreed", "pages_reference", "pages_candidate"]
     reference, candidate = two_sides(spark, sf)
-
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        text = AL.Stream(x).text
-        found = AL.hint_agreement(text, list(range(200, len(text), 200)), AL.Stream(y))
-        return pd.DataFrame([{"doc": key[0], **found}], columns=names)
-
-    return reference.groupBy("doc").cogroup(candidate.groupBy("doc")).applyInPandas(run, "doc string, total long, agreed long, pages_reference int, pages_candidate int")
+    measure = lambda x, y: AL.hint_agreement(x.text, list(range(200, len(x.text), 200)), y)
+    return AL.paired(reference, candidate, measure, "total long, agreed long, pages_reference long, pages_candidate long")
 
 
 @query()

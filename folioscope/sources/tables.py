@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of long texts, on whose rows most of the work is done where they are read.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, if a file of one row group would keep all but one idle; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, 64) else rows
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 #: Content features of a text, by pattern: what a tagger of packages finds in markup, a text shows by its characters.

@@ -1,6 +1,5 @@
 """Alignment against a longest-common-subsequence table, and layouts with hand-computed measures."""
 
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,8 +61,7 @@ def test_a_budget_stops_the_work():
 
 
 def stream(*pages):
-    rows = [{"page_count": len(pages), "page": p, "line": i, "baseline": 12_000 * i, "size": 10_000, "text": t} for p, lines in enumerate(pages) for i, t in enumerate(lines)]
-    return AL.Stream(pd.DataFrame(rows, columns=["page_count", "page", "line", "baseline", "size", "text"]))
+    return AL.Stream([(p, i, 12_000 * i, 10_000, t) for p, lines in enumerate(pages) for i, t in enumerate(lines)], len(pages))
 
 
 def test_measures():
