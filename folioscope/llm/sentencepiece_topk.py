@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import ship
+from .common import release, ship
 
 #: Lattices are built for the distinct words of so many characters of text at a time (whole documents).
 BATCH_CHARS = 3 << 19
@@ -496,6 +496,8 @@ def encode(docs: DataFrame, k: int = 2, model_file: str | None = None, temperatu
                 ranks = pa.array(np.concatenate([np.arange(1, c + 1) for c in counts]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([idents, ranks, *(pa.array(np.array([x[i] for x in flat], np.float64)) for i in (1, 2, 3)), ids], ["doc_id", "rank", "log_prob", "gumbel", "inclusion", "ids"])
                 at = to
+                del found, flat, idents, ids
+                release()
 
     key = F.xxhash64(F.lit("segment"), F.col(id_col))
     return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, rank int, log_prob double, gumbel double, inclusion double, ids array<int>")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, lookup, ship, without
+from .common import components, keep, lookup, release, ship, without
 
 #: A block of fingerprints that share a candidate key is compared in one task up to this size; larger ones are refined, then cut.
 BLOCK_ROWS = 8192
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
         for batch in batches:
             prints = np.array([simhash(shingle_hashes(t.as_py(), words, seed)) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            release()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, fp long")
 
