@@ -28,10 +28,10 @@ BATCH_CHARS = 3 << 19
 WORD_BYTES = 128
 #: Weights are scaled by exp(SCALE) a byte, which cancels, so that sums over paths of WORD_BYTES stay within doubles.
 SCALE = 5.0
-#: Regions this far below the first are not kept: their chance to be taken is under e^-60.
-FLOOR = -60.0
+#: Regions this far below the first are not kept: their chance to be taken is under e^-40.
+FLOOR = -40.0
 #: Pieces of a document among which regions are sought at first.
-HEAD = 192
+HEAD = 512
 #: White space that no piece contains, runs of spaces with the word that follows, and spaces at the end.
 WORDS = re.compile(r"[\n\t\r\x0b\x0c]| *[^ \n\t\r\x0b\x0c]+| +")
 
@@ -345,15 +345,15 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
     docs = np.repeat(np.arange(n), np.diff(bounds))
     mass = np.concatenate([[0.0], np.cumsum(np.log(lattice.total.take(lattice.start.take(seq))))])  # of all paths of the words before
     ordinal = (np.arange(len(seq)) - bounds[docs]).astype(np.uint64) * np.uint64(2 * WORD_BYTES)
-    # a region: bound, sample it leaves (its edges, where it branches, word of the branch), edges not to be taken there
-    regions: list[list[tuple[float, int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
+    # a region: bound, sample it leaves, piece where it leaves it, edges not to be taken there, log-probability before, chance of those edges
+    regions: list[list[tuple[float, int, int, tuple[int, ...], float, float]]] = [[] for _ in range(n)]
     samples: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
 
     def seeds(r: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64(keys + np.uint64((r * GOLDEN) & M64))
 
-    def finish(which: list[int], edges: np.ndarray, count: np.ndarray, cut: np.ndarray, word_cut: np.ndarray, value: np.ndarray, branch: dict[int, tuple[int, tuple[int, ...]]], r: int) -> None:
+    def finish(which: list[int], edges: np.ndarray, count: np.ndarray, cut: np.ndarray, word_cut: np.ndarray, value: np.ndarray, branch: dict[int, tuple[int, tuple[int, ...], float, float]], r: int) -> None:
         """Note a sample of each document of `which`, and the regions it leaves. edges: of all, cut by document."""
         found, id_cut, weights = lattice.ids(edges, cut)
         paths = np.concatenate([[0.0], np.cumsum(weights)])[cut]
@@ -377,18 +377,18 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
             if a == b:
                 continue
             s = len(samples[d]) - 1
-            at, barred = branch.get(d, (0, ()))
+            at, barred, start, barred_mass = branch.get(d, (0, (), 0.0, 0.0))
             p, q = int(end[x] - size[x]), int(end[x])
-            lead, taken, free = sums[p:q] - sums[p], chances[p:q].copy(), free_of[p:q].copy()
+            lead, taken, free = sums[p:q] - sums[p], chances[p:q], free_of[p:q]
             if q - p < b - a - at and lead[-1] + logs[q - 1] > FLOOR:
                 rest = own[at:]
                 taken = lattice.chance(rest)
                 step = np.log(np.maximum(taken, 1e-300))
                 lead, free = np.cumsum(step) - step, lattice.degree.take(lattice.node.take(rest))
-            start = float(np.log(np.maximum(lattice.chance(own[:at]), 1e-300)).sum()) if at else 0.0
-            free[0] -= len(barred)
             if barred:
-                taken[0] += lattice.chance(np.array(barred)).sum()
+                taken, free = taken.copy(), free.copy()
+                free[0] -= len(barred)
+                taken[0] += barred_mass
             live = np.flatnonzero((free > 1) & (taken < 1 - 1e-14) & (lead > FLOOR))
             if not len(live):
                 continue
@@ -397,8 +397,8 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
             bound = phi - np.log(np.exp(np.minimum(phi - g, 700)) - np.log(u))
             best = np.argpartition(-bound, k)[:k] if len(bound) > k else range(len(bound))
             for y in best:
-                jj = int(live[y]) + at
-                regions[d].append((float(bound[y]), s, jj, (*(barred if jj == at else ()), int(own[jj]))))
+                j = int(live[y])
+                regions[d].append((float(bound[y]), s, j + at, (*(barred if j == 0 else ()), int(own[j + at])), start + float(lead[j]), float(taken[j])))
 
     with np.errstate(over="ignore"):
         root = seeds(0)
@@ -414,7 +414,7 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
         begins, who_seed, heads, branch, values = [], [], [], {}, []
         for d in which:
             regions[d].sort(key=lambda q: -q[0])
-            g, s, j, barred = regions[d].pop(0)
+            g, s, j, barred, before, barred_mass = regions[d].pop(0)
             own, own_count = samples[d][s]
             place = int(lattice.node[own[j]])
             options = [e for e in range(int(lattice.base[place]), int(lattice.base[place] + lattice.degree[place])) if e not in barred]
@@ -430,7 +430,7 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
                 who_seed.append(mix64(seed[d] + ordinal[bounds[d] + word : bounds[d + 1]]))
             lead = own_count[:word].copy()
             heads.append((np.append(own[:j], e), lead, j + 1 - int(lead.sum())))
-            branch[d] = (j, barred)
+            branch[d] = (j, barred, before, barred_mass)
             values.append(g)
         walked, walked_count = lattice.walk(np.concatenate(begins), np.concatenate(who_seed))
         ends = np.concatenate([[0], np.cumsum(walked_count)])
