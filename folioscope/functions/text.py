@@ -12,8 +12,8 @@ HIDDEN = r"\x{061C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "\u017ft", "\ufb06": "st"}
 #: Scripts that are counted, by the name of their Unicode property; characters common to scripts have none.
 SCRIPTS = (
-    "Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan "
-    "Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han Yi Tifinagh Nko"
+    "Arabic Armenian Bengali Bopomofo Cherokee Cyrillic Devanagari Ethiopic Georgian Greek Gujarati Gurmukhi Han Hangul Hebrew Hiragana Kannada Katakana "
+    "Khmer Lao Latin Malayalam Mongolian Myanmar Nko Oriya Sinhala Syriac Tamil Telugu Thaana Thai Tibetan Tifinagh Yi"
 ).split()
 
 
@@ -92,17 +92,17 @@ def application_name(text: Column) -> Column:
 
 #: Field keywords by the feature they show.
 FIELD_KINDS = {
-    "PageFields": "PAGE NUMPAGES SECTIONPAGES PAGEREF",
-    "DateAndTimeFields": "DATE TIME CREATEDATE SAVEDATE PRINTDATE",
-    "CrossReferences": "REF NOTEREF SEQ STYLEREF",
-    "DocumentInformationFields": "AUTHOR TITLE FILENAME DOCPROPERTY DOCVARIABLE SUBJECT KEYWORDS COMMENTS LASTSAVEDBY NUMWORDS NUMCHARS FILESIZE INFO TEMPLATE USERNAME USERINITIALS USERADDRESS EDITTIME REVNUM",
-    "TablesOfContents": "TOC TC",
-    "FormulasAndConditions": "= IF COMPARE",
-    "MailMergeFields": "MERGEFIELD NEXT NEXTIF SKIPIF ASK FILLIN MERGEREC MERGESEQ ADDRESSBLOCK GREETINGLINE DATABASE",
-    "IndexesAndAuthorities": "XE INDEX TA TOA",
-    "Citations": "CITATION BIBLIOGRAPHY",
-    "LegacyFormFields": "FORMTEXT FORMCHECKBOX FORMDROPDOWN",
-    "ExternalFields": "INCLUDETEXT INCLUDEPICTURE INCLUDE IMPORT LINK DDE DDEAUTO",
+    "PageFields": "NUMPAGES PAGE PAGEREF SECTIONPAGES",
+    "DateAndTimeFields": "CREATEDATE DATE PRINTDATE SAVEDATE TIME",
+    "CrossReferences": "NOTEREF REF SEQ STYLEREF",
+    "DocumentInformationFields": "AUTHOR COMMENTS DOCPROPERTY DOCVARIABLE EDITTIME FILENAME FILESIZE INFO KEYWORDS LASTSAVEDBY NUMCHARS NUMWORDS REVNUM SUBJECT TEMPLATE TITLE USERADDRESS USERINITIALS USERNAME",
+    "TablesOfContents": "TC TOC",
+    "FormulasAndConditions": "= COMPARE IF",
+    "MailMergeFields": "ADDRESSBLOCK ASK DATABASE FILLIN GREETINGLINE MERGEFIELD MERGEREC MERGESEQ NEXT NEXTIF SKIPIF",
+    "IndexesAndAuthorities": "INDEX TA TOA XE",
+    "Citations": "BIBLIOGRAPHY CITATION",
+    "LegacyFormFields": "FORMCHECKBOX FORMDROPDOWN FORMTEXT",
+    "ExternalFields": "DDE DDEAUTO IMPORT INCLUDE INCLUDEPICTURE INCLUDETEXT LINK",
     "Hyperlinks": "HYPERLINK",
     "TextTabsBreaksSymbols": "SYMBOL",
 }
