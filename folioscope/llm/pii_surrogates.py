@@ -118,12 +118,14 @@ def given_map(key: str) -> dict[str, str]:
     return out
 
 
-def coined(value: Column, hexes: Column) -> Column:
-    """A name of the value's script from four syllables."""
+def coined(value: Column, hexes: Column, attempt: Column) -> Column:
+    """A name of the value's script from four syllables; after some attempts from one more each, so that there is room for all."""
     out = None
     for script, syllables in SYLLABLES.items():
         table = F.array(*(F.lit(s) for s in syllables))
-        word = F.concat(*(F.element_at(table, pick(hexes, i) + 1) for i in range(4)))
+        places = F.sequence(F.lit(4), F.least(attempt + 2, F.lit(DIGEST - 1)))
+        wider = F.when(attempt >= 2, F.array_join(F.transform(places, lambda i: F.element_at(table, pick(hexes, i) + 1)), "")).otherwise(F.lit(""))
+        word = F.concat(*(F.element_at(table, pick(hexes, i) + 1) for i in range(4)), wider)
         out = F.when(script_of(value) == script, word) if out is None else out.when(script_of(value) == script, word)
     return out
 
@@ -174,7 +176,7 @@ def substitute(key: str, kind: Column, value: Column, attempt: Column) -> Column
         phone = reshaped(value, hexes, F.when(value.rlike(r"^\+[17]"), F.lit(2)).when(value.startswith("+"), F.lit(3)).otherwise(F.lit(0)))
         return (
             F.when(kind == "email", email_surrogate(key, value, hexes, attempt)).when(kind == "ip", ip_surrogate(value, hexes)).when(kind == "card", card_surrogate(value, hexes))
-            .when(kind == "iban", iban_surrogate(value, hexes)).when(kind == "phone", phone).when(kind == "ssn", reshaped(value, hexes)).otherwise(coined(value, hexes))
+            .when(kind == "iban", iban_surrogate(value, hexes)).when(kind == "phone", phone).when(kind == "ssn", reshaped(value, hexes)).otherwise(coined(value, hexes, attempt))
         )
 
     return let(digest(key, kind, value, attempt), of)
@@ -278,7 +280,7 @@ def rewrite(text: Column, found: Column, key: str, attempts: Column | None) -> C
 
 
 def substitute_person(key: str, value: Column, attempt: Column) -> Column:
-    return let(digest(key, F.lit("person"), value, attempt), lambda h: coined(value, h))
+    return let(digest(key, F.lit("person"), value, attempt), lambda h: coined(value, h, attempt))
 
 
 def pseudonymise(docs: DataFrame, key: str = "folioscope", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

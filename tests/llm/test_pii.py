@@ -67,6 +67,23 @@ def test_collisions_are_resolved(spark):
     assert len(set(got)) == len(names) and not set(got) & set(names)
 
 
+def test_more_persons_than_names_of_four_syllables(spark, monkeypatch):
+    """Two syllables leave 16 names at first; all of 60 persons must get one of their own, in few rounds."""
+    monkeypatch.setitem(P.SYLLABLES, "latin", ["ba", "do"] * 8)
+    kept, calls = P.keep, []
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 30, "rounds without end"
+        return kept(df)
+
+    monkeypatch.setattr(P, "keep", counted)
+    names = [f"Q{a}{b}" for a in "abcdef" for b in "ghijklmnop"] + ["Badobado"]
+    got = [r.text for r in P.pseudonymise(spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)], "doc_id int, text string")).collect()]
+    assert len(set(got)) == len(names) and not {g.lower() for g in got} & {f"mr {n}".lower() for n in names}
+    assert all(re.fullmatch("Mr (?:ba|do){4,}", g, re.I) for g in got)
+
+
 def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(0, TEXTS[0])], "doc_id int, text string")
     plan = P.pseudonymise(docs)._jdf.queryExecution().toString()
