@@ -35,6 +35,21 @@ def test_findings_and_places(spark):
     assert sum(r.doc_id == 1 for r in got) == 2 * len(mine)
 
 
+def test_findings_are_found_in_texts(spark):
+    """Recall through candidates: secrets in whole texts, upper-case names and bare signs among them."""
+    findings = [f for f in S.labelled_findings(600, seed=99) if f["label"]]
+    docs = spark.createDataFrame([(i, f["left"] + f["value"] + f["right"], f["path"]) for i, f in enumerate(findings)], "doc_id int, text string, path string")
+    got = {(r.doc_id, r.value) for r in S.scan(docs, path_col="path").collect() if r.is_secret}
+    assert sum((i, f["value"]) in got for i, f in enumerate(findings)) >= 0.95 * len(findings)
+
+
+def test_names_in_any_case_and_bare_signs(spark):
+    value = "Zx81" + "kQ7vB2nM9pL4tR6w" + "Yc3Hd5Jf8Gs1"
+    lines = {f"API_KEY={value}": value, "DB_PASSWORD=hunter2hunter2": "hunter2hunter2", "Password: Tr0ub4dor&3x": "Tr0ub4dor&3x", f"secret_key={value}": value, f"PRIVATE_KEY={value}!x": f"{value}!x", "CLIENT_ID=q7W2e9R4t": "q7W2e9R4t", f"x={value}": value}
+    got = S.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.value for r in got} == dict(enumerate(lines.values())) and len(got) == len(lines)
+
+
 def test_many_candidates_in_one_text(spark):
     text = "\n".join(f"token = {i:032x}" for i in range(2000))
     got = S.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
