@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 #: In order: where two could begin at one place, the first is taken. What is assigned comes before its own first part.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8000}-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?![\s\S]{0,15}-----END)[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "provider_token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_(?:live|test)_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])",
+    "provider_token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "assigned": r"(?<=(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key|access_key|auth|(?:secret|private|client)[_-](?:key|id))[\"']? ?[:=] ?[\"']?)[^\s\"'`,;<>]{8,128}",
+    "assigned": r"(?<=(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key|access_key|auth|(?:secret|private|client)[_-](?:key|id))[\"']? ?[:=] ?[\"']?)[^\s\"'`,;<>]{8,}+",
     "high_entropy": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])",
 }
 ALL = "(?:" + "|".join(PATTERNS.values()) + ")"
