@@ -24,7 +24,7 @@ from .common import release, ship
 
 #: Lattices are built for the distinct words of so many characters of text at a time (whole documents).
 BATCH_CHARS = 3 << 19
-#: Words longer than this many bytes are cut, at character boundaries, before their lattice is built.
+#: So far from a word's end backward sums are kept as they are; in longer words each place beyond has a level to which its sum is relative.
 WORD_BYTES = 128
 #: Weights are scaled by exp(SCALE) a byte, which cancels, so that sums over paths of WORD_BYTES stay within doubles.
 SCALE = 5.0
@@ -173,8 +173,10 @@ class Lattice:
         del begin, to, ids, slots, where
         weight = self.weight(slice(None))
         # backward sums, from the words' ends, a place of each word at a time
-        total = np.zeros(n)
+        self.total = total = np.zeros(n)
         total[self.end] = 1.0
+        # natural logarithms that `total` leaves out; none where no word is long
+        self.level = level = np.zeros(n) if len(words) and int(size.max()) > WORD_BYTES else None
         self.cum = np.empty(edges)
         order = np.argsort(-size, kind="stable")
         ends, longest = self.end[order], np.sort(size)
@@ -185,12 +187,16 @@ class Lattice:
                 live = np.flatnonzero(deg)
                 p, deg = p.take(live), deg.take(live)
             edge = self.base.take(p)
-            acc = weight.take(edge) * total.take(self.to.take(edge))
+            far = d > WORD_BYTES
+            if far and len(p):
+                to = self.to.take(edge)
+                level[p] = level.take(to) + np.log(total.take(to))
+            acc = weight.take(edge) * (self.onward(edge) if far else total.take(self.to.take(edge)))
             self.cum[edge] = acc
             left, k = np.flatnonzero(deg > 1), 1
             while len(left):
                 e = edge.take(left) + k
-                part = acc.take(left) + weight.take(e) * total.take(self.to.take(e))
+                part = acc.take(left) + weight.take(e) * (self.onward(e) if far else total.take(self.to.take(e)))
                 acc[left] = part
                 self.cum[e] = part
                 k += 1
@@ -198,7 +204,6 @@ class Lattice:
             total[p] = acc
         self.cum /= total.take(self.node)
         self.cum = self.cum.astype(np.float32)
-        self.total = total
 
     def weight(self, edges) -> np.ndarray:
         ids = self.id[edges]
@@ -208,9 +213,19 @@ class Lattice:
             out[lone] = np.exp((self.model.least + SCALE) * (self.to[edges][lone] - self.node[edges][lone]))
         return out
 
+    def onward(self, edges: np.ndarray) -> np.ndarray:
+        """The sum at each edge's end, relative to the level of its node."""
+        to = self.to.take(edges)
+        out = self.total.take(to)
+        return out if self.level is None else out * np.exp(self.level.take(to) - self.level.take(self.node.take(edges)))
+
+    def log_total(self, places: np.ndarray) -> np.ndarray:
+        out = np.log(self.total.take(places))
+        return out if self.level is None else out + self.level.take(places)
+
     def chance(self, edges: np.ndarray) -> np.ndarray:
         """Of each edge, given that a path is at its node."""
-        return self.weight(edges) * self.total.take(self.to.take(edges)) / self.total.take(self.node.take(edges))
+        return self.weight(edges) * self.onward(edges) / self.total.take(self.node.take(edges))
 
     def with_more(self, more: Lattice) -> Lattice:
         """The words of this and then those of `more`."""
@@ -221,6 +236,8 @@ class Lattice:
         for name in self.FIELDS:
             x = getattr(more, name)
             setattr(out, name, np.concatenate([getattr(self, name), x + shift[name] if name in shift else x]))
+        levels = [x.level for x in (self, more)]
+        out.level = None if levels[0] is levels[1] is None else np.concatenate([np.zeros(len(x.total)) if x.level is None else x.level for x in (self, more)])
         return out
 
     def walk(self, begin: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,17 +298,8 @@ def scalar_uniform(x: int) -> float:
 
 
 def split_words(text: str) -> list[str]:
-    """Words of at most WORD_BYTES; longer ones are cut at character boundaries."""
-    words = WORDS.findall(" " + text)
-    if len(max(words, key=len)) * 4 <= WORD_BYTES:
-        return words
-    out = []
-    for w in words:
-        if len(w) * 4 <= WORD_BYTES or len(w.encode("utf-8", "replace")) <= WORD_BYTES:
-            out.append(w)
-        else:
-            out += [w[i : i + WORD_BYTES // 4] for i in range(0, len(w), WORD_BYTES // 4)]
-    return out
+    """White space that no piece contains, and words with the spaces before them, of any length."""
+    return WORDS.findall(" " + text)
 
 
 class Numbers(dict):
@@ -303,7 +311,7 @@ class Numbers(dict):
 
 
 class Kept:
-    """Lattices of frequent words."""
+    """Lattices of frequent words of at most WORD_BYTES."""
 
     def __init__(self, model: Pieces):
         self.numbers, self.lattice = Numbers(), Lattice(model, [])
@@ -313,7 +321,7 @@ class Kept:
         frequent = np.flatnonzero(times >= KEPT_TIMES)[: max(0, KEPT_WORDS - len(self.numbers))]
         if len(frequent) < 1000 and len(self.numbers):
             return
-        words = [fresh[i] for i in frequent]
+        words = [fresh[i] for i in frequent if len(fresh[i].encode("utf-8", "replace")) <= WORD_BYTES]
         for w in words:
             self.numbers[w]  # noqa: B018
         self.lattice = self.lattice.with_more(Lattice(self.lattice.model, [w.encode("utf-8", "replace") for w in words]))
@@ -343,7 +351,7 @@ def topk(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int, kept:
     n = len(texts)
     out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in range(n)]
     docs = np.repeat(np.arange(n), np.diff(bounds))
-    mass = np.concatenate([[0.0], np.cumsum(np.log(lattice.total.take(lattice.start.take(seq))))])  # of all paths of the words before
+    mass = np.concatenate([[0.0], np.cumsum(lattice.log_total(lattice.start.take(seq)))])  # of all paths of the words before
     ordinal = (np.arange(len(seq)) - bounds[docs]).astype(np.uint64) * np.uint64(2 * WORD_BYTES)
     # a region: bound, sample it leaves, piece where it leaves it, edges not to be taken there, log-probability before, chance of those edges
     regions: list[list[tuple[float, int, int, tuple[int, ...], float, float]]] = [[] for _ in range(n)]

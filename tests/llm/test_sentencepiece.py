@@ -84,6 +84,45 @@ def test_results_do_not_depend_on_the_batch(model):
             assert [(x[0].tolist(), round(x[2], 9)) for x in alone[0]] == [(x[0].tolist(), round(x[2], 9)) for x in whole[i]]
 
 
+def log_sums(model, data):
+    """Forward and backward log sums over all segmentations of a word without spaces inside, in logarithms, place by place."""
+    table = {model.bytes[i]: model.scores[i] for i in range(len(model.bytes)) if model.bytes[i] and i not in set(model.byte_ids.tolist())}
+    longest, n = max(map(len, table)), len(data)
+    first = [k for k in range(n + 1) if k == n or data[k] & 0xC0 != 0x80]
+    edges = []
+    for a, b in itertools.pairwise(first):
+        edges += [(a, z, table[data[a:z]]) for z in range(a + 1, min(n, a + longest) + 1) if data[a:z] in table]
+        if data[a:b] not in table:
+            edges.append((a, b, model.least * (b - a)))
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
+    for a, b, lp in edges:
+        forward[b] = np.logaddexp(forward[b], forward[a] + lp)
+    for a, b, lp in reversed(edges):
+        backward[a] = np.logaddexp(backward[a], lp + backward[b])
+    return forward, backward
+
+
+@pytest.mark.parametrize("word", ["internationalization" * 9, "日本語の文章には空白がない" * 8, "the" * 3000])
+def test_long_words_are_not_cut(model, word):
+    data, n = (" " + word).encode(), 1500 if len(word) < 1000 else 3
+    forward, backward = log_sums(model, data)
+    z = forward[-1]
+    assert len(data) > S.WORD_BYTES and abs(z - backward[0]) < 1e-6
+    found = S.topk(model, [word] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), 2)
+    lone = set(model.byte_ids.tolist())
+    for f in found[:: max(1, n // 50)]:
+        for ids, lp, _, _ in f:
+            assert model.decode(ids) == word
+            assert abs(lp - (sum(model.least if i in lone else model.scores[i] for i in ids.tolist()) - z)) < 1e-6 * len(data)
+    if n > 3:
+        for at in (32, 64, 96):  # characters at which words were cut
+            place = len((" " + word)[:at].encode())
+            p = min(1.0, math.exp(forward[place] + backward[place] - z))
+            cut = sum(place in np.cumsum([len(model.bytes[i]) for i in f[0][0].tolist()]) for f in found) / n
+            assert (p < 0.99 or not word.isascii()) and abs(cut - p) < 4 * math.sqrt(p * (1 - p) / n) + 2e-3
+
+
 def test_round_trip_over_a_table(docs, rows):
     out = S.decode(S.encode(docs, k=3)).collect()
     by = Counter()
