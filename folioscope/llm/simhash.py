@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import components, keep, lookup, release, ship, without
 
@@ -206,6 +207,15 @@ def linked(prints: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def near_components(base: DataFrame, limit: int) -> DataFrame:
+    """(fp, n, root, component_id) of the fingerprints of rows (doc_id, fp) that are not alone in their component."""
+    own = keep(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = keep(components(linked(own.select("fp"), limit)))
+    joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"))
+    return keep(joined.join(least.where("all > 1"), "root").select("fp", "n", "root", "component_id"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fp bigint, component_id) for each row of docs, whole texts.
 
@@ -215,16 +225,41 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "
     empty table gives an empty result; other columns are not read.
     """
     base = keep(fingerprints(docs, words, seed, id_col, text_col))
-    own = keep(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = keep(components(linked(own.select("fp"), limit)))
-    joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"))
-    groups = keep(joined.join(least.where("all > 1"), "root").select("fp", "n", "component_id"))
+    groups = near_components(base, limit).drop("root")
     out = lookup(base, groups, "fp", "n", F.col("doc_id"))
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those linked to a smaller id: one document of each group stays, all its columns untouched."""
-    gone = keep(near_groups(docs, words, seed, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)))
-    return without(docs, gone, id_col)
+    """docs but for near copies: one row of each group stays, all its columns untouched.
+
+    That of the smallest id stays, then of the smallest fingerprint and text; rows without an id come last. A row is known by
+    its id and fingerprint, so rows without an id and ids of several rows are judged each by their own text. Only their
+    fingerprints are computed again; other rows go by their id.
+    """
+    base = keep(fingerprints(docs, words, seed, id_col, text_col).withColumnRenamed(id_col, "doc_id"))
+    groups = near_components(base, BLOCK_ROWS)
+    in_group = lookup(base, groups, "fp", "n", F.col("doc_id")).where("root is not null")
+    own = in_group.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("ties"))
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "ties")).alias("first"))
+    groups = keep(groups.join(first, "root").select("fp", "n", "root", F.col("first.doc_id").alias("keep_id"), F.col("first.fp").alias("keep_fp"), F.col("first.ties").alias("ties")))
+    unclear = keep(base.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id"))
+    gone = lookup(base, groups, "fp", "n", F.col("doc_id")).where("root is not null and not (doc_id <=> keep_id and fp = keep_fp)").select("doc_id")
+    gone = keep(gone.unionByName(unclear).where("doc_id is not null").distinct().select(F.col("doc_id").alias(id_col)))
+    if not unclear.limit(1).count():
+        return without(docs, gone, id_col)
+
+    @F.arrow_udf(LongType())
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash(shingle_hashes(t, words, seed)) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    clear = without(docs.where(F.col(id_col).isNotNull()), gone, id_col)
+    again = unclear.where("doc_id is not null").select(F.col("doc_id").alias(id_col))
+    rest = docs.join(again, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    small = groups.select(*(F.col(c).alias(f"__near_{c}") for c in groups.columns))
+    rest = lookup(rest.withColumn("__near_fp", print_of(F.col(text_col))), small, "__near_fp", "__near_n", F.col(id_col))
+    rest = rest.where(F.col("__near_root").isNull() | (F.col(id_col).eqNullSafe(F.col("__near_keep_id")) & (F.col("__near_fp") == F.col("__near_keep_fp"))))
+    ranked = Window.partitionBy("__near_root").orderBy(text_col)
+    tied = rest.where("__near_ties > 1").withColumn("__near_rank", F.row_number().over(ranked)).where("__near_rank = 1")
+    rest = rest.where("__near_ties is null or __near_ties = 1").select(*docs.columns).unionByName(tied.select(*docs.columns))
+    return clear.select(*docs.columns).unionByName(rest)

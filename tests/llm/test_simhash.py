@@ -111,5 +111,18 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r.doc_id for r in out.collect()) == sorted({v for k, v in groups.items() if k is not None})
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(docs, rows):
+    """By rows: of each group one, that of the smallest id, or one without an id if none has one."""
+    extra = docs.sparkSession.createDataFrame([(None, "p q r s t u"), (None, "p q r s t u"), (7, "quite another text of its own"), (8, "p2 q2 r2 s2"), (8, "p2 q2 r2 s2")], "doc_id long, text string")
+    whole = docs.select("doc_id", "text").unionByName(extra)
+    texts = [(r.doc_id, r.text) for r in whole.collect()]
+    comp = brute_components({brute_print(t) for _, t in texts})
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[comp[brute_print(t)]].append(i)
+    want = Counter((g, min((i for i in ids if i is not None), default=None)) for g, ids in groups.items())
+    assert Counter((comp[brute_print(r.text)], r.doc_id) for r in simhash.drop_near_copies(whole).collect()) == want
+
+
 def test_empty(empty):
     assert simhash.near_groups(empty).count() == 0
