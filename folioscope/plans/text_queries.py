@@ -173,7 +173,7 @@ def map_edits(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH g AS (SELECT substr(text, 1, 400) AS t, item_id AS d FROM benchmark), k AS (SELECT d, substr(t, i, 32) AS gram FROM g, LATERAL (SELECT unnest(range(1, greatest(length(t) - 30, 1))) AS i)), u AS (SELECT d, gram FROM k WHERE length(gram) = 32 GROUP BY d, gram HAVING count(*) = 1) SELECT d, count(*) AS grams FROM u GROUP BY d")
 def unique_grams(spark: SparkSession, sf: str) -> DataFrame:
     """H3: runs of 32 characters that occur once in a passage."""
-    g = table(spark, sf, "benchmark").select(F.col("item_id").alias("d"), F.substring("text", 1, 400).alias("t"))
+    g = table(spark, sf, "benchmark").select(F.col("item_id").alias("d"), F.col("text").alias("t"))
     grams = g.where("length(t) >= 32").select("d", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 31), lambda i: F.substring("t", i, F.lit(32)))).alias("gram"))
     return grams.groupBy("d", "gram").count().where("count = 1").groupBy("d").agg(F.count("*").alias("grams"))
 

@@ -101,3 +101,11 @@ def test_identifiers(spark):
     items = F.array(F.lit(1), F.lit(2), F.lit(3))
     assert one(spark, ids.list_move(items, F.lit(0), F.lit(2))) == [2, 3, 1]
     assert one(spark, ids.list_insert(items, F.lit(9), F.lit(4))) == [1, 2, 3, 4]
+
+
+def test_unique_grams_reads_whole_texts(spark, tmp_path):
+    from folioscope.plans import registry
+
+    text = " ".join(f"{i:05d}" for i in range(200))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in registry.QUERIES["unique_grams"](spark, str(tmp_path)).select("d", "grams").collect()] == [(1, len(text) - 31)]
