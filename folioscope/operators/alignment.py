@@ -1,4 +1,4 @@
-"""Alignment of two renderings of one text, break matching, and the agreement measures M1 to M7.
+"""Alignment of two renderings of one text, break matching, and the agreement measures M1 to M7 but for M4 (a gap, see README).
 
 One document is one row: both sides meet as arrays, since each step depends on the last. Streams longer than MAX_CHARS are
 refused with a reason, so a row's work is bounded.

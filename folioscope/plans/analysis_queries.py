@@ -32,7 +32,7 @@ def two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def align_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """J9, AL1 to AL6: two renderings of each turn aligned, their page and line breaks matched."""
+    """J9, AL1 to AL6 without M4: two renderings of each turn aligned, their page and line breaks matched."""
     return AL.compare_layouts(*two_sides(spark, sf))
 
 
