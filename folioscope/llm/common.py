@@ -10,8 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Small sides of joins are broadcast up to this many rows (some tens of MB at most); beyond it they are shuffled.
-BROADCAST_ROWS = 200_000
+#: Small sides of joins are broadcast up to so many bytes, measured; beyond it they are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: What a broadcast row takes besides its values: pointers, key and hash slots.
+ROW_BYTES = 32
 #: A key is hot if it holds at least one row in HOT_SHARE; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
 
@@ -76,14 +78,32 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, salt: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+def measured(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether df, as rows of a broadcast relation, takes at most `limit` bytes (BROADCAST_BYTES), by its rows and the width of their values."""
+    widths = [F.lit(ROW_BYTES)]
+    for name, kind in df.dtypes:
+        col = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            widths.append(F.lit(8) + F.coalesce(F.octet_length(col), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            widths.append(F.lit(8) + F.coalesce(F.octet_length(F.to_json(F.struct(col))) * 2, F.lit(0)))
+        else:
+            widths.append(F.lit(16 if kind.startswith("decimal") else 8))
+    width = widths[0]
+    for w in widths[1:]:
+        width = width + w
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return size <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, salt: Column, limit: int | None = None) -> DataFrame:
     """Left join of big with small on key, which is unique and not null in small; null keys of big match nothing.
 
-    weight is small's column with the number of rows of big that share the key. Small sides of at most `limit` rows are
-    broadcast. Else only the hot keys, at most HOT_SHARE of them, are broadcast, and the rows they match are spread over the
-    shuffle by `salt`, so that no key of whatever size lands in one task.
+    weight is small's column with the number of rows of big that share the key. Small sides of at most `limit` bytes
+    (BROADCAST_BYTES) are broadcast. Else only the hot keys, at most HOT_SHARE of them, are broadcast, and the rows they match are
+    spread over the shuffle by `salt`, so that no key of whatever size lands in one task. small is read several times: keep it.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if measured(small, limit):
         return big.join(F.broadcast(small), key, "left")
     names = [c for c in small.columns if c != key]
     text = F.hex(key) if dict(small.dtypes)[key] == "binary" else F.col(key).cast("string")
@@ -98,29 +118,34 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, salt: Column
     return both.select(*big.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names))
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
-    """docs but for those whose key is in dropped (keys, at most 16 bytes each). Broadcast up to `limit` rows, else shuffled by key."""
-    few = dropped.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """docs but for those whose key is in dropped (keys). Broadcast up to `limit` bytes (BROADCAST_BYTES), else shuffled by key."""
+    return docs.join(F.broadcast(dropped) if measured(dropped, limit) else dropped, key, "left_anti")
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star operation on edges (u, v) with u > v."""
+    """One large-star or small-star operation on edges (u, v) with u > v.
+
+    The least neighbour of each node is a map-side combined minimum, kept with the node's degree; the edges meet it by lookup(),
+    which broadcasts small tables and hubs and spreads a hub's edges over the shuffle by their other end.
+    """
+    both = edges.select("u", "v")
+    if large:
+        both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    met = lookup(both, least, "u", "n", F.col("v"))
     if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        out = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v): root is the least node of its component.
 
-    Alternating large-star and small-star rounds; each is a map-side combined minimum and an equi-join, so hubs are split by
-    the skew join and nothing is gathered. The edges of each round are checkpointed.
+    Alternating large-star and small-star rounds over checkpointed edges. Minima are combined map-side and hubs, however many
+    edges they have, are spread over the shuffle (see star); nothing is gathered.
     """
     now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -129,4 +154,4 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         mark = tuple(seen)
-        now = keep(star(star(now, True), False))
+        now = keep(star(keep(star(now, True)), False))
