@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, keep, lookup, release, ship, without
+from .common import components, keep, lookup, measured, release, ship, without
 
-#: A block of fingerprints that share a candidate key is compared in one task up to this size; larger ones are refined, then cut.
+#: A block of fingerprints that share a candidate key is compared in one task up to this size; larger ones are refined, then cut, before they are sent.
 BLOCK_ROWS = 8192
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits set in each byte, most significant first.
@@ -104,8 +104,8 @@ def links(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, start, fp) sorted by key, into rows (hot, a, b, start): an edge of a and b, or where hot, key a and print b of a block above limit."""
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, start, fp) sorted by key, into edges (u, v); the rows of one key are held together."""
     held: list[np.ndarray] = []
 
     def block(rows: np.ndarray) -> pa.RecordBatch:
@@ -114,7 +114,7 @@ def compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))
         turned = rotate(prints, rows[:, 1])
-        a, b, hot, start = [], [], [], []
+        a, b = [], []
         same = np.repeat(np.arange(len(size)), size)
         for step in range(1, 16):  # blocks of up to 16 prints, all at once
             i = np.flatnonzero((same[step:] == same[:-step]) & (size[same[step:]] <= 16)) if len(same) > step else np.zeros(0, np.int64)
@@ -124,16 +124,12 @@ def compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             a.append(prints[i].view(np.int64))
             b.append(prints[i + step].view(np.int64))
         for f, n in zip(begin[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-            if n > limit:
-                hot.append(rows[f : f + n])
-            elif pairs := links(turned[f : f + n]):
+            if pairs := links(turned[f : f + n]):
                 x, y = np.array(pairs).T
                 a.append(prints[f + x].view(np.int64))
                 b.append(prints[f + y].view(np.int64))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        rest = np.concatenate(hot) if hot else np.zeros((0, 3), np.int64)
-        start = np.concatenate([np.zeros(len(a), np.int64), rest[:, 1]])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)) >= len(a)), pa.array(np.concatenate([a, rest[:, 0]])), pa.array(np.concatenate([b, rest[:, 2]])), pa.array(start)], ["hot", "a", "b", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -166,45 +162,71 @@ def candidate_keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*rows)).alias("k")).select("k.key", "k.start", "fp")
 
 
+def hot_keys(keys: DataFrame, limit: int) -> DataFrame | None:
+    """(key, n) of the keys with more than `limit` rows, kept; None without any.
+
+    Rows are counted map-side, first by the key's upper part (2^19 groups at most for candidate_keys, whatever the input). Only
+    where such a part holds more than the limit are its keys counted, again map-side; the table of parts is broadcast if it is
+    small enough, as measured.
+    """
+    part = F.shiftright("key", 8)
+    heavy = keep(keys.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).where(F.col("rows") > limit).select("part"))
+    if not heavy.limit(1).count():
+        return None
+    inside = keys.select("key", part.alias("part"))
+    if measured(heavy):
+        inside = inside.join(F.broadcast(heavy), "part", "left_semi")
+    hot = keep(inside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    return hot if hot.limit(1).count() else None
+
+
 def refined_keys(hot: DataFrame) -> DataFrame:
-    """Larger blocks, cut further: the 40 bits outside the key hold at most three differences, so one of their four tenths is equal."""
-    turned = F.when(F.col("start") == 0, F.col("b"))
+    """Rows (key, start, fp) of hot keys, cut further: the 40 bits outside the key hold at most three differences, so one of their four tenths is equal."""
+    turned = F.when(F.col("start") == 0, F.col("fp"))
     for i in range(1, 4):
-        turned = turned.when(F.col("start") == i, F.shiftleft("b", 16 * i).bitwiseOR(F.shiftrightunsigned("b", 64 - 16 * i)))
-    half = F.shiftrightunsigned("a", 24).bitwiseAND(F.lit(1))  # which half of the second segment is in the key
+        turned = turned.when(F.col("start") == i, F.shiftleft("fp", 16 * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * i)))
+    half = F.shiftrightunsigned("key", 24).bitwiseAND(F.lit(1))  # which half of the second segment is in the key
     other = F.when(half == 0, F.shiftrightunsigned(turned, 32)).otherwise(F.shiftrightunsigned(turned, 40)).bitwiseAND(F.lit(0xFF))
     rest = F.shiftleft(other, 32).bitwiseOR(turned.bitwiseAND(F.lit(0xFFFFFFFF)))
     rows = [F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(rest, 30 - 10 * j).bitwiseAND(F.lit(0x3FF)).alias("part")) for j in range(4)]
-    out = hot.select("a", "b", "start", F.explode(F.array(*rows)).alias("k"))
-    return out.select((F.col("a") * 4096 + F.col("k.j") * 1024 + F.col("k.part")).alias("key"), "start", F.col("b").alias("fp"))
+    out = hot.select("key", "start", "fp", F.explode(F.array(*rows)).alias("k"))
+    return out.select((F.col("key") * 4096 + F.col("k.j") * 1024 + F.col("k.part")).alias("key"), "start", "fp")
 
 
 def block_pairs(hot: DataFrame, limit: int) -> DataFrame:
-    """What is still larger, in blocks: each pair of cells of a key becomes a key of its own, so every pair of prints meets in some task."""
-    sizes = hot.groupBy("a").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") * 2 / F.lit(limit)))
-    cell = F.pmod(F.xxhash64("b"), F.col("cells"))
-    rows = hot.join(sizes, "a").withColumn("cell", cell)
+    """Rows (key, start, fp, n), n being the key's rows: each pair of cells of a key becomes a key of its own, so every pair of prints meets in some task."""
+    rows = hot.withColumn("cells", F.ceil(F.col("n") * 2 / F.lit(limit))).withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    return other.select(F.xxhash64("a", F.least("cell", "other"), F.greatest("cell", "other")).alias("key"), "start", F.col("b").alias("fp"))
+    return other.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("key"), "start", "fp")
 
 
 def linked(prints: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): edges that span the components of distinct fingerprints (column fp) linked at three or fewer differing bits."""
+    """(u, v): edges that span the components of distinct fingerprints (column fp, kept) linked at three or fewer differing bits.
+
+    Keys with more than `limit` rows are known by their counts before any row is sent, so no task gets one whole: their rows are
+    cut finer, and what is still above the limit goes in pairs of cells of half a limit each, about.
+    """
     ship(prints.sparkSession)
 
-    def meet(keys: DataFrame, most: int) -> DataFrame:
-        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: compare(it, most), "hot boolean, a long, b long, start long")
+    def meet(keys: DataFrame) -> DataFrame:
+        return keys.select("key", "start", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+
+    def split(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(rows of other keys, rows of hot ones with n)."""
+        hot = hot_keys(keys, limit)
+        if hot is None:
+            return keys, None
+        marked = lookup(keys, hot, "key", "n", F.col("fp"))
+        return marked.where("n is null"), marked.where("n is not null")
 
-    found = keep(meet(candidate_keys(prints), limit))
-    edges = found.where("not hot").select("a", "b")
-    if found.where("hot").limit(1).count():
-        finer = keep(meet(refined_keys(found.where("hot")), limit))
-        edges = edges.unionByName(finer.where("not hot").select("a", "b"))
-        if finer.where("hot").limit(1).count():
-            # cells hold half a limit on average; no further limit, as a pair of cells is bounded by its share of the key
-            last = meet(block_pairs(finer.where("hot"), limit), 1 << 62)
-            edges = edges.unionByName(last.select("a", "b"))
-    return edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    plain, hot = split(candidate_keys(prints))
+    edges = meet(plain)
+    if hot is not None:
+        plain, hot = split(keep(refined_keys(hot)))
+        edges = edges.unionByName(meet(plain))
+        if hot is not None:
+            edges = edges.unionByName(meet(block_pairs(hot, limit)))
+    return edges
 
 
 def near_components(base: DataFrame, limit: int) -> DataFrame:
@@ -213,7 +235,8 @@ def near_components(base: DataFrame, limit: int) -> DataFrame:
     roots = keep(components(linked(own.select("fp"), limit)))
     joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"))
-    return keep(joined.join(least.where("all > 1"), "root").select("fp", "n", "root", "component_id"))
+    least = keep(least.where("all > 1"))
+    return keep(lookup(joined, least, "root", "all", F.col("fp")).where("all is not null").select("fp", "n", "root", "component_id"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_ROWS) -> DataFrame:
@@ -241,8 +264,8 @@ def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42, id_col: st
     groups = near_components(base, BLOCK_ROWS)
     in_group = lookup(base, groups, "fp", "n", F.col("doc_id")).where("root is not null")
     own = in_group.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("ties"))
-    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "ties")).alias("first"))
-    groups = keep(groups.join(first, "root").select("fp", "n", "root", F.col("first.doc_id").alias("keep_id"), F.col("first.fp").alias("keep_fp"), F.col("first.ties").alias("ties")))
+    first = keep(own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "ties")).alias("first"), F.count("*").alias("all")))
+    groups = keep(lookup(groups, first.select("root", "first", "all"), "root", "all", F.col("fp")).select("fp", "n", "root", F.col("first.doc_id").alias("keep_id"), F.col("first.fp").alias("keep_fp"), F.col("first.ties").alias("ties")))
     unclear = keep(base.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id"))
     gone = lookup(base, groups, "fp", "n", F.col("doc_id")).where("root is not null and not (doc_id <=> keep_id and fp = keep_fp)").select("doc_id")
     gone = keep(gone.unionByName(unclear).where("doc_id is not null").distinct().select(F.col("doc_id").alias(id_col)))
@@ -259,7 +282,6 @@ def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42, id_col: st
     small = groups.select(*(F.col(c).alias(f"__near_{c}") for c in groups.columns))
     rest = lookup(rest.withColumn("__near_fp", print_of(F.col(text_col))), small, "__near_fp", "__near_n", F.col(id_col))
     rest = rest.where(F.col("__near_root").isNull() | (F.col(id_col).eqNullSafe(F.col("__near_keep_id")) & (F.col("__near_fp") == F.col("__near_keep_fp"))))
-    ranked = Window.partitionBy("__near_root").orderBy(text_col)
-    tied = rest.where("__near_ties > 1").withColumn("__near_rank", F.row_number().over(ranked)).where("__near_rank = 1")
-    rest = rest.where("__near_ties is null or __near_ties = 1").select(*docs.columns).unionByName(tied.select(*docs.columns))
+    tied = rest.where("__near_ties > 1").groupBy("__near_root").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("__near_one"))
+    rest = rest.where("__near_ties is null or __near_ties = 1").select(*docs.columns).unionByName(tied.select("__near_one.*"))
     return clear.select(*docs.columns).unionByName(rest)

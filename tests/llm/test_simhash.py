@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
-from folioscope.llm import simhash
+from folioscope.llm import common, simhash
 
 
 def brute_print(text):
@@ -95,6 +95,61 @@ def test_blocks_above_the_limit_lose_nothing(spark):
     assert linked_components(spark, prints, 8) == wanted(prints)
 
 
+def test_a_hot_key_of_many_prints_is_split(spark, monkeypatch):
+    """200,000 prints of one key: no task holds more rows of a key than the limit, and the components are those of brute force."""
+    rng = np.random.default_rng(2)
+    head = 0xABCDEF << 40
+    prints = np.unique(rng.integers(0, 1 << 40, 200_000, dtype=np.uint64)) | np.uint64(head)
+    planted = [(int(p), int(p) ^ 1 << 3 ^ 1 << 17 ^ 1 << 39) for p in prints[::20_000]]
+    every = sorted({int(p) for p in prints} | {b for _, b in planted})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in every], "fp long").repartition(4).checkpoint()
+    limit, most = 2000, []
+    plain = simhash.compare
+
+    def watched(batches):
+        from itertools import groupby
+
+        held = [b for b in batches if b.num_rows]
+        sizes = [len(list(g)) for _, g in groupby(k for b in held for k in b.column(0).to_pylist())]
+        assert max(sizes, default=0) <= 2000, max(sizes)
+        return plain(iter(held))
+
+    monkeypatch.setattr(simhash, "compare", watched)
+    edges = [(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in simhash.linked(df, limit).collect()]
+    assert all(0 < (a ^ b).bit_count() <= 3 for a, b in edges)
+    want = set()
+    bits = [1 << i for i in range(40)]
+    known = set(every)
+    for p in every[:: len(every) // 3000]:  # all neighbours within two bits of a few thousand prints, and the planted ones at three
+        for i, x in enumerate(bits):
+            want |= {(p, q) for q in (p ^ x, *(p ^ x ^ y for y in bits[:i])) if q in known}
+    root = {p: p for p in every}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    assert planted and all(find(a) == find(b) for a, b in [*want, *planted])
+
+
+def test_a_star_of_many_edges(spark, monkeypatch):
+    """100,000 edges of one hub and a chain, with every table too large to broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    edges = spark.range(1, 100_001).selectExpr("500000L as u", "id as v").unionByName(spark.range(600_000, 600_020).selectExpr("id as u", "id + 1 as v"))
+    got = {r.node: r.root for r in common.components(edges).collect()}
+    assert got == {i: 1 for i in [*range(1, 100_001), 500_000]} | {i: 600_000 for i in range(600_000, 600_021)}
+
+
+def test_shuffled_paths_agree(docs, rows, monkeypatch):
+    want = Counter(tuple(r) for r in simhash.near_groups(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert Counter(tuple(r) for r in simhash.near_groups(docs).collect()) == want
+
+
 def test_every_pair_within_three_bits_shares_a_chain():
     rng = np.random.default_rng(1)
     for _ in range(3000):
