@@ -21,6 +21,8 @@ WIDTH = 64
 HEADER = 33
 #: Bytes of a shard that one reading task takes, about.
 READ_BYTES = 8 << 20
+#: What was read for payloads of several rows is broadcast to them up to so many bytes; both sides are narrow, a shuffle is cheap.
+FOUND_BYTES = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -159,23 +161,21 @@ def read_back(index: DataFrame, folder: str, whole: bool) -> DataFrame:
 
 
 def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """(index, others, folder): index has the rows whose payload was written, others (doc_id, n_bytes, digest, owner, n) those that share one.
+    """(index, others, folder): index has the rows whose payload was written, others (doc_id, n_bytes, digest) those that share one.
 
-    Each payload is stored once: of the n rows with one digest only that of the smallest id, the owner, is written. The others
-    are left out by an anti-join on (digest, id), broadcast up to two million rows of 16 bytes, else shuffled. Rows without an
-    id, and repeated rows, may be written more than once.
+    Each payload is stored once: of the n rows with one digest only that of the smallest id, the owner, is written. Payloads meet
+    the owners by lookup() on a hash of the digest: broadcast up to a measured size, beyond it hot digests are spread. Digests
+    whose hashes collide, rows without an id and repeated rows may be written more than once; each row is read back all the same.
     """
     folder = folder or new_folder(docs.sparkSession, "media")
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    data = docs.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), padded(F.col(text_col)).alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    rows = keep(data.select("doc_id", "n_bytes", "digest"))
-    many = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
-    others = keep(lookup(rows, many, "digest", "n", F.col("doc_id")).where("doc_id <> owner"))
-    limit = 2_000_000
-    few = others.limit(limit + 1).count() <= limit
-    left_out = others.select(F.col("doc_id").alias("other"), F.xxhash64("digest").alias("h"))
-    same = (F.col("doc_id") == F.col("other")) & (F.xxhash64("digest") == F.col("h"))
-    own = data.join(F.broadcast(left_out) if few else left_out, same, "left_anti")
+    data = docs.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), padded(F.col(text_col)).alias("payload"))
+    data = data.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("h", F.xxhash64("digest"))
+    rows = keep(data.select("doc_id", "n_bytes", "digest", "h"))
+    many = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    many = keep(many.where("n > 1 and low = high").select("h", "owner", "n"))
+    others = keep(lookup(rows, many, "h", "n", F.col("doc_id")).where("doc_id <> owner").select("doc_id", "n_bytes", "digest"))
+    own = lookup(data, many, "h", "n", F.col("doc_id")).where("not coalesce(doc_id <> owner, false)")
     return keep(store(own, folder)), others, folder
 
 
@@ -194,5 +194,5 @@ def text_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id
     again = index.join(shared, "digest").groupBy("digest", "n").agg(F.min(F.struct("shard", "at", "length")).alias("p"))
     again = again.select(F.col("n").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), "digest", "p.*")
     found = keep(read_back(again, folder, True).withColumnRenamed("doc_id", "n").drop("n_bytes"))
-    rest = lookup(others.select("doc_id", "n_bytes", "digest"), found, "digest", "n", F.col("doc_id"))
+    rest = lookup(others, found, "digest", "n", F.col("doc_id"), FOUND_BYTES)
     return own.unionByName(rest.select(*own.columns))

@@ -2,7 +2,7 @@ import hashlib
 import zlib
 from collections import Counter
 
-from folioscope.llm import media
+from folioscope.llm import common, media
 
 
 def payload(text):
@@ -43,6 +43,12 @@ def test_shards_are_tars_with_each_payload_once(spark, docs, rows, tmp_path):
     assert len(heads) == len(texts) and all(h.width == 64 and h.bits == 8 for h in heads)
 
 
+def test_shuffled_paths_agree(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(media, "FOUND_BYTES", 0)
+    assert Counter(tuple(r) for r in media.text_media(docs).select(COLUMNS).collect()) == expected(rows)
+
+
 def test_empty(empty):
     assert media.text_media(empty).count() == 0
 
@@ -50,3 +56,18 @@ def test_empty(empty):
 def test_pictures_are_lossless():
     for data in (bytes(64), bytes(range(256)) * 8, b"x" * 6400):
         assert media.samples(media.png(data)) == data
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    """Few wide rows are shuffled, as many narrow ones are broadcast; nulls and nested values count too."""
+    narrow = spark.range(2000).selectExpr("id as k", "1L as n")
+    wide = spark.range(2000).selectExpr("id as k", "1L as n", "repeat('x', 50000) as w")
+    big = spark.range(10).selectExpr("id as k")
+
+    def sides(small):
+        plan = common.lookup(big, small, "k", "n", common.F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+        return "__hot_n" in plan
+
+    assert not sides(narrow) and sides(wide)
+    assert not common.measured(wide) and common.measured(narrow)
+    assert common.measured(spark.sql("select cast(null as string) as k, map('a', 1) as m, array(1, 2) as a"))
