@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,16 @@ from ..functions import text as T
 PUBLIC_LICENSES = ("Apache-2.0", "MIT", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")
 
 
-def list_documents(corpus: DataFrame, feature: str | None = None, source: str | None = None, font: str | None = None, script: str | None = None, known: Sequence[str] | None = None) -> DataFrame:
-    """Rows that satisfy all given conditions; untagged rows (null arrays) satisfy none. Only the feature is checked against the known ones."""
+def places_of(corpus: DataFrame) -> DataFrame:
+    """(sha256, at, source, path) of a catalogue that holds its places as an array, such as a manifest."""
+    return corpus.select("sha256", F.posexplode("provenance").alias("at", "place")).select("sha256", "at", "place.source", "place.path")
+
+
+def list_documents(corpus: DataFrame, feature: str | None = None, source: str | None = None, font: str | None = None, script: str | None = None, known: Sequence[str] | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Rows that satisfy all given conditions; untagged rows (null arrays) satisfy none. Only the feature is checked against the known ones.
+
+    A source is any of a document's places: a semi-join with `places`, or with the corpus' own array of them.
+    """
     if feature is not None and known is not None and feature not in known:
         raise ValueError(f"{feature!r} is not a feature")
     out = corpus
@@ -24,13 +33,13 @@ def list_documents(corpus: DataFrame, feature: str | None = None, source: str |
     if script is not None:
         out = out.where(F.map_contains_key("scripts", script))
     if source is not None:
-        out = out.where(F.exists("provenance", lambda p: p["source"] == source))
+        found = places_of(corpus) if places is None else places
+        out = out.join(found.where(F.col("source") == source).select("sha256"), "sha256", "left_semi")
     return out
 
 
-def public_name(tier: Column, provenance: Column) -> Column:
+def public_name(tier: Column, first: Column) -> Column:
     """`source:path` of the first place, the source alone without a path, null for private documents."""
-    first = F.element_at(provenance, 1)
     return F.when(tier != "T2", F.concat_ws(":", T.printable(first["source"], 100), T.printable(first["path"], 300)))
 
 
@@ -71,11 +80,54 @@ def listing_difference(expected: DataFrame, listed: DataFrame) -> DataFrame:
     return missing.unionByName(listed.select("path").join(expected.select("path"), "path", "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
-def deduplicate(rows: DataFrame) -> DataFrame:
-    """Rows (sha256, size, source, path, seq) into documents: the first place decides source and licence, all places are kept in order."""
-    places = F.array_sort(F.collect_list(F.struct("seq", "source", "path")))
-    out = rows.groupBy("sha256").agg(F.max("size").alias("size"), places.alias("places"))
-    return out.select("sha256", "size", F.element_at("places", 1)["source"].alias("source"), F.transform("places", lambda p: F.struct(p["source"].alias("source"), p["path"].alias("path"))).alias("provenance"))
+def deduplicate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (sha256, size, source, path, seq) into documents and places: (sha256, size, source, places) and (sha256, at, source, path).
+
+    The first place decides the source; all places are kept, as rows, in order of `at`. Copies of any number combine map-side.
+    """
+    out = rows.groupBy("sha256").agg(F.max("size").alias("size"), F.min(F.struct("seq", "source")).alias("head"), F.count("*").alias("places"))
+    return out.select("sha256", "size", F.col("head.source").alias("source"), "places"), rows.select("sha256", F.col("seq").alias("at"), "source", "path")
+
+
+#: Characters of passages that are searched for in one pass over the texts; further ones take further passes.
+PASSAGE_CHARS = 1 << 20
+
+
+def holding(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_col: str = "text", chars: int | None = None) -> DataFrame:
+    """(id) of each document that contains one of the passages, character by character, each id once.
+
+    The passages, in blocks of about `chars` characters by their hash, become an automaton that finds all of a block in one pass
+    over a text, whatever their lengths; whole texts, linear in their length. Null texts hold nothing, null passages are not
+    looked for, and an empty passage is held by every text.
+    """
+    wanted = passages.select(F.col(passage_col).alias("p")).where("p is not null").distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.length("p") + 1), F.lit(0))).first()[0]
+    blocks = int(size // (PASSAGE_CHARS if chars is None else chars)) + 1
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+
+    def pass_of(block: list[str]) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in block:
+                if p:
+                    automaton.add_word(p)
+            automaton.make_automaton()
+            every = "" in block
+            for batch in batches:
+                hit = [every or (len(automaton) > 0 and next(automaton.iter(t), None) is not None) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], ["id"])
+
+        return texts.mapInArrow(find, f"id {kind}")
+
+    out = None
+    for n in range(blocks):
+        block = [r.p for r in wanted.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == n).collect()]  # one block of passages at a time
+        found = pass_of(block)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct().withColumnRenamed("id", id_col)
 
 
 def ingest(incoming: DataFrame, corpus: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -105,43 +157,49 @@ def ingest(incoming: DataFrame, corpus: DataFrame, exclusions: DataFrame) -> Dat
     return rows.select(*incoming.columns, decision.alias("decision"))
 
 
-def violations(corpus: DataFrame, sources: DataFrame) -> DataFrame:
-    """(sha256, rule) for each rule that a document of the catalogue breaks; sources has name and license.
+def violations(corpus: DataFrame, places: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sha256, rule) for each rule that a document of the catalogue breaks.
 
-    One scan for the rules of a row, one equi-join for those between documents and sources, one aggregate for those between
-    documents.
+    corpus has a row for each document, places (sha256, at, source, path) one for each of its places, sources name and license.
+    Places are combined map-side, first by place and then by document, so documents of any number of places are one narrow row.
     """
     def rule(condition: Column, name: str) -> Column:
         return F.when(condition, F.lit(name))
 
+    by_place = places.groupBy("sha256", "source", "path").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    by_doc = by_place.groupBy("sha256").agg(
+        (F.max("n") > 1).alias("repeated"),
+        F.bool_or(F.col("path").isNotNull()).alias("has_path"),
+        F.bool_or(F.coalesce(~T.is_relative_path(F.col("path")), F.lit(False))).alias("bad_path"),
+        F.min(F.struct("at", "source"))["source"].alias("first_source"),
+    )
     private = F.col("tier") == "T2"
-    paths = F.filter(F.transform("provenance", lambda p: p["path"]), lambda p: p.isNotNull())
     sorted_ = lambda c: F.coalesce(F.col(c) == F.array_sort(F.array_distinct(c)), F.lit(True))
-    own = corpus.select(
+    joined = corpus.join(by_doc, "sha256", "left").join(sources.select(F.col("name").alias("first_source"), F.col("license").alias("source_license")), "first_source", "left")
+    own = joined.select(
         "sha256",
         F.explode(
             F.array_compact(
                 F.array(
                     rule(F.col("size") <= 0, "size"),
                     rule(private & (F.col("license") != "NOASSERTION"), "private license"),
-                    rule(private & (F.size(paths) > 0), "private path"),
+                    rule(private & F.col("has_path"), "private path"),
                     rule(~private & ~F.col("license").isin(*PUBLIC_LICENSES), "license"),
-                    rule(F.size("provenance") < 1, "no provenance"),
-                    rule(F.size(F.array_distinct("provenance")) < F.size("provenance"), "provenance twice"),
-                    rule(F.exists(paths, lambda p: ~T.is_relative_path(p)), "path"),
+                    rule(F.col("repeated").isNull(), "no provenance"),
+                    rule(F.col("repeated"), "provenance twice"),
+                    rule(F.col("bad_path"), "path"),
                     rule(F.col("features").isNull(), "not tagged"),
                     rule(~sorted_("features"), "features not sorted"),
+                    rule(~private & (F.col("source_license") != F.col("license")), "license differs from source"),
                 )
             )
         ).alias("rule"),
     )
-    places = corpus.select("sha256", "tier", "license", F.posexplode("provenance").alias("at", "place")).select("sha256", "tier", "license", "at", "place.*")
-    joined = places.join(sources.select(F.col("name").alias("source"), F.col("license").alias("source_license")), "source", "left")
-    between = joined.where("source_license is null").select("sha256", F.lit("source not defined").alias("rule")).distinct()
-    differs = joined.where("at = 0 and tier <> 'T2' and source_license <> license").select("sha256", F.lit("license differs from source").alias("rule"))
-    shared = places.where("path is not null").groupBy("source", "path").agg(F.min("sha256").alias("a"), F.max("sha256").alias("sha256")).where("a <> sha256").select("sha256", F.lit("path of two documents").alias("rule")).distinct()
+    named = by_place.select("sha256", "source").distinct().join(sources.select(F.col("name").alias("source")), "source", "left_anti")
+    between = named.select("sha256", F.lit("source not defined").alias("rule")).distinct()
+    shared = by_place.where("path is not null").groupBy("source", "path").agg(F.min("sha256").alias("a"), F.max("sha256").alias("sha256")).where("a <> sha256").select("sha256", F.lit("path of two documents").alias("rule")).distinct()
     twice = corpus.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1").select("sha256", F.lit("document twice").alias("rule"))
-    return own.unionByName(between).unionByName(differs).unionByName(shared).unionByName(twice)
+    return own.unionByName(between).unionByName(shared).unionByName(twice)
 
 
 def new_problems(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import catalog as C
-from ..sources.tables import CATALOGUE_SQL, FEATURES, TAGGER, UNDETECTABLE, catalogue, license_of, table
+from ..sources.tables import CATALOGUE_SQL, FEATURES, TAGGER, UNDETECTABLE, catalogue, license_of, places, table
 from .base import registry
 
 QUERIES, SQL, query = registry()
@@ -36,7 +36,7 @@ def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query(share_sql(CORPUS.rstrip(), "source", "name"))
 def freq_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by first source, with their share, most first. The flagship."""
-    return A.counts(catalogue(spark, sf), F.element_at("provenance", 1)["source"])
+    return A.counts(catalogue(spark, sf), F.col("first.source"))
 
 
 @query(share_sql(CORPUS.rstrip(), "tier", "name"))
@@ -91,19 +91,19 @@ def script_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(CORPUS + "SELECT sha256, size, tier, license FROM corpus WHERE list_contains(features, 'Tables') AND len(list_filter(places, lambda p: p.source = 'src1')) > 0")
 def list_filter(spark: SparkSession, sf: str) -> DataFrame:
     """documents with a feature and from a source."""
-    return C.list_documents(catalogue(spark, sf), feature="Tables", source="src1", known=list(FEATURES)).select("sha256", "size", "tier", "license")
+    return C.list_documents(catalogue(spark, sf), feature="Tables", source="src1", known=list(FEATURES), places=places(spark, sf)).select("sha256", "size", "tier", "license")
 
 
 @query(CORPUS + "SELECT sha256, CASE WHEN tier <> 'T2' THEN source || ':docs/' || places[1].doc_id || '.txt' END AS name FROM corpus")
 def public_name(spark: SparkSession, sf: str) -> DataFrame:
     """names of public documents, none of private ones."""
-    return catalogue(spark, sf).select("sha256", C.public_name(F.col("tier"), F.col("provenance")).alias("name"))
+    return catalogue(spark, sf).select("sha256", C.public_name(F.col("tier"), F.col("first")).alias("name"))
 
 
 @query(CORPUS + "SELECT sha256 FROM corpus WHERE len(places) % 2 = 0 OR size % 5 = 0")
 def retag_predicate(spark: SparkSession, sf: str) -> DataFrame:
     """documents without a scan, or with one of another version (stand-ins: an even number of places; a size divisible by five)."""
-    tagger = F.when(F.size("provenance") % 2 != 0, F.when(F.col("size") % 5 == 0, F.lit(TAGGER - 1)).otherwise(F.lit(TAGGER)))
+    tagger = F.when(F.col("places") % 2 != 0, F.when(F.col("size") % 5 == 0, F.lit(TAGGER - 1)).otherwise(F.lit(TAGGER)))
     return C.to_retag(catalogue(spark, sf).withColumn("tagger", tagger), TAGGER).select("sha256")
 
 
@@ -134,19 +134,8 @@ def exclusion_anti(spark: SparkSession, sf: str) -> DataFrame:
     return C.admitted(docs.select(F.col("doc_id").alias("sha256"), "source"), held_passages(docs, bench)).withColumnRenamed("sha256", "doc_id")
 
 
-def held_passages(docs: DataFrame, bench: DataFrame, most: int = 10_000) -> DataFrame:
-    """Digests' stand-ins of documents that contain a passage.
-
-    The passages are one row: an array that is tested in the row while it has at most `most` entries; beyond, words that begin a
-    passage become the key of an equi-join before the test.
-    """
-    if bench.limit(most + 1).count() <= most:
-        one = bench.agg(F.collect_list("text").alias("passages"))
-        return docs.join(F.broadcast(one)).where(F.exists("passages", lambda p: F.contains(F.col("text"), p))).select(F.col("doc_id").alias("sha256")).distinct()
-    key = lambda c: F.substring(c, 1, 24)
-    starts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1)))).alias("at")).withColumn("key", F.expr("substring(text, at, 24)"))
-    hits = starts.join(bench.select(key(F.col("text")).alias("key"), F.col("text").alias("passage")), "key").where(F.expr("startswith(substring(text, at), passage)"))
-    return hits.select(F.col("doc_id").alias("sha256")).distinct()
+def held_passages(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    return C.holding(docs, bench).withColumnRenamed("doc_id", "sha256")
 
 
 @query(CORPUS + """, src AS (SELECT DISTINCT source AS name, ['Apache-2.0', 'MIT', 'CC0-1.0', 'CC-BY-4.0'][(regexp_extract(source, '([0-9]+)$', 1)::INT % 4) + 1] AS license FROM documents WHERE source <> 'src13'),
@@ -157,7 +146,7 @@ UNION ALL SELECT sha256, 'provenance twice' FROM corpus WHERE tier = 'T2' AND le
 def source_license_check(spark: SparkSession, sf: str) -> DataFrame:
     """Rules that documents of the catalogue break; one source is left undefined on purpose."""
     sources = table(spark, sf, "documents").select(F.col("source").alias("name")).distinct().where("name <> 'src13'")
-    return C.violations(catalogue(spark, sf), sources.withColumn("license", license_of(F.col("name"))))
+    return C.violations(catalogue(spark, sf), places(spark, sf), sources.withColumn("license", license_of(F.col("name"))))
 
 
 @query("SELECT sha256(text) AS sha256, strlen(any_value(text))::BIGINT AS size, arg_min(source, doc_id) AS source, count(*) AS places FROM documents GROUP BY 1")
@@ -165,7 +154,7 @@ def dedup_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     """One document for each content, places appended in order of arrival."""
     docs = table(spark, sf, "documents")
     rows = docs.select(F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), "source", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("seq"))
-    return C.deduplicate(rows).select("sha256", "size", "source", F.size("provenance").cast("long").alias("places"))
+    return C.deduplicate(rows)[0]
 
 
 @query("""WITH i AS (SELECT doc_id AS seq, sha256(text) AS h, source, CASE WHEN doc_id % 97 = 0 THEN '../x' ELSE 'p/' || doc_id % 1000 END AS path, CASE WHEN doc_id % 10 = 0 THEN 'T3' ELSE 'T1' END AS tier, doc_id % 89 <> 0 AS readable, doc_id % 31 <> 0 AS scannable FROM documents),

@@ -133,11 +133,11 @@ def iban_check(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", iban.alias("iban"), T.iban_valid(iban).alias("valid"))
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 12) AS short, 'objects/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS key, base64(encode(substr(text, 1, 30))) AS head FROM documents")
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS short, 'objects/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS key, sha256(base64(encode(text))) AS body FROM documents")
 def content_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Identities, store keys, base64."""
+    """Identities, store keys, the digest of the whole text in base64 (without line breaks)."""
     digest = F.sha2("text", 256)
-    return table(spark, sf, "documents").select("doc_id", I.short(digest).alias("short"), I.object_key(digest).alias("key"), F.base64(F.substring("text", 1, 30).cast("binary")).alias("head"))
+    return table(spark, sf, "documents").select("doc_id", I.short(digest).alias("short"), I.object_key(digest).alias("key"), F.sha2(F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")), 256).alias("body"))
 
 
 @query()
@@ -170,7 +170,7 @@ def map_edits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.size(put).alias("entries"), put[F.col("event_type")].alias("value"), F.try_element_at(I.map_remove(put, F.col("event_type")), F.col("event_type")).alias("removed"))
 
 
-@query("WITH g AS (SELECT substr(text, 1, 400) AS t, item_id AS d FROM benchmark), k AS (SELECT d, substr(t, i, 32) AS gram FROM g, LATERAL (SELECT unnest(range(1, greatest(length(t) - 30, 1))) AS i)), u AS (SELECT d, gram FROM k WHERE length(gram) = 32 GROUP BY d, gram HAVING count(*) = 1) SELECT d, count(*) AS grams FROM u GROUP BY d")
+@query("WITH g AS (SELECT text AS t, item_id AS d FROM benchmark), k AS (SELECT d, substr(t, i, 32) AS gram FROM g, LATERAL (SELECT unnest(range(1, greatest(length(t) - 30, 1))) AS i)), u AS (SELECT d, gram FROM k WHERE length(gram) = 32 GROUP BY d, gram HAVING count(*) = 1) SELECT d, count(*) AS grams FROM u GROUP BY d")
 def unique_grams(spark: SparkSession, sf: str) -> DataFrame:
     """H3: runs of 32 characters that occur once in a passage."""
     g = table(spark, sf, "benchmark").select(F.col("item_id").alias("d"), F.col("text").alias("t"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import re
 import struct
 import zipfile
@@ -12,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,43 +185,54 @@ def content_types(package_parts: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("doc", "part", F.coalesce("o", "d").alias("content_type"))
 
 
-def resolve_target(base: str, target: str) -> str | None:
-    """The part that a target names, from the part that refers to it; null if it would leave the package."""
-    if target.startswith("/"):
-        path = posixpath.normpath(target.lstrip("/"))
-    else:
-        path = posixpath.normpath(posixpath.join(posixpath.dirname(base), target))
-    return None if path.startswith("..") or path == "." else path
+def resolve_target(base: Column, target: Column) -> Column:
+    """The part that a target names, from the part that refers to it; null if it would leave the package. Segments are folded in the row."""
+    here = F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(F.split(base, "/"), F.lit(1), F.size(F.split(base, "/")) - 1))
+
+    def step(path: Column, segment: Column) -> Column:
+        up = F.when(F.size(path) > 0, F.slice(path, F.lit(1), F.size(path) - 1))  # above the root: null, and stays so
+        return F.when(segment == "..", up).when(segment.isin("", "."), path).otherwise(F.concat(path, F.array(segment)))
+
+    folded = F.aggregate(F.concat(here, F.split(target, "/")), F.array().cast("array<string>"), step)
+    return F.nullif(F.array_join(folded, "/"), F.lit(""))
 
 
 def relationships(events: DataFrame) -> DataFrame:
     """(doc, source, id, type, target, external) of a package's relationship parts; targets resolved to parts."""
-    @F.udf("string")
-    def resolve(base: str, target: str) -> str | None:
-        return resolve_target(base, target)
-
     rows = events.where("part like '%.rels' and kind = 'start' and name = 'Relationship'")
     source = F.regexp_replace(F.regexp_replace("part", "(^|/)_rels/", "$1"), r"\.rels$", "")
     external = F.coalesce(F.col("attributes")["TargetMode"] == "External", F.lit(False))
     target = F.col("attributes")["Target"]
-    return rows.select("doc", source.alias("source"), F.col("attributes")["Id"].alias("id"), F.regexp_extract(F.col("attributes")["Type"], "([^/]+)$", 1).alias("type"), F.when(external, target).otherwise(resolve(source, target)).alias("target"), external.alias("external"))
+    return rows.select("doc", source.alias("source"), F.col("attributes")["Id"].alias("id"), F.regexp_extract(F.col("attributes")["Type"], "([^/]+)$", 1).alias("type"), F.when(external, target).otherwise(resolve_target(source, target)).alias("target"), external.alias("external"))
 
 
 def of_type(edges: DataFrame, kind: str) -> DataFrame:
     return edges.where(F.col("type") == kind)
 
 
-def reachable(edges: DataFrame, root: str = "", rounds: int = 16) -> DataFrame:
-    """(doc, part) reached from the root by internal relationships: joins until no new part is found, at most `rounds`."""
-    inner = edges.where("not external and target is not null").select("doc", "source", "target").distinct()
-    found = inner.where(F.col("source") == root).select("doc", F.col("target").alias("part")).distinct()
-    front = found
-    for _ in range(rounds):
-        front = front.join(inner, (front["doc"] == inner["doc"]) & (front["part"] == inner["source"])).select(front["doc"], F.col("target").alias("part")).distinct().join(found, ["doc", "part"], "left_anti")
-        if not front.limit(1).count():
-            break
-        found = found.unionByName(front)
-    return found
+def reachable(edges: DataFrame, root: str = "") -> DataFrame:
+    """(doc, part) reached from the root by internal relationships, however long the way, each once.
+
+    A package's relationships meet in one task, which follows them: one shuffle, and at most what MOST_ENTRIES parts hold. Cycles
+    end; the root itself is listed only if something refers to it.
+    """
+    inner = edges.where("not external and target is not null and doc is not null").select("doc", "source", "target").distinct()
+
+    def follow(table: pa.Table) -> pa.Table:
+        targets: dict[str, list[str]] = {}
+        for source, target in zip(table.column("source").to_pylist(), table.column("target").to_pylist(), strict=True):
+            targets.setdefault(source, []).append(target)
+        found: dict[str, None] = {}
+        front = list(targets.get(root, []))
+        while front:
+            part = front.pop()
+            if part not in found:
+                found[part] = None
+                front += targets.get(part, [])
+        names = list(found)
+        return pa.table({"doc": pa.array([table.column("doc")[0].as_py()] * len(names), pa.string()), "part": pa.array(names, pa.string())})
+
+    return inner.groupBy("doc").applyInArrow(follow, "doc string, part string")
 
 
 def core_properties(rows: DataFrame) -> DataFrame:
@@ -296,20 +307,36 @@ def compound_streams(data: bytes) -> dict[str, int]:
     return out
 
 
-def pdf_filters(data: bytes, names: list[str], predictor: int = 1, columns: int = 1) -> bytes:
-    """The content of a PDF stream by its filters in order; predictors of the PNG kind are undone."""
+def inflated(data: bytes, most: int) -> bytes:
+    """Whole content of a deflated stream; one that would exceed `most` bytes is refused, not cut."""
+    unpack = zlib.decompressobj()
+    try:
+        out = unpack.decompress(data, most + 1)
+    except zlib.error as error:
+        raise Refused("a damaged stream") from error
+    if len(out) > most:
+        raise Refused("a stream is too large")
+    return out + unpack.flush()
+
+
+def pdf_filters(data: bytes, names: list[str], predictor: int = 1, columns: int = 1, colors: int = 1, most: int = MOST_PART) -> bytes:
+    """The content of a PDF stream by its filters in order; predictors are undone, PNG's and, for 8-bit samples, TIFF's."""
     import base64
     import binascii
 
     for name in names:
         if name == "FlateDecode":
-            data = zlib.decompressobj().decompress(data, MOST_PART)
-            if predictor >= 10:
+            data = inflated(data, most)
+            if predictor == 2:
+                samples = np.frombuffer(data[: len(data) // (columns * colors) * columns * colors], np.uint8).reshape(-1, columns, colors)
+                data = np.cumsum(samples, axis=1, dtype=np.uint8).tobytes()
+            elif predictor >= 10:
+                columns *= colors
                 rows, before, out = len(data) // (columns + 1), bytearray(columns), bytearray()
                 for r in range(rows):
                     kind, row = data[r * (columns + 1)], bytearray(data[r * (columns + 1) + 1 : (r + 1) * (columns + 1)])
                     for i in range(columns):
-                        left, up, corner = row[i - 1] if i else 0, before[i], before[i - 1] if i else 0
+                        left, up, corner = row[i - colors] if i >= colors else 0, before[i], before[i - colors] if i >= colors else 0
                         p = left + up - corner
                         paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
                         row[i] = row[i] + (0, left, up, (left + up) // 2, paeth)[kind] & 255

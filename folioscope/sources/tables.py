@@ -46,30 +46,45 @@ def license_of(source):
     return F.element_at(F.array(*(F.lit(x) for x in LICENSES)), F.pmod(n, F.lit(len(LICENSES))) + 1)
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """documents with sha256, the text's digest, and toxic, the greatest of the row's labels."""
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return table(spark, folder, "documents").join(labels, "doc_id", "left").withColumn("sha256", F.sha2("text", 256))
+
+
+def place_path(private, ident):
+    return F.when(~private, F.concat(F.lit("docs/"), ident.cast("string"), F.lit(".txt")))
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each distinct text: sha256, size, tier, license, provenance, features.
+    """One row for each distinct text: sha256, size, tier, license, first, places, features, lang.
 
-    Identity is the text's digest; provenance lists the places it came from in order of arrival (doc_id), the first deciding
-    the licence. A text labelled toxic is private (T2), one labelled otherwise T1, the rest T0. Arrays of places grow with the
-    copies of a text; everything else is combined map-side.
+    Identity is the text's digest; first is the place (source, path) that came first (doc_id) and decides the licence, places their
+    number. The places themselves are rows (see places), so a text of any number of copies is one narrow row, combined map-side.
+    A text labelled toxic is private (T2), one labelled otherwise T1, the rest T0.
     """
-    docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.join(labels, "doc_id", "left").withColumn("sha256", F.sha2("text", 256))
     tags = F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in FEATURES.items()))
-    out = rows.groupBy("sha256").agg(
+    out = labelled(spark, folder).groupBy("sha256").agg(
         F.max(F.octet_length("text")).cast("long").alias("size"),
         F.max("toxic").alias("toxic"),
-        F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("places"),
+        F.min(F.struct("doc_id", "source")).alias("head"),
+        F.count("*").alias("places"),
         F.first(F.array_compact(tags)).alias("features"),  # equal texts have equal features
         F.min("lang").alias("lang"),
     )
     tier = F.when(F.col("toxic") == 1, F.lit("T2")).when(F.col("toxic") == 0, F.lit("T1")).otherwise(F.lit("T0"))
-    first = F.element_at("places", 1)["source"]
     private = F.col("tier") == "T2"
-    out = out.withColumn("tier", tier)
-    provenance = F.transform("places", lambda p: F.struct(p["source"].alias("source"), F.when(~private, F.concat(F.lit("docs/"), p["doc_id"].cast("string"), F.lit(".txt"))).alias("path")))
-    return out.select("sha256", "size", "tier", F.when(private, F.lit(PRIVATE_LICENSE)).otherwise(license_of(first)).alias("license"), provenance.alias("provenance"), "features", "lang")
+    first = F.struct(F.col("head.source").alias("source"), place_path(private, F.col("head.doc_id")).alias("path"))
+    license = F.when(private, F.lit(PRIVATE_LICENSE)).otherwise(license_of(F.col("head.source")))
+    return out.withColumn("tier", tier).select("sha256", "size", "tier", license.alias("license"), first.alias("first"), "places", "features", "lang")
+
+
+def places(spark: SparkSession, folder: str) -> DataFrame:
+    """(sha256, at, source, path): where each text of the catalogue came from, a row a place, ordered by at; private ones have no path."""
+    rows = labelled(spark, folder)
+    private = rows.where("toxic = 1").select("sha256", F.lit(True).alias("private")).distinct()
+    out = rows.join(private, "sha256", "left")
+    return out.select("sha256", F.col("doc_id").alias("at"), "source", place_path(F.coalesce("private", F.lit(False)), F.col("doc_id")).alias("path"))
 
 
 #: The same in DuckDB's SQL.

@@ -68,7 +68,8 @@ def test_worst_hides_private_documents(spark):
 def test_violations(spark):
     schema = "sha256 string, size long, tier string, license string, provenance array<struct<source:string,path:string>>, features array<string>"
     rows = [("ok", 1, "T1", "MIT", [("s", "a")], ["A", "B"]), ("zero", 0, "T1", "MIT", [("s", "b")], ["A"]), ("priv", 1, "T2", "MIT", [("s", "c")], ["A"]), ("lic", 1, "T1", "GPL-3.0", [("s", "d")], []), ("none", 1, "T1", "MIT", [], []), ("twice", 1, "T1", "MIT", [("s", "e"), ("s", "e")], []), ("path", 1, "T1", "MIT", [("s", "../x")], []), ("undef", 1, "T1", "MIT", [("t", "f")], []), ("order", 1, "T1", "MIT", [("s", "g")], ["B", "A"]), ("raw", 1, "T1", "MIT", [("s", "a")], None)]
-    got = {(r.sha256, r.rule) for r in C.violations(spark.createDataFrame(rows, schema), spark.createDataFrame([("s", "MIT")], "name string, license string")).collect()}
+    corpus = spark.createDataFrame(rows, schema)
+    got = {(r.sha256, r.rule) for r in C.violations(corpus, C.places_of(corpus), spark.createDataFrame([("s", "MIT")], "name string, license string")).collect()}
     assert got == {("zero", "size"), ("priv", "private license"), ("priv", "private path"), ("lic", "license"), ("lic", "license differs from source"), ("none", "no provenance"), ("twice", "provenance twice"), ("path", "path"), ("undef", "source not defined"), ("order", "features not sorted"), ("raw", "not tagged"), ("raw", "path of two documents")}
 
 
@@ -80,3 +81,24 @@ def test_public_guard(spark):
         C.only_public(df).collect()
     assert C.only_public(df.where("tier = 'T1'")).count() == 1
     assert F.lit(1) is not None
+
+
+def test_held_passages_of_any_length_and_number(spark):
+    """One block of passages or many give what a search in each text gives; nulls, empty passages, repeats and long texts too."""
+    texts = ["the quick brown fox jumps", "short", "", None, "a passage of thirteen and more", "x" * 50_000 + "needle" + "y" * 50_000, "Ünï 😀 cödé", "short"]
+    bench = ["brown fox", "short", None, "needle", "passage of thirteen and more words", "😀 c", "short", "quick brown fox jumps over"]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(None, "brown fox", "z")], "doc_id int, text string, p string")
+    for extra in ([], [""]):
+        passages = spark.createDataFrame([(p,) for p in bench + extra], "text string")
+        want = {i for i, t in [*enumerate(texts), (None, "brown fox")] if t is not None and any(p in t for p in bench + extra if p is not None)}
+        for chars in (None, 8, 1):
+            got = [r.doc_id for r in C.holding(docs, passages, chars=chars).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert C.holding(docs, spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_deduplicate_keeps_places_as_rows(spark):
+    rows = spark.createDataFrame([("a", 1, "s2", "p2", 2), ("a", 1, "s1", "p1", 1), ("b", 3, "s1", None, 3)], "sha256 string, size long, source string, path string, seq int")
+    documents, places = C.deduplicate(rows)
+    assert {tuple(r) for r in documents.collect()} == {("a", 1, "s1", 2), ("b", 3, "s1", 1)}
+    assert {tuple(r) for r in places.collect()} == {("a", 2, "s2", "p2"), ("a", 1, "s1", "p1"), ("b", 3, "s1", None)}
