@@ -68,6 +68,34 @@ def read_parts(data: bytes) -> Iterator[tuple[str, bytes]]:
             raise Refused("a damaged part") from error
 
 
+def write_parts(parts: dict[str, bytes]) -> bytes:
+    """A package of these parts: the same parts give the same bytes, content types first, no times of today."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name in sorted(parts, key=lambda n: (n != "[Content_Types].xml", n)):
+            if name.startswith("/") or "\\" in name or any(s in ("", ".", "..") for s in name.split("/")):
+                raise Refused("a name outside the package")
+            entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            entry.compress_type, entry.external_attr, entry.create_system = zipfile.ZIP_DEFLATED, 0, 0
+            archive.writestr(entry, parts[name])
+    return out.getvalue()
+
+
+def packages_of(rows: DataFrame, doc: str, names: dict[str, str]) -> DataFrame:
+    """(path, content): a package for each row; names are columns of text or bytes by part name, null ones are left out.
+
+    Written where the row is, without a shuffle; the key is kept as it is.
+    """
+    kind = rows.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [write_parts({n: v.encode() if isinstance(v, str) else v for n, v in zip(names, values, strict=True) if v is not None}) for values in zip(*(batch.column(i + 1).to_pylist() for i in range(len(names))), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return rows.select(F.col(doc), *(F.col(c) for c in names.values())).mapInArrow(run, f"path {kind}, content binary")
+
+
 def parts(files: DataFrame, doc: str = "path", content: str = "content") -> DataFrame:
     """(doc, part, bytes, problem) of packages: a row for each part, or one with the reason a package is refused. One package at a time."""
 
@@ -94,14 +122,24 @@ def decode_xml(data: Column) -> Column:
 class Reader:
     """Events (kind, depth, namespace, name, attributes, text) of an XML part; document types and deep nesting are refused.
 
-    Alternate content: of its choices the first whose requirements are all understood is read, else the fallback.
+    Markup compatibility: of a choice of content the first is read whose required prefixes all stand for understood namespaces,
+    else the fallback. Elements and attributes of ignorable namespaces that are not understood are dropped with what they hold
+    (where drop_ignorable), but for elements named in ProcessContent, whose content is read; what must be understood and is
+    not is refused. Comments, processing instructions and the bounds of CDATA are events only where `whole`.
     """
 
     understood: frozenset[str] = frozenset()
+    drop_ignorable: bool = True
+    whole: bool = False
     events: list[tuple] = field(default_factory=list)
     depth: int = 0
     skip: int | None = None
     taken: list[bool] = field(default_factory=list)
+    prefixes: dict[str, list[str]] = field(default_factory=dict)
+    ignorable: list[set[str]] = field(default_factory=list)
+    opened: list[set[tuple[str, str]]] = field(default_factory=list)
+    unwrapped: list[bool] = field(default_factory=list)
+    compatibility: bool = False
 
     COMPATIBILITY = "http://schemas.openxmlformats.org/markup-compatibility/2006"
 
@@ -109,6 +147,13 @@ class Reader:
         parser = expat.ParserCreate(namespace_separator="\x1f")
         parser.buffer_text = True
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.text
+        parser.StartNamespaceDeclHandler = lambda prefix, uri: self.prefixes.setdefault(prefix or "", []).append(uri or "")
+        parser.EndNamespaceDeclHandler = lambda prefix: self.prefixes[prefix or ""].pop()
+        if self.whole:
+            parser.CommentHandler = lambda text: self.skip is None and self.put("comment", "", "", {}, text)
+            parser.ProcessingInstructionHandler = lambda name, text: self.skip is None and self.put("instruction", "", name, {}, text)
+            parser.StartCdataSectionHandler = lambda: self.skip is None and self.put("cdata", "", "", {}, "")
+            parser.EndCdataSectionHandler = lambda: self.skip is None and self.put("cdata end", "", "", {}, "")
 
         def refuse(*_):
             raise Refused("a document type")
@@ -125,31 +170,66 @@ class Reader:
             raise Refused("too many events")
         self.events.append((kind, self.depth, space, name, attributes, text))
 
+    def spaces(self, prefixes: str) -> list[str]:
+        """The namespaces that prefixes stand for here."""
+        out = []
+        for prefix in prefixes.split():
+            if not self.prefixes.get(prefix):
+                raise Refused("a compatibility prefix that is not declared")
+            out.append(self.prefixes[prefix][-1])
+        return out
+
     def start(self, full: str, attributes: dict) -> None:
         self.depth += 1
         if self.depth > MOST_DEPTH:
             raise Refused("nested too deep")
         space, _, name = full.rpartition("\x1f")
-        if self.skip is None and space == self.COMPATIBILITY and name in ("AlternateContent", "Choice", "Fallback"):
+        mc = {k.rpartition("\x1f")[2]: v for k, v in attributes.items() if k.startswith(self.COMPATIBILITY)}
+        hidden, open_ = (self.ignorable[-1], self.opened[-1]) if self.ignorable else (set(), set())
+        if self.skip is None and mc:
+            self.compatibility |= "Ignorable" in mc
+            hidden = hidden | {s for s in self.spaces(mc.get("Ignorable", "")) if s not in self.understood}
+            pairs = [p.partition(":") for p in mc.get("ProcessContent", "").split()]
+            open_ = open_ | {(s, n) for prefix, _, n in pairs for s in self.spaces(prefix)}
+            if any(s not in self.understood for s in self.spaces(mc.get("MustUnderstand", ""))):
+                raise Refused("a namespace that must be understood")
+        self.ignorable.append(hidden)
+        self.opened.append(open_)
+        self.unwrapped.append(False)
+        if self.skip is not None:
+            return
+        if space == self.COMPATIBILITY and name in ("AlternateContent", "Choice", "Fallback"):
+            self.compatibility = True
+            self.unwrapped[-1] = True
             if name == "AlternateContent":
                 self.taken.append(False)
+            elif not self.taken:
+                raise Refused("a choice outside alternate content")
             else:
-                needs = set(attributes.get("Requires", "").split())
-                fits = not self.taken[-1] and (name == "Fallback" or needs <= self.understood)
+                fits = not self.taken[-1] and (name == "Fallback" or all(s in self.understood for s in self.spaces(attributes.get("Requires", ""))))
                 self.taken[-1] |= fits
                 self.skip = None if fits else self.depth
-        elif self.skip is None:
-            self.put("start", space, name, {k.rpartition("\x1f")[2]: v for k, v in attributes.items()}, "")
+        elif self.drop_ignorable and space in hidden:
+            if (space, name) in open_ or (space, "*") in open_:
+                self.unwrapped[-1] = True
+            else:
+                self.skip = self.depth
+        else:
+            kept = {k: v for k, v in attributes.items() if not k.startswith(self.COMPATIBILITY) and not (self.drop_ignorable and k.rpartition("\x1f")[0] in hidden)} if mc or hidden else attributes
+            self.put("start", space, name, {k.rpartition("\x1f")[2]: v for k, v in kept.items()}, "")
 
     def end(self, full: str) -> None:
         space, _, name = full.rpartition("\x1f")
+        unwrapped = self.unwrapped.pop()
+        self.ignorable.pop()
+        self.opened.pop()
         if self.skip == self.depth:
             self.skip = None
         elif self.skip is None:
-            if space == self.COMPATIBILITY and name == "AlternateContent":
-                self.taken.pop()
-            elif not (space == self.COMPATIBILITY and name in ("Choice", "Fallback")):
+            if not unwrapped:
                 self.put("end", space, name, {}, "")
+            elif space == self.COMPATIBILITY and name == "AlternateContent":
+                self.taken.pop()
         self.depth -= 1
 
     def text(self, data: str) -> None:
@@ -363,6 +443,6 @@ def pdf_filters(data: bytes, names: list[str], predictor: int = 1, columns: int
 def canonical_xml(data: bytes) -> str:
     """A key by which two XML parts are equal: namespaces by their names, attributes sorted, no prefixes, comments or declarations."""
     out = []
-    for kind, _, space, name, attributes, text in Reader().read(data):
+    for kind, _, space, name, attributes, text in Reader(drop_ignorable=False).read(data):
         out.append(f"({space}|{name}" + "".join(f" {k}={v!r}" for k, v in sorted(attributes.items())) if kind == "start" else ")" if kind == "end" else repr(text))
     return "\n".join(out)

@@ -58,8 +58,20 @@ def test_types_edges_and_properties(store):
 def test_xml_rules():
     read = lambda x, known=frozenset(): [(e[0], e[3]) for e in packages.Reader(known).read(x.encode())]
     mc = packages.Reader.COMPATIBILITY
-    choice = f'<r xmlns:m="{mc}"><m:AlternateContent><m:Choice Requires="a"><x/></m:Choice><m:Choice Requires="b"><y/></m:Choice><m:Fallback><z/></m:Fallback></m:AlternateContent></r>'
-    assert ("start", "z") in read(choice) and ("start", "y") in read(choice, frozenset("b")) and ("start", "x") in read(choice, frozenset("ab"))
+    choice = f'<r xmlns:m="{mc}" xmlns:a="urn:a" xmlns:b="urn:b"><m:AlternateContent><m:Choice Requires="a"><x/></m:Choice><m:Choice Requires="b"><y/></m:Choice><m:Fallback><z/></m:Fallback></m:AlternateContent></r>'
+    assert ("start", "z") in read(choice) and ("start", "y") in read(choice, frozenset({"urn:b"})) and ("start", "x") in read(choice, frozenset({"urn:a", "urn:b"}))
+    assert ("start", "x") in read(choice.replace("urn:a", "urn:b"), frozenset({"urn:b"}))  # another prefix, the same namespace
+    hidden = f'<r xmlns:m="{mc}" xmlns:n="urn:n" m:Ignorable="n" m:ProcessContent="n:open" n:q="1" k="2"><n:shut><x/></n:shut><n:open><y/></n:open><z/></r>'
+    assert [n for k, n in read(hidden) if k == "start"] == ["r", "y", "z"] and packages.Reader().read(hidden.encode())[0][4] == {"k": "2"}
+    assert [n for k, n in read(hidden, frozenset({"urn:n"})) if k == "start"] == ["r", "shut", "x", "open", "y", "z"]
+    must = hidden.replace("m:Ignorable", "m:MustUnderstand")
+    with pytest.raises(packages.Refused):
+        read(must)
+    read(must, frozenset({"urn:n"}))
+    with pytest.raises(packages.Refused):
+        read(f'<r xmlns:m="{mc}" m:Ignorable="nowhere"/>')
+    whole = packages.Reader(whole=True).read(b"<r><!--c--><?p d?><![CDATA[t]]></r>")
+    assert [(e[0], e[3], e[5]) for e in whole] == [("start", "r", ""), ("comment", "", "c"), ("instruction", "p", "d"), ("cdata", "", ""), ("text", "", "t"), ("cdata end", "", ""), ("end", "r", "")]
     for bad in ("<!DOCTYPE r><r/>", "<r>", "<r>" + "<a>" * 300 + "</a>" * 300 + "</r>"):
         with pytest.raises(packages.Refused):
             read(bad)
@@ -78,10 +90,33 @@ def test_decoding_and_filters(spark):
     assert packages.pdf_filters(b"\x02abc\xfed\x80", ["RunLengthDecode"]) == b"abcddd"
     rows = bytes([2, 1, 1, 2, 1, 1])
     assert packages.pdf_filters(zlib.compress(rows), ["FlateDecode"], 12, 2) == bytes([1, 1, 2, 2])
+    assert packages.pdf_filters(zlib.compress(bytes([1, 1, 1, 5, 250, 10])), ["FlateDecode"], 2, 3) == bytes([1, 2, 3, 5, 255, 9])
+    assert packages.pdf_filters(zlib.compress(bytes(range(8))), ["FlateDecode"], most=8) == bytes(range(8))
+    with pytest.raises(packages.Refused):  # one byte over the limit is refused, not cut
+        packages.pdf_filters(zlib.compress(bytes(range(9))), ["FlateDecode"], most=8)
     with pytest.raises(packages.Refused):
         packages.compound_streams(b"x" * 600)
 
 
+def test_long_ways_are_followed_to_their_end(spark):
+    chain = [("d", "" if i == 0 else f"p{i}", f"p{i + 1}", False) for i in range(40)] + [("d", "p40", "p3", False), ("d", "lone", "x", False), ("e", "", "p1", True), (None, "", "y", False), ("f", "", None, False)]
+    edges = spark.createDataFrame(chain, "doc string, source string, target string, external boolean")
+    assert {(r.doc, r.part) for r in packages.reachable(edges).collect()} == {("d", f"p{i}") for i in range(1, 41)}
+
+
+def test_targets_fold_in_the_row(spark):
+    rows = [("word/document.xml", "../media/i.png", "media/i.png"), ("word/document.xml", "/a/./b", "a/b"), ("word/document.xml", "../../out", None), ("x", "y//z", "y/z"), ("", "..", None), ("a/b", "../", None), (None, "x", None)]
+    df = spark.createDataFrame(rows, "base string, target string, want string")
+    assert all(r.got == r.want for r in df.select("want", packages.resolve_target(F.col("base"), F.col("target")).alias("got")).collect())
+
+
+def test_packages_are_written_and_read_back(spark):
+    rows = spark.createDataFrame([(1, "<a/>", b"x"), (2, "<b/>", None), (None, None, None)], "k int, text string, data binary")
+    made = packages.packages_of(rows, "k", {"a/b.xml": "text", "c.bin": "data"}).collect()
+    assert [dict(packages.read_parts(r.content)) for r in made] == [{"a/b.xml": b"<a/>", "c.bin": b"x"}, {"a/b.xml": b"<b/>"}, {}]
+    assert packages.write_parts({"b": b"1", "a": b"2"}) == packages.write_parts({"a": b"2", "b": b"1"})
+
+
 def manifest(documents):
     return {"format": "corpus-manifest", "version": 1, "sources": {"s": {"url": "https://x", "revision": "1", "license": "MIT", "copyright": "c", "license_texts": []}}, "documents": documents}
 
