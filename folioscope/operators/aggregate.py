@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import numeric as N
+from .alignment import MOST_MILLI
 
 WORST, CORRELATED, LEAST_GROUP = 20, 20, 5
 
@@ -37,7 +42,7 @@ def group_keys(features: str = "features", scripts: str = "scripts") -> Column:
 
 
 def run_aggregate(outcomes: DataFrame) -> DataFrame:
-    """(dimension, key, documents, compared, without_reference, without_candidate, m1..m3, m7, text) of each group.
+    """(dimension, key, documents, compared, without_reference, without_candidate, failed, m1..m4, m7, text) of each group.
 
     A document counts in every group it belongs to, so groups are never summed up: each row is exploded once and one hash
     aggregate, combined map-side, does them all.
@@ -59,13 +64,29 @@ def run_aggregate(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("candidate") == "missing").alias("without_candidate"),
         F.count_if(compared & (F.col("pages_reference") == F.col("pages_candidate"))).alias("m1_matching"),
         F.coalesce(F.sum(F.when(compared, F.abs(F.col("pages_candidate") - F.col("pages_reference")))), F.lit(0)).cast("long").alias("m1_difference"),
-        total("m2_total"), total("m2_agreed"), total("m3_total"), total("m3_agreed"),
+        F.count_if(F.col("problem").isNotNull()).alias("failed"),
+        total("m2_total"), total("m2_agreed"), total("m3_total"), total("m3_agreed"), total("m4_lines"), total("m4_glyphs"),
         F.count_if(hinted).alias("m7_documents"), hints("m7_total"), hints("m7_agreed"),
+        F.count_if(hinted & (F.col("m7_pages_reference") == F.col("m7_pages_candidate"))).alias("m7_pages_matching"),
         F.count_if(F.col("hints_outcome") == "refused").alias("m7_refused"),
+        F.count_if(compared & ~F.col("complete")).alias("text_incomplete"),
         total("text_reference"), total("text_candidate"), total("text_matched"),
     )
 
 
+def run_spreads(outcomes: DataFrame, most: int = MOST_MILLI) -> DataFrame:
+    """(dimension, key, axis, count, median, p95, max) of the glyph distances of each group, from the documents' histograms m4_x and m4_y.
+
+    Histograms merge by bin, map-side; percentiles are nearest ranks, none of them beyond `most`.
+    """
+    rows = outcomes.where((F.col("reference") == "present") & (F.col("candidate") != "invalid")).withColumn("g", F.explode(group_keys()))
+    both = F.array(F.struct(F.lit("x").alias("axis"), F.col("m4_x").alias("bins")), F.struct(F.lit("y").alias("axis"), F.col("m4_y").alias("bins")))
+    each = rows.select("g.dimension", "g.key", F.explode(both).alias("h")).select("dimension", "key", "h.axis", F.explode("h.bins").alias("b")).select("dimension", "key", "axis", "b.bin", "b.n", "b.most")
+    groups = ["dimension", "key", "axis"]
+    out = percentiles(merge_histograms(each, groups), groups, {"median": 500, "p95": 950})
+    return out.select(*groups, "count", *(F.least(F.col(c), F.lit(most)).alias(c) for c in ("median", "p95", "max")))
+
+
 def histogram(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, bin, n, most): mergeable by the sum of n and the maximum of most."""
     return rows.groupBy(*groups, N.histogram_bin(F.col(value)).alias("bin")).agg(F.count("*").alias("n"), F.max(value).alias("most"))
@@ -92,25 +113,34 @@ def disagreement(total: Column, agreed: Column) -> Column:
     return F.when(total > 0, N.per_mille(total - agreed, total))
 
 
+def point_biserial(n: int, s: int, q: int, k: int, t: int) -> int | None:
+    """Thousandths of the correlation of belonging to a group of k of n values with the value; s and q: sums of values and squares, t: the group's sum."""
+    spread = n * q - s * s
+    if not spread or not 0 < k < n:
+        return None
+    top = n * t - k * s
+    squared = top * top * 1_000_000 // (k * (n - k) * spread)
+    root = isqrt(squared)
+    root += squared > root * root + root
+    return min(root, 1000) * (-1 if top < 0 else 1)
+
+
 def correlations(rows: DataFrame, least: int = LEAST_GROUP, most: int | None = CORRELATED) -> DataFrame:
     """(feature, with, without, disagreement_with, disagreement_without, correlation) of rows (features, d), strongest first.
 
     The point-biserial correlation of having a feature with d (thousandths), itself in thousandths, from integer sums: the
     sums of all rows (one row) meet those of each feature. Features with fewer than `least` documents on a side, and
-    correlations that are not positive, are left out.
+    correlations that are not positive, are left out. The coefficient itself is computed once a feature, in integers of any size.
     """
-    whole = rows.agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
     each = rows.select("d", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.count("*").alias("k"), F.sum("d").alias("t"))
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    both = each.join(F.broadcast(whole)).where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least) & (wide("n") * wide("q") > wide("s") * wide("s")))
-    spread = (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("decimal(38,0)")
-    numerator = (F.col("n") * F.col("t") - F.col("k") * F.col("s")).cast("decimal(19,0)")
-    denominator = (F.col("k") * (F.col("n") - F.col("k"))).cast("decimal(19,0)") * spread.cast("decimal(19,0)")
-    # the square in thousandths is floored, then its root rounded: floor(q) > r*r + r rounds up
-    squared = (numerator.cast("double") * numerator.cast("double") * 1e6 / denominator.cast("double"))
-    root = F.floor(F.sqrt(F.floor(squared).cast("double")))
-    rounded = F.when(F.floor(squared) > root * root + root, root + 1).otherwise(root)
-    out = both.withColumn("correlation", F.when(numerator < 0, -1).otherwise(1) * F.least(rounded, F.lit(1000)))
+
+    @F.arrow_udf(LongType())
+    def coefficient(n: pa.Array, s: pa.Array, q: pa.Array, k: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array([point_biserial(*map(int, r)) for r in zip(*(c.to_pylist() for c in (n, s, q, k, t)), strict=True)], pa.int64())
+
+    sums = rows.agg(F.count("*").alias("n"), F.sum(F.col("d").cast("decimal(19,0)")).alias("s"), F.sum((F.col("d") * F.col("d")).cast("decimal(19,0)")).alias("q"))
+    both = each.join(F.broadcast(sums)).where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least))
+    out = both.withColumn("correlation", coefficient("n", "s", "q", "k", "t"))
     average = lambda a, b: N.to_long(N.div_round(a * 2 + b, b * 2, "floor"))
     out = out.where("correlation > 0").select("feature", F.col("k").alias("with"), (F.col("n") - F.col("k")).alias("without"), average(F.col("t"), F.col("k")).alias("disagreement_with"), average(F.col("s") - F.col("t"), F.col("n") - F.col("k")).alias("disagreement_without"), F.col("correlation").cast("long").alias("correlation"))
     out = out.orderBy(F.desc("correlation"), "feature")

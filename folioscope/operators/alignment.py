@@ -1,4 +1,4 @@
-"""Alignment of two renderings of one text, break matching, and the agreement measures M1 to M7 but for M4 (a gap, see README).
+"""Alignment of two renderings of one text, break matching, and the agreement measures M1 to M4 and M7.
 
 One document is one row: both sides meet as arrays, since each step depends on the last. Streams longer than MAX_CHARS are
 refused with a reason, so a row's work is bounded.
@@ -6,15 +6,18 @@ refused with a reason, so a row's work is bounded.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import EXACT, SUB
 from .sequence import increasing, joined_lines
 
 GRAM, DEPTH, EDITS, TOLERATED = 32, 8, 2048, 32
@@ -239,66 +242,197 @@ def comparable(text: str) -> str:
     return text.translate(TABLE)
 
 
+Glyph = tuple[int, int, int, int]  # offset and length in the line's text, x and y of the origin in thousandths of a point
+#: Distances beyond this many thousandths of a point are reported as this one.
+MOST_MILLI = 10**12
+
+
+class Line(NamedTuple):
+    """A joined line: its comparable characters from start to end, its page, and its rows (text, glyphs)."""
+
+    start: int
+    end: int
+    page: int
+    rows: list[tuple[str, list[Glyph]]]
+
+
 class Stream:
     """The comparable text of one side, with where its pages and its joined lines begin; those without characters take no part."""
 
     def __init__(self, lines: list[tuple], page_count: int):
-        """lines: (page, line, baseline, size, text), in any order."""
-        parts, self.pages, self.lines, at = [], [], [], 0
+        """lines: (page, line, baseline, size, text) and perhaps glyphs, in any order."""
+        parts, self.pages, self.page_numbers, self.joined, at = [], [], [], [], 0
         self.page_count = page_count
-        for _, page in groupby(sorted(lines, key=lambda r: r[:2]), key=lambda r: r[0]):
+        for number, page in groupby(sorted(lines, key=lambda r: r[:2]), key=lambda r: r[0]):
             rows = list(page)
             groups = joined_lines([r[2] for r in rows], [r[3] for r in rows])
-            begin, last = at, None
-            for row, group in zip(rows, groups, strict=True):
-                text = comparable(row[4] or "")
-                if text and group != last:
-                    self.lines.append(at)
-                    last = group
-                parts.append(text)
-                at += len(text)
+            begin = at
+            for _, members in groupby(zip(rows, groups, strict=True), key=lambda x: x[1]):
+                start, held = at, []
+                for row, _ in members:
+                    text = comparable(row[4] or "")
+                    held.append((row[4] or "", (row[5] or []) if len(row) > 5 else []))
+                    parts.append(text)
+                    at += len(text)
+                if at > start:
+                    self.joined.append(Line(start, at, number, held))
             if at > begin:
                 self.pages.append(begin)
+                self.page_numbers.append(number)
+        self.lines = [line.start for line in self.joined]
         self.text = "".join(parts)
 
 
-def agreement(hunks: list[Hunk], breaks: list[int], candidate: list[int], length: int) -> tuple[int, int, list[tuple[int, int]], int | None]:
+def agreement(matches: list[int | None]) -> tuple[int, int, list[tuple[int, int]], int | None]:
     """(total, agreed, agreed ranges, first that disagrees)."""
-    ok = [m is not None for m in match_breaks(images(hunks, breaks, length), candidate)]
+    ok = [m is not None for m in matches]
     return len(ok), sum(ok), ranges_of(ok), next((i for i, x in enumerate(ok) if not x), None)
 
 
+def shown_glyphs(line: Line) -> list[tuple[int, int, str]]:
+    """(x, y, comparable text) of the glyphs that show something, by x; those at one x in their order."""
+    out = [(x, y, comparable(text[offset : offset + length])) for text, glyphs in line.rows for offset, length, x, y in glyphs]
+    return sorted((g for g in out if g[2]), key=lambda g: g[0])
+
+
+class Clusters:
+    """Glyphs of a line that show the same characters, and the cluster of each comparable position."""
+
+    def __init__(self, line: Line):
+        self.origins: list[list[tuple[int, int]]] = []
+        self.at: dict[int, int] = {}
+        position = line.start
+        for text, glyphs in line.rows:
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for offset, length, x, y in glyphs:
+                if length > 0:
+                    spans.setdefault((offset, length), []).append((x, y))
+            mine: dict[int, int] = {}
+            for (offset, length), origins in sorted(spans.items()):
+                mine |= dict.fromkeys(range(offset, offset + length), len(self.origins))
+                self.origins.append(origins)
+            for i, c in enumerate(text):
+                for _ in comparable(c):
+                    if i in mine:
+                        self.at[position] = mine[i]
+                    position += 1
+
+    def positions(self) -> dict[int, set[int]]:
+        out: dict[int, set[int]] = {}
+        for position, cluster in self.at.items():
+            out.setdefault(cluster, set()).add(position)
+        return out
+
+
+def glyph_distances(mine: Line, yours: Line, partners: dict[int, int]) -> list[tuple[int, int]]:
+    """Distances (x, y) of the glyphs of two lines whose breaks agree; partners: aligned positions of mine and yours.
+
+    Lines with the same glyphs from left to right pair them in turn. Else clusters pair if all characters of each are aligned
+    with those of the other only, and both have as many glyphs.
+    """
+    left, right = shown_glyphs(mine), shown_glyphs(yours)
+    if [g[2] for g in left] == [g[2] for g in right]:
+        return [(abs(a[0] - b[0]), abs(a[1] - b[1])) for a, b in zip(left, right, strict=True)]
+    ours, theirs = Clusters(mine), Clusters(yours)
+    back = {q: p for p, q in partners.items()}
+    wanted, out = theirs.positions(), []
+    for cluster, positions in sorted(ours.positions().items()):
+        images = {partners.get(p) for p in positions}
+        partner = {theirs.at.get(q) for q in images}
+        if len(partner) != 1 or None in partner or None in images:
+            continue
+        other = partner.pop()
+        exact = images == wanted[other] and {back.get(q) for q in wanted[other]} == positions
+        if exact and len(ours.origins[cluster]) == len(theirs.origins[other]):
+            out += [(abs(a[0] - b[0]), abs(a[1] - b[1])) for a, b in zip(ours.origins[cluster], theirs.origins[other], strict=True)]
+    return out
+
+
+def bins(values: list[int]) -> list[dict]:
+    """A mergeable histogram: (bin, n, most) of the bins that occur, as functions.numeric bins them."""
+    held: dict[int, list[int]] = {}
+    for v in values:
+        e = v.bit_length() - 1
+        held.setdefault(v if v < EXACT else (e - 11) * SUB + (v >> (e - 10)) - SUB + EXACT, []).append(v)
+    return [{"bin": b, "n": len(vs), "most": max(vs)} for b, vs in sorted(held.items())]
+
+
+def spread(histogram: list[dict]) -> tuple[int | None, int | None, int | None]:
+    """Median, 95th percentile (nearest rank, a bin's start) and maximum, none beyond MOST_MILLI; nothing of nothing."""
+    total, found = sum(b["n"] for b in histogram), []
+    for per_mille in (500, 950):
+        rank, seen = max(1, -(-total * per_mille // 1000)), 0
+        for b in histogram:
+            seen += b["n"]
+            if seen >= rank:
+                number = b["bin"] - EXACT
+                found.append(b["bin"] if number < 0 else (number % SUB + SUB) << (number // SUB + 1))
+                break
+    return tuple(min(v, MOST_MILLI) for v in (*found, histogram[-1]["most"])) if histogram else (None, None, None)
+
+
 def compare(reference: Stream, candidate: Stream, work: int = WORK) -> dict:
-    """M1 (page counts), M2 (page breaks), M3 (line breaks) and how much text is aligned."""
+    """M1 (page counts), M2 (page starts), M3 (line starts), M4 (glyphs) and how much text is aligned.
+
+    Every page and line start with characters counts, the first too. Glyphs are measured on lines whose start and end agree, on
+    pages whose starts agree with one another.
+    """
     a, b = codes(reference.text), codes(candidate.text)
     aligner = Aligner(a, b, work)
     hunks = slide(aligner.hunks(), a, sorted({*reference.lines, *reference.pages}))
-    m2 = agreement(hunks, reference.pages[1:], candidate.pages[1:], len(a))
-    m3 = agreement(hunks, reference.lines[1:], candidate.lines[1:], len(a))
-    matched = sum(q - p for p, q, _, _, equal in hunks if equal)
+    pages = match_breaks(images(hunks, reference.pages, len(a)), candidate.pages)
+    lines = match_breaks(images(hunks, reference.lines, len(a)), candidate.lines)
+    m2, m3 = agreement(pages), agreement(lines)
+    facing = {reference.page_numbers[i]: candidate.page_numbers[j] for i, j in enumerate(pages) if j is not None}
+    ends = images(hunks, [line.end for line in reference.joined], len(a))
+    measured, xs, ys = 0, [], []
+    equal = [h for h in hunks if h[4]]
+    starts = [h[0] for h in equal]
+    for i, j in enumerate(lines):
+        if j is None:
+            continue
+        mine, yours = reference.joined[i], candidate.joined[j]
+        if not ends[i][0] <= yours.end <= ends[i][1] or facing.get(mine.page) != yours.page:
+            continue
+        measured += 1
+        partners = {}
+        for p, q, r, _, _ in equal[max(0, bisect_right(starts, mine.start) - 1) : bisect_right(starts, mine.end)]:
+            for at in range(max(p, mine.start), min(q, mine.end)):
+                if yours.start <= r + at - p < yours.end:
+                    partners[at] = r + at - p
+        for x, y in glyph_distances(mine, yours, partners):
+            xs.append(x)
+            ys.append(y)
+    x, y = bins(xs), bins(ys)
+    matched = sum(q - p for p, q, _, _, same in hunks if same)
     return {
-        "pages_reference": reference.page_count, "pages_candidate": candidate.page_count, "m2_total": m2[0], "m2_agreed": m2[1], "m3_total": m3[0], "m3_agreed": m3[1],
-        "m3_first_difference": m3[3], "text_reference": len(a), "text_candidate": len(b), "text_matched": matched, "complete": aligner.complete, "hunks": len(hunks),
+        "pages_reference": reference.page_count, "pages_candidate": candidate.page_count, "m2_total": m2[0], "m2_agreed": m2[1], "m2_first_difference": m2[3], "m3_total": m3[0], "m3_agreed": m3[1],
+        "m3_first_difference": m3[3], "m4_lines": measured, "m4_glyphs": len(xs), "m4_x": x, "m4_y": y, **dict(zip(("x_median", "x_p95", "x_most"), spread(x), strict=True)), **dict(zip(("y_median", "y_p95", "y_most"), spread(y), strict=True)),
+        "text_reference": len(a), "text_candidate": len(b), "text_matched": matched, "complete": aligner.complete, "hunks": len(hunks),
     }
 
 
-MEASURES = "pages_reference long, pages_candidate long, m2_total long, m2_agreed long, m3_total long, m3_agreed long, m3_first_difference long, text_reference long, text_candidate long, text_matched long, complete boolean, hunks long, problem string"
+BINS = "array<struct<bin:bigint,n:bigint,most:bigint>>"
+MEASURES = f"pages_reference long, pages_candidate long, m2_total long, m2_agreed long, m2_first_difference long, m3_total long, m3_agreed long, m3_first_difference long, m4_lines long, m4_glyphs long, m4_x {BINS}, m4_y {BINS}, x_median long, x_p95 long, x_most long, y_median long, y_p95 long, y_most long, text_reference long, text_candidate long, text_matched long, complete boolean, hunks long, problem string"
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), BINS: pa.list_(pa.struct([("bin", pa.int64()), ("n", pa.int64()), ("most", pa.int64())]))}
 
 
 def paired(reference: DataFrame, candidate: DataFrame, function: Callable[[Stream, Stream], dict], schema: str) -> DataFrame:
     """(doc, ...) of function over both sides of each document, as streams; rows are (doc, page_count, page, line, baseline, size, text).
 
-    Each side becomes one array a document, the sides meet by an equi-join, and arrays cross to Python a batch at a time. A
-    document that only one side has meets an empty layout.
+    A column glyphs, an array of (offset, length, x, y), is used where there is one. Each side becomes one array a document, the
+    sides meet by an equi-join, and arrays cross to Python a batch at a time. A document that only one side has meets an empty
+    layout.
     """
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.strip().split()[1]] for c in schema.split(",")]
+    columns = [c.strip().split(" ", 1) for c in schema.split(", ")]
+    names, kinds = [c[0] for c in columns], [KINDS[c[1]] for c in columns]
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("doc").agg(F.collect_list(F.struct("page", "line", "baseline", "size", "text")).alias(name), F.max("page_count").alias(f"{name}_pages"))
+        glyphs = F.transform("glyphs", lambda g: F.array(*(g[n].cast("long") for n in ("offset", "length", "x", "y")))) if "glyphs" in rows.columns else F.lit(None).cast("array<array<bigint>>")
+        return rows.groupBy("doc").agg(F.collect_list(F.struct("page", "line", "baseline", "size", "text", glyphs.alias("glyphs"))).alias(name), F.max("page_count").alias(f"{name}_pages"))
 
     def stream(items: list[dict] | None, pages: int | None) -> Stream:
-        return Stream([tuple(i[n] for n in ("page", "line", "baseline", "size", "text")) for i in items or []], pages or 0)
+        return Stream([tuple(i[n] for n in ("page", "line", "baseline", "size", "text", "glyphs")) for i in items or []], pages or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,20 +458,11 @@ def hint_agreement(text: str, hints: list[int], candidate: Stream) -> dict:
     """M7: hinted page breaks, positions in the displayed text, against the candidate's pages; hint i begins page i + 2."""
     a = codes(text)
     aligner = Aligner(a, codes(candidate.text))
-    total, agreed, _, _ = agreement(slide(aligner.hunks(), a, hints), hints, candidate.pages[1:], len(a))
+    found = match_breaks(images(slide(aligner.hunks(), a, hints), hints, len(a)), candidate.pages)
+    total, agreed, _, _ = agreement(found)
     return {"total": total, "agreed": agreed, "pages_reference": len(hints) + 1, "pages_candidate": candidate.page_count}
 
 
-def glyph_distances(pairs: list[tuple[int, int]], x: list[int], y: list[int]) -> list[int]:
-    """Distances of glyphs that show the same characters: clusters pair if each one's characters are aligned with the other's only."""
-    ahead: dict[int, set[int]] = {}
-    back: dict[int, set[int]] = {}
-    for i, j in pairs:
-        ahead.setdefault(i, set()).add(j)
-        back.setdefault(j, set()).add(i)
-    return [abs(x[i] - y[next(iter(js))]) for i, js in sorted(ahead.items()) if len(js) == 1 and back[next(iter(js))] == {i}]
-
-
 def visual_difference(a: np.ndarray, b: np.ndarray, threshold: int = 32) -> tuple[int, int]:
     """(pixels, differing) of two grey rasters of one size: sums of 3 x 3 neighbourhoods, edges repeated, that differ by more than nine thresholds."""
     if a.shape != b.shape:

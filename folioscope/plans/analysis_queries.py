@@ -32,10 +32,39 @@ def two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def align_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """J9, AL1 to AL6 without M4: two renderings of each turn aligned, their page and line breaks matched."""
+    """J9, AL1 to AL6: two renderings of each turn aligned, their page and line breaks matched."""
     return AL.compare_layouts(*two_sides(spark, sf))
 
 
+def with_glyphs(lines: DataFrame, shift: int = 0) -> DataFrame:
+    """A glyph for each character, 6 points wide, moved to the right by `shift` thousandths of a point."""
+    place = lambda i: F.struct(i.alias("offset"), F.lit(1).alias("length"), (i.cast("long") * 6000 + shift).alias("x"), F.col("baseline").alias("y"))
+    return lines.withColumn("glyphs", F.when(F.length("text") > 0, F.transform(F.sequence(F.lit(0), F.length("text") - 1), place)))
+
+
+LINES_SQL = """WITH l AS (SELECT conv_id || ':' || turn AS doc, unnest(string_split(text, '. ')) AS line, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM conversations),
+n AS (SELECT doc, i, i // 6 AS page, length(regexp_replace(line, '[ \t-\r]', '', 'g')) AS n, max(i) OVER (PARTITION BY doc) AS last FROM l) """
+
+
+@query(LINES_SQL + """SELECT doc, count(DISTINCT page) AS pages, count(DISTINCT page) FILTER (n > 0) AS m2_agreed, count(*) FILTER (n > 0) AS m3_agreed, count(*) FILTER (n > 0) AS m4_lines, sum(n)::BIGINT AS m4_glyphs,
+CASE WHEN sum(n) > 0 THEN 500 END AS x_median, CASE WHEN sum(n) > 0 THEN 500 END AS x_most, CASE WHEN sum(n) > 0 THEN 0 END AS y_most, sum(n)::BIGINT AS text_matched FROM n GROUP BY doc""")
+def compared_with_itself(spark: SparkSession, sf: str) -> DataFrame:
+    """AL1 to AL6, AL8, J10: each turn against itself, glyphs half a point to the right: all breaks agree and all glyphs are measured."""
+    lines = layout_of(table(spark, sf, "conversations"), F.col("text"), "[.] ")
+    out = AL.compare_layouts(with_glyphs(lines), with_glyphs(lines, 500))
+    return out.where("m2_total = m2_agreed and m3_total = m3_agreed and hunks <= 1").select("doc", F.col("pages_candidate").alias("pages"), "m2_agreed", "m3_agreed", "m4_lines", "m4_glyphs", "x_median", "x_most", "y_most", "text_matched")
+
+
+@query(LINES_SQL + """SELECT doc, count(*) FILTER (n > 0) AS m3_total, count(*) FILTER (n > 0 AND i < last) AS m3_agreed, count(*) FILTER (n > 0 AND i < last) AS m4_lines, sum(n)::BIGINT AS text_reference, coalesce(sum(n) FILTER (i < last), 0)::BIGINT AS text_matched FROM n GROUP BY doc HAVING max(last) > 0""")
+def compared_without_last_line(spark: SparkSession, sf: str) -> DataFrame:
+    """AL1 to AL6: each turn against itself without its last line: what is left agrees, the last line's break does not."""
+    lines = with_glyphs(layout_of(table(spark, sf, "conversations"), F.col("text"), "[.] "))
+    last = lines.groupBy("doc").agg(F.max("line").alias("last")).where("last > 0")
+    rest = lines.join(last, "doc").where("line < last").drop("last")
+    out = AL.compare_layouts(lines.join(last.select("doc"), "doc", "left_semi"), rest)
+    return out.select("doc", "m3_total", "m3_agreed", "m4_lines", "text_reference", "text_matched")
+
+
 @query("SELECT conv_id || ':' || turn AS doc, length(regexp_replace(text, '[ \\t-\\r]', '', 'g')) - length(text) + length(replace(text, '. ', ' ')) AS kept FROM conversations")
 def aligned_reference_length(spark: SparkSession, sf: str) -> DataFrame:
     """Stream: characters of the reference's side that are compared; the full stops at which lines are cut are no text."""

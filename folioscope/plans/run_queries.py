@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import aggregate as A
 from ..sources.tables import table
 from .base import registry
@@ -12,6 +13,12 @@ from .base import registry
 QUERIES, SQL, query = registry()
 
 
+def distances(n: Column, step: int) -> Column:
+    """A histogram of glyph distances as a document has it; here distances i * step, one each, for i below n."""
+    value = lambda i: i.cast("long") * step
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.struct(N.histogram_bin(value(i)).alias("bin"), F.lit(1).cast("long").alias("n"), value(i).alias("most"))))
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each customer with orders. Line items meet orders by their key, then everything is combined by customer."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -29,6 +36,8 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("flags", F.array(F.concat(F.lit("n"), (F.col("c_nationkey") % 5).cast("string")))).alias("features"), F.array("c_mktsegment").alias("scripts"), state(13, 17).alias("reference"), state(11, 19).alias("candidate"),
         F.col("m2_total").alias("pages_reference"), (F.col("m2_total") + k % 3 - 1).alias("pages_candidate"), "m2_total", "m2_agreed", "m3_total", "m3_agreed",
         F.when(k % 6 == 0, "refused").when(k % 2 == 0, "agreement").otherwise("absent").alias("hints_outcome"), F.col("m2_total").alias("m7_total"), F.col("m2_agreed").alias("m7_agreed"),
+        F.col("m2_total").alias("m7_pages_reference"), (F.col("m2_total") + k % 3 - 1).alias("m7_pages_candidate"), F.when(k % 23 == 0, "refused").alias("problem"), (k % 29 != 0).alias("complete"),
+        F.col("m3_agreed").alias("m4_lines"), (F.col("m3_agreed") * 7).alias("m4_glyphs"), distances(F.col("m3_agreed"), 37).alias("m4_x"), distances(F.col("m3_agreed"), 101).alias("m4_y"),
         (F.col("m3_total") * 10).alias("text_reference"), (F.col("m3_total") * 10 + k % 4).alias("text_candidate"), (F.col("m3_agreed") * 10).alias("text_matched"), (F.col("m2_total") + k % 3 - 1 - F.col("m2_total")).alias("page_difference"),
     )
 
@@ -38,9 +47,10 @@ b AS (SELECT o_custkey, count(*) AS m2_total, count(*) FILTER (o_orderstatus = '
 o AS (SELECT sha256(c_custkey::VARCHAR) AS sha256, c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'T2' ELSE 'T1' END AS tier, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_nationkey % 4 + 12 END AS mode,
  list_append(flags, 'n' || c_nationkey % 5) AS features, c_mktsegment AS script, CASE WHEN k % 13 = 0 THEN 'missing' WHEN k % 17 = 0 THEN 'invalid' ELSE 'present' END AS reference, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 19 = 0 THEN 'invalid' ELSE 'present' END AS candidate,
  m2_total AS pages_reference, m2_total + k % 3 - 1 AS pages_candidate, m2_total, m2_agreed, m3_total, m3_agreed, CASE WHEN k % 6 = 0 THEN 'refused' WHEN k % 2 = 0 THEN 'agreement' ELSE 'absent' END AS hints_outcome, m2_total AS m7_total, m2_agreed AS m7_agreed,
+ m2_total AS m7_pages_reference, m2_total + k % 3 - 1 AS m7_pages_candidate, CASE WHEN k % 23 = 0 THEN 'refused' END AS problem, k % 29 <> 0 AS complete, m3_agreed AS m4_lines, m3_agreed * 7 AS m4_glyphs,
  m3_total * 10 AS text_reference, m3_total * 10 + k % 4 AS text_candidate, m3_agreed * 10 AS text_matched, k % 3 - 1 AS page_difference FROM b JOIN customer ON o_custkey = c_custkey) """
 
-AGG = """count(*) AS documents, count(*) FILTER (c) AS compared, count(*) FILTER (reference = 'missing') AS without_reference, count(*) FILTER (candidate = 'missing') AS without_candidate,
+AGG = """count(*) AS documents, count(problem) AS failed, coalesce(sum(m4_lines) FILTER (c), 0)::BIGINT AS m4_lines, coalesce(sum(m4_glyphs) FILTER (c), 0)::BIGINT AS m4_glyphs, count(*) FILTER (hints_outcome = 'agreement' AND m7_pages_reference = m7_pages_candidate) AS m7_pages_matching, count(*) FILTER (c AND NOT complete) AS text_incomplete, count(*) FILTER (c) AS compared, count(*) FILTER (reference = 'missing') AS without_reference, count(*) FILTER (candidate = 'missing') AS without_candidate,
  count(*) FILTER (c AND pages_reference = pages_candidate) AS m1_matching, coalesce(sum(abs(pages_candidate - pages_reference)) FILTER (c), 0)::BIGINT AS m1_difference,
  coalesce(sum(m2_total) FILTER (c), 0)::BIGINT AS m2_total, coalesce(sum(m2_agreed) FILTER (c), 0)::BIGINT AS m2_agreed, coalesce(sum(m3_total) FILTER (c), 0)::BIGINT AS m3_total, coalesce(sum(m3_agreed) FILTER (c), 0)::BIGINT AS m3_agreed,
  count(*) FILTER (hints_outcome = 'agreement') AS m7_documents, coalesce(sum(m7_total) FILTER (hints_outcome = 'agreement'), 0)::BIGINT AS m7_total, coalesce(sum(m7_agreed) FILTER (hints_outcome = 'agreement'), 0)::BIGINT AS m7_agreed, count(*) FILTER (hints_outcome = 'refused') AS m7_refused,
@@ -61,6 +71,15 @@ def run_aggregate_overall(spark: SparkSession, sf: str) -> DataFrame:
     return A.run_aggregate(outcomes(spark, sf)).where("dimension = 'overall'")
 
 
+@query(GROUPED.split("SELECT dimension, key")[0] + """, v AS (SELECT dimension, key, a.axis, i * a.step AS d FROM x, (VALUES ('x', 37), ('y', 101)) AS a(axis, step), LATERAL (SELECT unnest(range(m3_agreed)) AS i) WHERE c),
+p AS (SELECT dimension, key, axis, count(*) AS count, quantile_disc(d, 0.5) AS median, quantile_disc(d, 0.95) AS p95, max(d) AS max FROM v GROUP BY dimension, key, axis),
+f AS (SELECT *, CASE WHEN median < 2048 THEN median ELSE median >> (length(bin(median)) - 11)::INT << (length(bin(median)) - 11)::INT END AS m, CASE WHEN p95 < 2048 THEN p95 ELSE p95 >> (length(bin(p95)) - 11)::INT << (length(bin(p95)) - 11)::INT END AS q FROM p)
+SELECT dimension, key, axis, count, m AS median, q AS p95, max FROM f""")
+def run_glyph_spreads(spark: SparkSession, sf: str) -> DataFrame:
+    """Spreads of glyph distances by group, from the documents' merged histograms."""
+    return A.run_spreads(outcomes(spark, sf))
+
+
 @query(OUT + "SELECT sha256, CASE WHEN m3_total > 0 THEN (((m3_total - m3_agreed) * 1000 + m3_total // 2) // m3_total)::BIGINT END AS disagreement FROM o")
 def disagreement_share(spark: SparkSession, sf: str) -> DataFrame:
     """Thousandths of breaks that disagree."""
@@ -70,7 +89,7 @@ def disagreement_share(spark: SparkSession, sf: str) -> DataFrame:
 @query(OUT + """, d AS (SELECT features, (((m3_total - m3_agreed) * 1000 + m3_total // 2) // m3_total)::BIGINT AS d FROM o WHERE m3_total > 0), w AS (SELECT count(*) AS n, sum(d)::HUGEINT AS s, sum(d * d)::HUGEINT AS q FROM d),
 e AS (SELECT f AS feature, count(*) AS k, sum(d)::HUGEINT AS t FROM (SELECT d, unnest(list_distinct(features)) AS f FROM d) GROUP BY 1),
 r AS (SELECT feature, k, n, s, t, n * t - k * s AS num, (k * (n - k))::HUGEINT * (n * q - s * s) AS den FROM e, w WHERE k >= 5 AND n - k >= 5 AND n * q > s * s),
-z AS (SELECT *, floor(num::DOUBLE * num::DOUBLE * 1e6 / den::DOUBLE) AS sq FROM r), y AS (SELECT *, floor(sqrt(sq)) AS rt FROM z)
+z AS (SELECT *, num::HUGEINT * num::HUGEINT * 1000000 // den::HUGEINT AS sq FROM r), y AS (SELECT *, floor(sqrt(sq::DOUBLE))::HUGEINT AS rt FROM z)
 SELECT feature, k AS "with", n - k AS without, ((2 * t + k) // (2 * k))::BIGINT AS disagreement_with, ((2 * (s - t) + (n - k)) // (2 * (n - k)))::BIGINT AS disagreement_without, least(CASE WHEN sq > rt * rt + rt THEN rt + 1 ELSE rt END, 1000)::BIGINT AS correlation
 FROM y WHERE num > 0 AND sq >= 1 ORDER BY correlation DESC, feature LIMIT 20""")
 def feature_correlation(spark: SparkSession, sf: str) -> DataFrame:

@@ -35,19 +35,20 @@ def test_baseline(spark):
 
 
 def test_run_aggregate(spark):
-    schema = "sha256 string, tier string, mode int, features array<string>, scripts array<string>, reference string, candidate string, pages_reference long, pages_candidate long, m2_total long, m2_agreed long, m3_total long, m3_agreed long, hints_outcome string, m7_total long, m7_agreed long, text_reference long, text_candidate long, text_matched long"
+    schema = "sha256 string, tier string, mode int, features array<string>, scripts array<string>, reference string, candidate string, pages_reference long, pages_candidate long, m2_total long, m2_agreed long, m3_total long, m3_agreed long, hints_outcome string, m7_total long, m7_agreed long, text_reference long, text_candidate long, text_matched long, problem string, complete boolean, m4_lines long, m4_glyphs long, m7_pages_reference long, m7_pages_candidate long"
     rows = [
-        ("a", "T1", 15, ["Tables", "Fields", "Fields"], ["Latin"], "present", "present", 1, 1, 1, 1, 3, 3, "absent", None, None, 60, 60, 60),
-        ("b", "T1", None, ["Tables"], ["Latin", "Hebrew"], "present", "present", 2, 1, 1, 0, 3, 2, "absent", None, None, 50, 50, 36),
-        ("c", "T2", 14, ["Fields"], ["Latin"], "present", "missing", 1, 1, 1, 1, 3, 0, "absent", None, None, 34, 0, 0),
-        ("d", "T1", 15, ["Footnotes"], ["Latin"], "missing", "missing", None, None, None, None, None, None, "agreement", 4, 2, None, None, None),
-        ("e", "T2", None, [], [], "missing", "missing", None, None, None, None, None, None, "refused", None, None, None, None, None),
+        ("a", "T1", 15, ["Tables", "Fields", "Fields"], ["Latin"], "present", "present", 1, 1, 1, 1, 3, 3, "absent", None, None, 60, 60, 60, None, True, 3, 51, None, None),
+        ("b", "T1", None, ["Tables"], ["Latin", "Hebrew"], "present", "present", 2, 1, 1, 0, 3, 2, "absent", None, None, 50, 50, 36, None, False, 1, 10, None, None),
+        ("c", "T2", 14, ["Fields"], ["Latin"], "present", "missing", 1, 1, 1, 1, 3, 0, "absent", None, None, 34, 0, 0, None, True, 0, 0, None, None),
+        ("d", "T1", 15, ["Footnotes"], ["Latin"], "missing", "missing", None, None, None, None, None, None, "agreement", 4, 2, None, None, None, "no store", None, None, None, 3, 3),
+        ("e", "T2", None, [], [], "missing", "missing", None, None, None, None, None, None, "refused", None, None, None, None, None, None, None, None, None, None, None),
     ]
     got = {(r.dimension, r.key): r for r in A.run_aggregate(spark.createDataFrame(rows, schema)).collect()}
     all_ = got["overall", ""]
     assert (all_.documents, all_.compared, all_.without_reference, all_.without_candidate) == (5, 3, 2, 3)
     assert (all_.m3_total, all_.m3_agreed, all_.m2_total, all_.m2_agreed, all_.m1_matching, all_.m1_difference) == (9, 5, 3, 2, 2, 1)
     assert (all_.m7_documents, all_.m7_total, all_.m7_agreed, all_.m7_refused, all_.text_reference, all_.text_matched) == (1, 4, 2, 1, 144, 96)
+    assert (all_.failed, all_.text_incomplete, all_.m4_lines, all_.m4_glyphs, all_.m7_pages_matching) == (1, 1, 4, 61, 1)
     assert (got["feature", "Tables"].m3_total, got["feature", "Tables"].m3_agreed) == (6, 5)
     assert got["script", "Hebrew"].m3_agreed == 2 and got["feature", "Fields"].documents == 2
     assert got["mode", "not set"].documents == 2
@@ -102,3 +103,19 @@ def test_deduplicate_keeps_places_as_rows(spark):
     documents, places = C.deduplicate(rows)
     assert {tuple(r) for r in documents.collect()} == {("a", 1, "s1", 2), ("b", 3, "s1", 1)}
     assert {tuple(r) for r in places.collect()} == {("a", 2, "s2", "p2"), ("a", 1, "s1", "p1"), ("b", 3, "s1", None)}
+
+
+def test_correlation_is_exact_in_integers():
+    """Against fractions, on sums far beyond what doubles hold."""
+    from fractions import Fraction
+    from math import isqrt
+
+    for n, s, q, k, t in ((10, 5000, 5_000_000, 5, 5000), (10, 5000, 5_000_000, 5, 3000), (10**9, 3 * 10**11, 2 * 10**14, 10**6 + 3, 4 * 10**8 + 7), (10, 5000, 2_500_000, 5, 2500), (4, 8, 24, 1, 0)):
+        spread = n * q - s * s
+        if not spread:
+            assert A.point_biserial(n, s, q, k, t) is None
+            continue
+        top = n * t - k * s
+        square = Fraction(top * top * 10**6, k * (n - k) * spread)
+        root = min(1000, next(r for r in range(isqrt(int(square)), 1002) if int(square) <= r * r + r))
+        assert A.point_biserial(n, s, q, k, t) == (root if top >= 0 else -root)

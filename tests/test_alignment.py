@@ -64,19 +64,79 @@ def stream(*pages):
     return AL.Stream([(p, i, 12_000 * i, 10_000, t) for p, lines in enumerate(pages) for i, t in enumerate(lines)], len(pages))
 
 
+def glyphs(text, baseline=0, x=72_000):
+    return [(i, 1, x + 6000 * i, baseline) for i in range(len(text))]
+
+
+def drawn(*pages, page_count=None):
+    """Pages of (text, baseline in points, first column) with a glyph for each character."""
+    rows = [(p, i, 1000 * b, 10_000, t, glyphs(t, 1000 * b, 72_000 + 6000 * (c[0] if c else 0))) for p, lines in enumerate(pages) for i, (t, b, *c) in enumerate(lines)]
+    return rows, page_count or len(pages)
+
+
+def compared(a, b):
+    return AL.compare(AL.Stream(*a), AL.Stream(*b))
+
+
+def some(found, *names):
+    return tuple(found[n] for n in names)
+
+
+M = ("m2_total", "m2_agreed", "m3_total", "m3_agreed", "m4_lines", "m4_glyphs")
+SPREADS = ("x_median", "x_p95", "x_most", "y_median", "y_p95", "y_most")
+
+
 def test_measures():
-    same = AL.compare(stream(["one two", "three"], ["four"]), stream(["one two", "three"], ["four"]))
-    assert (same["m2_total"], same["m2_agreed"], same["m3_total"], same["m3_agreed"]) == (1, 1, 2, 2)
-    shifted = AL.compare(stream(["one two", "three"], ["four"]), stream(["one two"], ["three", "four"]))
-    assert (shifted["m2_agreed"], shifted["m3_agreed"], shifted["pages_candidate"]) == (0, 2, 2)
-    changed = AL.compare(stream(["one two", "three"]), stream(["one", "two three"]))
-    assert (changed["m3_total"], changed["m3_agreed"], changed["m3_first_difference"]) == (1, 0, 0)
-    missing = AL.compare(stream(["one", "two", "three"]), stream(["one", "three"]))
-    assert (missing["m3_total"], missing["m3_agreed"], missing["text_matched"]) == (2, 1, 8)
-    nothing = AL.compare(stream(["one", "two"]), stream())
-    assert (nothing["m3_total"], nothing["m3_agreed"], nothing["text_candidate"]) == (1, 0, 0)
-    ligature = AL.compare(stream(["of\ufb01ce"]), stream(["office"]))
-    assert ligature["text_matched"] == 6
+    pages = ([("Alpha beta gamma", 100), ("delta epsilon", 114)], [("zeta eta", 100)])
+    same = compared(drawn(*pages), drawn(*pages))
+    assert some(same, *M) == (2, 2, 3, 3, 3, 33 - 0) and some(same, *SPREADS) == (0,) * 6 and same["text_matched"] == 33
+    a = drawn([("One two three", 100), ("four five six", 114), ("seven eight", 128)], [("nine ten", 100), ("eleven", 114)])
+    b = drawn([("One two three", 100), ("four five six", 114)], [("seven eight", 100), ("nine ten", 114), ("eleven", 128)])
+    shifted = compared(a, b)
+    assert some(shifted, *M) == (2, 1, 5, 5, 2, 22) and shifted["m2_first_difference"] == 1 and shifted["m3_first_difference"] is None
+    changed = compared(drawn([("The quick brown fox", 100), ("jumps over the lazy dog", 114), ("Next paragraph", 128)]), drawn([("The quick brown", 100), ("fox jumps over the lazy dog", 114), ("Next paragraph", 128)]))
+    assert some(changed, *M) == (1, 1, 3, 2, 1, 13) and changed["m3_first_difference"] == 1 and changed["text_matched"] == changed["text_reference"]
+    missing = compared(drawn([("one", 100), ("two", 114), ("three", 128)]), drawn([("one", 100), ("three", 128)]))
+    assert some(missing, "m3_total", "m3_agreed", "text_matched") == (3, 2, 8)
+    nothing = compared(drawn([("one", 100), ("two", 114)]), ([], 0))
+    assert some(nothing, "m3_total", "m3_agreed", "text_candidate", "m4_lines", "x_median") == (2, 0, 0, 0, None)
+    assert AL.compare(stream(["of\ufb01ce"]), stream(["office"]))["text_matched"] == 6
+
+
+def test_glyphs_that_are_offset():
+    """Fifteen distances of 0, four of half a point and one of two points to the right; one a quarter point down."""
+    a, (rows, n) = drawn([("abcdefghij", 100), ("klmnopqrst", 114)]), drawn([("abcdefghij", 100), ("klmnopqrst", 114)])
+    for g in range(4):
+        rows[0][5][g] = (g, 1, rows[0][5][g][2] + 500, rows[0][5][g][3])
+    rows[1][5][9] = (9, 1, rows[1][5][9][2] + 2000, rows[1][5][9][3] + 250)
+    found = compared(a, (rows, n))
+    assert some(found, *M) == (1, 1, 2, 2, 2, 20) and some(found, *SPREADS) == (0, 500, 2000, 0, 0, 250)
+
+
+def test_cells_on_one_baseline_are_one_line():
+    row = drawn([("Alpha1 Beta1 Gamma1", 100), ("After the table", 130)])
+    cells = drawn([("Alpha1", 100, 0), ("Beta1", 100, 7), ("Gamma1", 100, 13), ("After the table", 130)])
+    found = compared(row, cells)
+    assert some(found, *M) == (1, 1, 2, 2, 2, 30) and found["x_most"] == 0
+
+
+def test_a_ligature_against_letters_is_not_measured():
+    rows = [(0, 0, 100_000, 10_000, "fine", [(0, 2, 72_000, 100_000), (2, 1, 84_000, 100_000), (3, 1, 90_000, 100_000)])]
+    found = compared((rows, 1), drawn([("fine", 100)]))
+    assert some(found, "m3_total", "m3_agreed", "m4_glyphs", "x_most") == (1, 1, 2, 0)
+    two = [(0, 0, 100_000, 10_000, "fine", [(0, 2, 72_000, 100_000), (0, 2, 75_000, 100_000), (2, 1, 84_000, 100_000), (3, 1, 90_000, 100_000)])]
+    assert compared((rows, 1), (two, 1))["m4_glyphs"] == 2  # clusters with another number of glyphs are left out
+
+
+def test_histograms_are_those_of_columns(spark):
+    from folioscope.functions import numeric as N
+
+    values = [0, 1, 2047, 2048, 2049, 4095, 4096, 5000, 123_456_789, 10**13]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", N.histogram_bin(N.F.col("v")).alias("bin")).collect()
+    assert {r.v: r.bin for r in got} == {v: AL.bins([v])[0]["bin"] for v in values}
+    starts = spark.createDataFrame([(AL.bins([v])[0]["bin"], AL.spread(AL.bins([v]))[0]) for v in values], "bin long, start long")
+    assert all(r.start == min(r.want, AL.MOST_MILLI) for r in starts.select("start", N.bin_start(N.F.col("bin")).alias("want")).collect())
+    assert AL.spread(AL.bins([10**13])) == (AL.MOST_MILLI,) * 3 and AL.spread([]) == (None,) * 3
 
 
 def test_joined_baselines_make_one_line():
@@ -102,7 +162,6 @@ def test_breaks_pair_strong_first():
 def test_glyphs_and_rasters():
     import numpy as np
 
-    assert AL.glyph_distances([(0, 0), (1, 2), (2, 2)], [10, 20, 30], [13, 0, 0]) == [3]
     a = np.zeros((5, 5), np.uint8)
     b = a.copy()
     b[2, 2] = 255
