@@ -27,19 +27,29 @@ SYLLABLES = {
     "latin": "ba do fe gi ka lo mu ne pa ri so tu va wel zan mor".split(),
     "cyrillic": "ба до фе ги ка ло му не па ри со ту ва вел зан мор".split(),
     "greek": "βα δο φε γι κα λο μυ νε πα ρι σο τυ θα βελ ζαν μορ".split(),
+    "han": "安 博 成 德 恩 凡 光 海 佳 康 林 明 宁 瑞 文 雅".split(),
 }
+#: Letters that stand for letters of a script outside names; of other scripts Latin ones do.
+ALPHABETS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "latin": "abcdefghijklmnopqrstuvwxyz"}
+#: Chinese surnames in Latin letters; with a capitalised word behind them they begin a name.
+SURNAMES = "Chen Guo Huang Liang Liu Wang Xie Xu Yang Zhang Zhao Zheng Zhou Zhu".split()
+#: Words that, with a colon, are followed by a name in any script.
+NAME_LABELS = "Contact|Customer|Kontakt|Kunde|Name|Nombre|Nom|Patient|Signed by|Имя|姓名|联系人"
+#: Feminine surnames and the form they share with masculine ones, and the endings that a coined surname keeps.
+FEMININE = ((r"(\p{L}{2,}(?:ов|ев|ёв|ин|ын))а$", "$1", "а"), (r"(\p{L}{2,}[сц]к)ая$", "$1ий", "ая"), (r"(\p{L}{3,})ová$", "$1", "ová"), (r"(\p{L}{2,}(?:ov|ev))a$", "$1", "a"), (r"(\p{L}{2,}[sc]k)a$", "$1i", "a"))
+ENDINGS = r"(?<=\p{L}{2})(?:ский|цкий|ов|ев|ёв|ин|ын|а|я|ov|ev|ski|cki|a|ος|ης|ας|ου|α|η)$"
 _names = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _word = r"\p{Lu}[\p{L}'’-]+"
 #: In order: where two could begin at one place, the first is taken.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d+.,/-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\d.,/-])|(?<![\d+.,/-])0[1-9](?:[ .]\d{2}){4}(?![\d.,/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "person": rf"(?<!\p{{L}})(?=[\p{{Lu}}гκ])(?:(?:{_titles})\.? {_word}(?: {_word})?|(?:{_names}) {_word})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?=[\p{{Lu}}гκ])(?:(?:{_titles})\.? {_word}(?: {_word})?|(?:{_names}) {_word}|(?:{'|'.join(SURNAMES)}) \p{{Lu}}\p{{Ll}}{{1,9}}|(?<=(?:{NAME_LABELS}): ?){_word}(?: {_word}){{0,2}})(?!\p{{L}})|(?<=(?:姓名|联系人)[:：] ?)\p{{IsHan}}{{2,4}}(?!\p{{IsHan}})",
 }
 ALL = "|".join(PATTERNS.values())
 #: Values longer than this (an entity of repeated parts) keep the pattern of their hash beyond it.
@@ -64,8 +74,16 @@ def canonical(kind: Column, m: Column) -> Column:
     return F.when(kind.isin("email", "person"), F.lower(m)).when(kind == "ip", m).otherwise(F.upper(F.regexp_replace(m, "[^A-Za-z0-9+]", "")))
 
 
+def hmac_hex(key: str, message: Column) -> Column:
+    """HMAC-SHA256 of a text by its definition: two digests, over the key's inner and outer block."""
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    block = block.ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def digest(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat(F.lit(key), F.lit("|"), kind, F.lit("|"), value, F.lit("|"), attempt.cast("string")), 256)
+    return hmac_hex(key, F.concat(kind, F.lit("|"), value, F.lit("|"), attempt.cast("string")))
 
 
 def pick(hexes: Column, at: Column | int) -> Column:
@@ -81,6 +99,14 @@ def reshaped(value: Column, hexes: Column, first: Column | int = 0) -> Column:
     def letter(i: Column) -> Column:
         return F.pmod(pick(hexes, i) * 16 + pick(hexes, i + 7), F.lit(26)) + 1
 
+    def foreign(c: Column, at: Column) -> Column:
+        low = None
+        for script, letters in ALPHABETS.items():
+            one = F.substring(F.lit(letters), F.pmod(at, F.lit(len(letters))) + 1, F.lit(1))
+            low = F.when(script_of(c) == script, one) if low is None else low.when(script_of(c) == script, one)
+        low = low.otherwise(F.substring(F.lit(ALPHABETS["latin"]), at, F.lit(1)))
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(low)).otherwise(low)
+
     def one(c: Column, i: Column) -> Column:
         digit = F.pmod(pick(hexes, i) * 16 + pick(hexes, i + 7), F.lit(10)).cast("string")
         return (
@@ -88,6 +114,8 @@ def reshaped(value: Column, hexes: Column, first: Column | int = 0) -> Column:
             .when(c.rlike("[0-9]"), digit)
             .when(c.rlike("[a-z]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), letter(i), F.lit(1)))
             .when(c.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letter(i), F.lit(1)))
+            .when(c.rlike(r"\p{N}"), digit)
+            .when(c.rlike(r"\p{L}"), foreign(c, letter(i)))
             .otherwise(c)
         )
 
@@ -106,7 +134,23 @@ def mod97(value: Column) -> Column:
 
 
 def script_of(value: Column) -> Column:
-    return F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
+    return F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).when(value.rlike(r"\p{IsHan}"), F.lit("han")).otherwise(F.lit("latin"))
+
+
+def stem(value: Column) -> Column:
+    """A surname in the form that men and women of the name share."""
+    for pattern, shared, _ in FEMININE:
+        value = F.regexp_replace(value, pattern, shared)
+    return value
+
+
+def inflected(low: Column, new: Column) -> Column:
+    """A surrogate of stem(low), in the form that low has."""
+    out = None
+    for pattern, shared, ending in FEMININE:
+        form = F.concat(F.regexp_replace(new, "(?:ий|i)$", ""), F.lit(ending)) if shared not in ("$1",) else F.concat(new, F.lit(ending))
+        out = F.when(low.rlike(pattern), form) if out is None else out.when(low.rlike(pattern), form)
+    return out.otherwise(new)
 
 
 def given_map(key: str) -> dict[str, str]:
@@ -119,15 +163,15 @@ def given_map(key: str) -> dict[str, str]:
 
 
 def coined(value: Column, hexes: Column, attempt: Column) -> Column:
-    """A name of the value's script from four syllables; after some attempts from one more each, so that there is room for all."""
+    """A name of the value's script from four syllables (two characters of Han), with the value's own ending; after some attempts from one more each, so that there is room for all."""
     out = None
     for script, syllables in SYLLABLES.items():
         table = F.array(*(F.lit(s) for s in syllables))
         places = F.sequence(F.lit(4), F.least(attempt + 2, F.lit(DIGEST - 1)))
         wider = F.when(attempt >= 2, F.array_join(F.transform(places, lambda i: F.element_at(table, pick(hexes, i) + 1)), "")).otherwise(F.lit(""))
-        word = F.concat(*(F.element_at(table, pick(hexes, i) + 1) for i in range(4)), wider)
+        word = F.concat(*(F.element_at(table, pick(hexes, i) + 1) for i in range(2 if script == "han" else 4)), wider)
         out = F.when(script_of(value) == script, word) if out is None else out.when(script_of(value) == script, word)
-    return out
+    return F.concat(out, F.regexp_extract(value, ENDINGS, 0))
 
 
 def email_surrogate(key: str, value: Column, hexes: Column, attempt: Column) -> Column:
@@ -201,14 +245,14 @@ def units(m: Column) -> Column:
     title = rf"^(?:{_titles})\.?$"
     listed = rf"(?iu)^(?:{_names})$"
     names = F.filter(F.split(m, " "), lambda w: ~w.rlike(title) & ~w.rlike(listed))
-    person = F.transform(names, lambda w: F.struct(F.lit("person").alias("kind"), w.alias("raw"), F.lower(w).alias("value")))
+    person = F.transform(names, lambda w: F.struct(F.lit("person").alias("kind"), w.alias("raw"), stem(F.lower(w)).alias("value")))
     return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), m.alias("raw"), canonical(kind, m).alias("value"))))
 
 
 def may_hold(text: Column) -> Column:
     """What every entity implies and costs little to test; most prose has none of it and skips the patterns."""
     numbers = text.rlike("[0-9][0-9.() -]{4,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
-    names = (text.rlike(r"\p{Lu}[\p{L}'’-]*\.? \p{Lu}") | text.contains("г-") | text.contains("κ")) & text.rlike(PATTERNS["person"])
+    names = (text.rlike(r"\p{Lu}[\p{L}'’-]*\.? \p{Lu}|[\p{L}][:：] ?[\p{Lu}\p{IsHan}]") | text.contains("г-") | text.contains("κ")) & text.rlike(PATTERNS["person"])
     return text.contains("@") | numbers | names
 
 
@@ -265,7 +309,8 @@ def rewrite(text: Column, found: Column, key: str, attempts: Column | None) -> C
 
     def name(w: Column) -> Column:
         kind = F.lit("person")
-        new = let(F.lower(w), lambda low: F.coalesce(F.element_at(table, low), substitute_person(key, low, tries(kind, low))))
+        coin = lambda low: let(stem(low), lambda base: inflected(low, substitute_person(key, base, tries(kind, base))))
+        new = let(F.lower(w), lambda low: F.coalesce(F.element_at(table, low), coin(low)))
         return F.when(w.rlike(title), w).otherwise(let(new, lambda n: dressed(kind, w, n)))
 
     def plain(m: Column, kind: Column) -> Column:
@@ -283,31 +328,37 @@ def substitute_person(key: str, value: Column, attempt: Column) -> Column:
     return let(digest(key, F.lit("person"), value, attempt), lambda h: coined(value, h, attempt))
 
 
-def pseudonymise(docs: DataFrame, key: str = "folioscope", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text rewritten and two columns more, pii_count and pii_kinds (sorted, distinct).
 
-    E-mail addresses, IBANs, phone and social security numbers, IP addresses, card numbers and persons (a title or a listed
-    given name before capitalised words) get surrogates of the same type: digits for digits, letters for letters, the same
-    separators and case; cards and IBANs keep being valid, or not; given names stay within their gender and script, surnames
-    within their script; titles stay. One value has one surrogate throughout the corpus, whatever its layout; two values never
-    share one, and none is a value of the corpus, by collision checks over all distinct values. Null texts stay null with count
-    0; null ids and repeated rows are rewritten like others; an empty table gives an empty result; other columns are kept,
-    but for columns named pii_count and pii_kinds, which are replaced. Texts of any length are rewritten whole.
-
-    The surrogate is computed in the row from the key and the value, so texts are not shuffled; only values in collision are
-    looked up, by id, with a join of checked size.
+    E-mail addresses, IBANs, phone and social security numbers, IP addresses, card numbers and persons (a title, a listed given
+    name, a listed surname or a label such as `Name:` before capitalised words, or such a label before Han characters) get
+    surrogates of the same type: digits for digits, letters for letters of the script, the same separators and case; cards and
+    IBANs keep being valid, or not; titles stay. A listed given name becomes another of its gender and script, a real name too;
+    other names are coined in their script with their own ending, and feminine surnames keep being those of the masculine ones.
+    One value has one surrogate throughout the corpus, whatever its layout; two values never share one, and but for given names
+    none is a value of the corpus, by collision checks over all distinct values.
+
+    Surrogates follow from `key`, which is required and secret, by HMAC-SHA256. Null texts stay null with count 0; null ids and
+    repeated rows are rewritten like others; an empty table gives an empty result; other columns are kept, but for columns named
+    pii_count and pii_kinds, which are replaced. Texts of any length are rewritten whole. Where values collide, texts that hold
+    them meet their attempts by the text's hash, in a join of checked size; texts without any are not looked at twice.
     """
+    if not key:
+        raise ValueError("a secret key is required")
     known = keep(values(docs, text_col))
     special = exceptions(known, key)
     text = F.col(text_col)
     attempts = None
     rows = docs
     if special.limit(1).count():
-        ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-        mention = docs.where(may_hold(text)).select(ident.alias("id"), F.explode(matches(text)).alias("m")).select("id", F.explode(units(F.col("m"))).alias("u")).select("id", F.concat("u.kind", F.lit("|"), "u.value").alias("name"))
-        hit = lookup(mention, special, "name", "n", F.col("id")).where("attempt is not null").select("id", "name", "attempt").distinct()
-        maps = keep(hit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("__pii_attempts"), F.lit(1).alias("__pii_n"))).withColumnRenamed("id", "__pii_id")
-        rows = lookup(docs.withColumn("__pii_id", ident), maps, "__pii_id", "__pii_n", F.lit(0))
+        here = F.xxhash64(text)
+        mention = docs.where(may_hold(text)).select(here.alias("h"), F.explode(F.array_distinct(F.flatten(F.transform(matches(text), lambda m: F.transform(units(m), lambda u: F.concat(u["kind"], F.lit("|"), u["value"])))))).alias("name"))
+        mention = mention.groupBy("h", "name").agg(F.count("*").alias("texts"))  # copies of a text are one row
+        hit = lookup(mention, special, "name", "n", F.col("h")).where("attempt is not null")
+        pair = F.struct("name", "attempt")
+        maps = keep(hit.groupBy("h").agg(F.map_from_entries(F.collect_set(pair)).alias("__pii_attempts"), F.max("texts").alias("__pii_n"))).withColumnRenamed("h", "__pii_h")
+        rows = lookup(docs.withColumn("__pii_h", F.when(may_hold(text), here)).withColumn("__pii_at", F.monotonically_increasing_id()), maps, "__pii_h", "__pii_n", F.col("__pii_at"))
         attempts = F.col("__pii_attempts")
     hit = F.coalesce(may_hold(text), F.lit(False))
     found = F.when(hit, matches(text)).otherwise(F.array().cast("array<string>"))

@@ -42,8 +42,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(hos
 """
 
 
+#: The setting that holds the secret key of surrogates; without it the query uses a key for demonstration, which hides nothing.
+SURROGATE_KEY, DEMONSTRATION = "spark.folioscope.surrogates.key", "not a secret"
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count", "pii_kinds")
+    key = spark.conf.get(SURROGATE_KEY, None) or DEMONSTRATION
+    return pii_surrogates.pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "pii_count", "pii_kinds")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,8 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND
 
 
 def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_forest.scan(table(spark, sf_dir, "documents"))
+    """The source stands for the path of the file a document came from."""
+    out = secret_forest.scan(table(spark, sf_dir, "documents"), path_col="source")
     return out.select("doc_id", "nth", "start", "length", "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
