@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, keep, lookup, new_folder, ship
@@ -20,6 +20,10 @@ SPLIT_BYTES = 16 << 20
 STEP = 1 << 18
 #: Payloads below this size are never revisits.
 REVISIT_BYTES = 1000
+#: Records of a range that are held back, at most, to see whether their chain of members holds.
+HELD = 64
+#: Reading tasks at once, at most; further ranges share them.
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -123,16 +127,42 @@ def member(file: Range, at: int) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
-def records(file: Range, start: int, end: int) -> Iterator[dict]:
-    """The records that begin inside [start, end), whole, even where they end beyond."""
-    at = first_member(file, start, end)
+def records(file: Range, start: int, end: int, known: bool = False) -> Iterator[dict]:
+    """The records that begin inside [start, end), whole, even where they end beyond; `known`: one begins at start.
+
+    Each has the place after it. A candidate whose chain of members breaks before the range or the file ends was no record (an
+    archive stored inside a member, say): its records are not given and the search goes on behind its first byte. If records
+    were given already, as there are many, a last one without a place (`at` -1) says that the range must be read anew.
+    """
+    at = start if known else first_member(file, start, end)
     while at is not None and at < end:
-        data, after = member(file, at)
-        head, _, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield {"version": lines[0], "fields": fields, "block": rest[: int(fields["content-length"])], "at": at}
-        at = after if after < file.size else None
+        found, next_, given = [], at, False
+        known |= at == 0
+        try:
+            while next_ is not None and next_ < end:
+                data, after = member(file, next_)
+                head, _, rest = data.partition(b"\r\n\r\n")
+                lines = head.decode("utf-8", "replace").split("\r\n")
+                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                size = int(fields["content-length"])
+                if not lines[0].startswith("WARC/") or len(rest) < size:
+                    raise ValueError("not a record")
+                found.append({"version": lines[0], "fields": fields, "block": rest[:size], "at": next_, "after": after})
+                if len(found) == HELD or known or given:
+                    given = True
+                    yield from found
+                    found = []
+                next_ = after if after < file.size else None
+        except (ValueError, KeyError, zlib.error):
+            if known:
+                raise
+            if given:
+                yield {"at": -1}
+                return
+            at = first_member(file, at + 1, end)
+            continue
+        yield from found
+        return
 
 
 def ident(value: str | None) -> int | str | None:
@@ -140,24 +170,25 @@ def ident(value: str | None) -> int | str | None:
     return text or None
 
 
-def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, at) of each record in archives (name, size).
+NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "at", "range", "after"]
+KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
-    Archives are cut into byte ranges, each a task's: it looks for gzip magic, validates candidates by decoding their headers, and
-    owns the records that begin inside its range. A response's size and digest are those of the payload read and must agree
-    with its header; a revisit's come from its headers.
-    """
-    ship(archives.sparkSession)
+
+def read_ranges(ranges: DataFrame, folder: str, split_bytes: int) -> DataFrame:
+    """The records of ranges (name, size, start, first), first being a known start or null; a row without `at` for a range without records."""
+    ship(ranges.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "at"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             rows: list[tuple] = []
-            for name, size, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                file = Range(fs.open_input_file(f"{path}/{name}"), size)
-                for r in records(file, start, min(size, start + split_bytes)):
+            for name, size, start, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                file, end, seen = Range(fs.open_input_file(f"{path}/{name}"), size), min(size, start + split_bytes), False
+                for r in records(file, start if first is None else first, end, first is not None) if first is None or first < end else ():
+                    seen = True
+                    if r["at"] < 0:
+                        rows.append((None,) * 6 + (name, -1, start, None))
+                        break
                     f = r["fields"]
                     http, _, payload = r["block"].partition(b"\r\n\r\n")
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -166,17 +197,45 @@ def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
                         length, found = len(payload), hashlib.sha1(payload).hexdigest()
                         if found != digest:
                             raise ValueError(f"a payload in {name} differs from its digest")
-                    rows.append((ident(f["warc-record-id"]), f.get("warc-target-uri"), length, digest, f["warc-type"], ident(f.get("warc-refers-to")), name, r["at"]))
+                    rows.append((ident(f["warc-record-id"]), f.get("warc-target-uri"), length, digest, f["warc-type"], ident(f.get("warc-refers-to")), name, r["at"], start, r["after"]))
                     if len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
                         rows = []
+                if not seen:
+                    rows.append((None,) * 6 + (name, None, start, None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
     # a number of its own, so that the few bytes that describe the ranges are not coalesced into one task
-    tasks = archives.agg(F.coalesce(F.sum(F.ceil(F.col("size") / F.lit(split_bytes))), F.lit(1))).first()[0]
-    splits = archives.select("name", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {split_bytes}L)")).alias("start"))
-    return splits.repartition(max(1, int(tasks)), "name", "start").mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, at long")
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks, "name", "start").mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, at long, range long, after long")
+
+
+def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, at) of each record in archives (name, size).
+
+    Archives are cut into byte ranges, each a task's: it looks for gzip magic, validates candidates by decoding their headers and
+    following their chain of members, and owns the records that begin inside its range. Then the ranges of an archive are held
+    against one another, a narrow row each: a range must begin where the records of those before it end. Ranges that were
+    misled (by an archive stored inside a record) are read again from there, until all agree. A response's size and digest are
+    those of the payload read and must agree with its header; a revisit's come from its headers.
+    """
+    splits = keep(archives.select("name", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {split_bytes}L)")).alias("start")))
+    found = keep(read_ranges(splits.withColumn("first", F.lit(None).cast("long")), folder, split_bytes))
+    while True:
+        # the furthest end of a record before a range is where the first record at or behind the range's start begins
+        seen = found.groupBy(F.col("archive").alias("name"), F.col("range").alias("start")).agg(F.min("at").alias("begun"), F.max("after").alias("ended"))
+        before = Window.partitionBy("name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        due = seen.join(splits, ["name", "start"]).withColumn("first", F.coalesce(F.max("ended").over(before), F.lit(0).cast("long")))
+        inside = (F.col("first") < F.col("start") + split_bytes) & (F.col("first") < F.col("size"))
+        expected = F.when(inside, F.col("first"))
+        misled = keep(due.where(~F.col("begun").eqNullSafe(expected)).select("name", "size", "start", "first"))
+        if not misled.limit(1).count():
+            return found.where("at is not null").select(*NAMES[:8])
+        # only the first misled range of an archive is sure of its start
+        first = misled.groupBy("name").agg(F.min(F.struct("start", "size", "first")).alias("m")).select("name", "m.size", "m.start", "m.first")
+        mended = read_ranges(first, folder, split_bytes)
+        found = keep(found.join(first.select(F.col("name").alias("archive"), F.col("start").alias("range")), ["archive", "range"], "left_anti").select(*NAMES).unionByName(mended))
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:

@@ -60,6 +60,40 @@ def test_magic_inside_a_member_is_not_a_member():
     assert io.BytesIO(data).read(3) == warc.MAGIC
 
 
+def nested(payload: bytes) -> bytes:
+    """A stored (not deflated) member whose payload is itself an archive of records, and which therefore shows their members as they are."""
+    return warc_member(payload, 0)
+
+
+def warc_member(payload: bytes, level: int = 6, page: str = "1") -> bytes:
+    return gzip.compress(warc.record(page, "http://x.org/", "response", payload, len(payload), hashlib.sha1(payload).hexdigest(), None), level, mtime=0)
+
+
+@pytest.mark.parametrize("split", [1 << 24, 30_000, 5000, 700])
+def test_archives_inside_records_mislead_nobody(spark, tmp_path, split):
+    """Ranges that begin inside a stored archive see its records; what they report is put right by the ranges before."""
+    inner = b"".join(warc_member(b"inner %d " % i * 30, page=f"in{i}") for i in range(150))
+    assert len(inner) < 65_000  # one stored block, so that members inside are as they were
+    parts = [warc_member(b"first"), nested(inner), warc_member(b"second", page="2"), nested(inner[:20_000]), warc_member(b"third", page="3")]
+    data = b"".join(parts)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([("a.warc.gz", len(data))], "name string, size long")
+    got = warc.read_archives(archives, f"file://{tmp_path}", split).collect()
+    want = [sum(map(len, parts[:i])) for i in range(5)]
+    assert sorted(r.at for r in got) == want and Counter(r.page_id for r in got) == Counter({"1": 3, "2": 1, "3": 1})
+
+
+@pytest.mark.parametrize("held", [1, 64])
+def test_damage_is_an_error_and_not_a_loss(spark, tmp_path, held, monkeypatch):
+    monkeypatch.setattr(warc, "HELD", held)
+    parts = [warc_member(b"%d " % i * 500, page=str(i)) for i in range(40)]
+    bad = bytearray(b"".join(parts))
+    bad[sum(map(len, parts[:30])) + 60] ^= 0xFF
+    (tmp_path / "b.warc.gz").write_bytes(bytes(bad))
+    with pytest.raises(Exception, match="error|differs|record|member|invalid"):
+        warc.read_archives(spark.createDataFrame([("b.warc.gz", len(bad))], "name string, size long"), f"file://{tmp_path}", 900).collect()
+
+
 def test_empty(spark):
     archives, folder = warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(archives, folder).count() == 0
