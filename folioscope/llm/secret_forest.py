@@ -58,7 +58,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
         share("[0-9]"),
         share("[A-Z]"),
         flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        F.size(F.array_distinct(F.split(F.substring(value, 1, 128), ""))) / F.least(size, F.lit(128.0)),
+        F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(128.0)),
         flag(value.rlike("/[^/]*/|^/|^[A-Za-z_-]+/[A-Za-z_-]+$")),
         flag(F.lower(F.coalesce(path, F.lit(""))).rlike("test|example|fixture|sample|vendor|lock|doc")),
         flag(near.rlike(SECRET_WORDS)),
