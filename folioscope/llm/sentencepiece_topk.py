@@ -29,7 +29,7 @@ WORD_BYTES = 128
 #: Weights are scaled by exp(SCALE) a byte, which cancels, so that sums over paths of WORD_BYTES stay within doubles.
 SCALE = 5.0
 #: Regions this far below the first are not kept: their chance to be taken is under e^-40.
-FLOOR = -40.0
+FLOOR = -60.0
 #: Pieces of a document among which regions are sought at first.
 HEAD = 512
 #: White space that no piece contains, runs of spaces with the word that follows, and spaces at the end.
@@ -203,7 +203,6 @@ class Lattice:
                 left = left[deg.take(left) > k]
             total[p] = acc
         self.cum /= total.take(self.node)
-        self.cum = self.cum.astype(np.float32)
 
     def weight(self, edges) -> np.ndarray:
         ids = self.id[edges]
@@ -475,7 +474,8 @@ def encode(docs: DataFrame, k: int = 2, model_file: str | None = None, temperatu
     the (k+1)-th, given that one (1 if there are no more). Draws are seeded by the id, so repeated rows give the same result;
     a null id has a seed of its own. Null and empty texts have one segmentation, without pieces. Texts with fewer than k
     segmentations give them all. Pieces hold for spaces and words as the model does; characters without a piece, U+2581 among
-    them, become byte pieces, so decoding is exact. An empty table gives an empty result; other columns are not read. A batch
+    them, become byte pieces, so decoding is exact. Words of any length have one lattice. Regions of segmentations whose bound is
+    FLOOR nats below the best are not searched (a chance of e^-60 a document). An empty table gives an empty result; other columns are not read. A batch
     holds BATCH_CHARS of text or one document. No shuffle.
     """
     ship(docs.sparkSession)

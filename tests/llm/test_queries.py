@@ -108,3 +108,28 @@ def test_run_is_its_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert sorted((r.doc_id, r["rank"], tuple(r.ids)) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r.doc_id, r["rank"], tuple(r.ids)) for r in docs.collect())
+
+
+def test_pipeline_on_awkward_rows(spark, sf, docs, rows):
+    """Nulls, repeats, a very long text and clashing names through all stages; each stage's input is whole and its columns stay."""
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, sf)
+        assert after.columns == docs.columns, name
+        was = Counter((r.doc_id, r.text) for r in now.collect())
+        left = Counter((r.doc_id, r.text) for r in after.collect())
+        assert set(left) <= set(was) and (name == "mixing" or not left - was), name
+        now = after.checkpoint()
+    out = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+    model = sentencepiece_topk.pieces(sentencepiece_topk.default_model(), 1.0)
+    texts = {(r.doc_id, r.text or "") for r in now.collect()}
+    assert all((r.doc_id, model.decode(r.ids)) in texts for r in out)
+    plain = [t for _, t in texts if t.strip()]
+    assert len({t.translate(WHITE) for t in plain}) == len(plain)
+
+
+def test_pipeline_on_an_empty_table(spark, sf, empty):
+    now = empty
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+        assert now.count() == 0, name
