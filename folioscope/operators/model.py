@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -199,3 +200,339 @@ def edited(operations: DataFrame) -> DataFrame:
         return [(len(rows), story.text(), sum(bool(m) for _, m in story.cells), story.refused)]
 
     return fold(operations, "story", "seq", ["op", "at", "to", "value"], run, "operations long, text string, marked long, refused long")
+
+
+PARAGRAPH, TABLE, OBJECT, COMMENT, BEGIN, SEPARATOR, END, OPEN, CLOSE = "\u0001", "\u0011", "\u0004", "\u0012", "\u0005", "\u0006", "\u0007", "\u000e", "\u000f"
+#: Families of marks that text typed behind a marked character takes over; all others stay where they are.
+SPREADING = ("r",)
+
+
+class Refusal(Exception):
+    """An edit that would break the document; it changes nothing."""
+
+
+class Document:
+    """A document under edits: stories of (character, marks, entity), tables as rows of cells' stories, and what atoms stand for.
+
+    Every edit keeps the structure: a table stands at a block position (a story's start, or behind a paragraph's end or a table),
+    nothing is typed between such a position and its table, and the last paragraph end stays. What would break it is refused.
+    """
+
+    def __init__(self):
+        self.count = 0
+        self.stories: dict[str, list[tuple[str, frozenset, str | None]]] = {}
+        self.tables: dict[str, list[list[str]]] = {}
+        self.entities: dict[str, dict] = {}
+        self.main = self.new_story("")
+
+    def new_id(self) -> str:
+        self.count += 1
+        return f"{self.count:08x}"
+
+    def new_story(self, text: str) -> str:
+        ident = self.new_id()
+        self.stories[ident] = [*((c, frozenset(), None) for c in text), (PARAGRAPH, frozenset(), self.paragraph({}))]
+        return ident
+
+    def paragraph(self, props: dict) -> str:
+        ident = self.new_id()
+        self.entities[ident] = {"kind": "paragraph", **props}
+        return ident
+
+    def cells(self, story: str) -> list:
+        if story not in self.stories:
+            raise Refusal("no such story")
+        return self.stories[story]
+
+    @staticmethod
+    def block(cells: list, at: int) -> bool:
+        return at == 0 or cells[at - 1][0] in (PARAGRAPH, TABLE)
+
+    def before_table(self, cells: list, at: int) -> bool:
+        return at < len(cells) and cells[at][0] == TABLE and self.block(cells, at)
+
+    def place(self, story: str, at: int, to: int | None = None) -> list:
+        """The story's cells, if the positions lie before its last paragraph end."""
+        cells = self.cells(story)
+        if not 0 <= at < len(cells) or (to is not None and not at <= to < len(cells)):
+            raise Refusal("position")
+        return cells
+
+    def type_at(self, story: str, at: int) -> list:
+        cells = self.place(story, at)
+        if self.before_table(cells, at):
+            raise Refusal("not a block position")
+        return cells
+
+    def insert_text(self, story: str, at: int, text: str) -> None:
+        if not text or any(c < " " and c not in "\t\n" for c in text):
+            raise Refusal("text")
+        cells = self.type_at(story, at)
+        marks = frozenset(m for m in (cells[at - 1][1] if at else ()) if m.split(":")[0] in SPREADING)
+        cells[at:at] = [(c, marks, None) for c in text]
+
+    def breaks(self, cells: list, at: int, to: int) -> bool:
+        """Whether the cells would lose a table's block position without [at, to)."""
+        right = cells[to][0] if to < len(cells) else None
+        return right == TABLE and at > 0 and cells[at - 1][0] not in (PARAGRAPH, TABLE)
+
+    def delete(self, story: str, at: int, to: int) -> None:
+        cells = self.place(story, at, to)
+        if at == to:
+            raise Refusal("position")
+        if self.breaks(cells, at, to):
+            raise Refusal("block structure")
+        del cells[at:to]
+
+    def format(self, story: str, at: int, to: int, mark: str, on: bool = True) -> None:
+        cells = self.place(story, at, to)
+        cells[at:to] = [(c, m | {mark} if on else m - {mark}, e) for c, m, e in cells[at:to]]
+
+    def split_paragraph(self, story: str, at: int) -> str:
+        cells = self.place(story, at)
+        ahead = next(e for c, _, e in cells[at:] if c == PARAGRAPH)
+        ident = self.paragraph({k: v for k, v in self.entities[ahead].items() if k != "kind"})
+        cells.insert(at, (PARAGRAPH, frozenset(), ident))
+        return ident
+
+    def merge_paragraph(self, story: str, at: int) -> None:
+        cells = self.cells(story)
+        if not 0 <= at < len(cells) - 1 or cells[at][0] != PARAGRAPH:
+            raise Refusal("not a paragraph end")
+        if self.breaks(cells, at, at + 1):
+            raise Refusal("block structure")
+        del cells[at]
+
+    def set_paragraph_property(self, paragraph: str, key: str, value: str) -> None:
+        if self.entities.get(paragraph, {}).get("kind") != "paragraph":
+            raise Refusal("no such paragraph")
+        self.entities[paragraph][key] = value
+
+    def insert_table(self, story: str, at: int, rows: int, columns: int) -> str:
+        if rows < 1 or columns < 1:
+            raise Refusal("last row or column")
+        cells = self.place(story, at)
+        if not self.block(cells, at):
+            raise Refusal("not a block position")
+        ident = self.new_id()
+        self.tables[ident] = [[self.new_story("") for _ in range(columns)] for _ in range(rows)]
+        cells.insert(at, (TABLE, frozenset(), ident))
+        return ident
+
+    def rows(self, table: str) -> list[list[str]]:
+        if table not in self.tables:
+            raise Refusal("no such table")
+        return self.tables[table]
+
+    def insert_row(self, table: str, index: int) -> None:
+        rows = self.rows(table)
+        if not 0 <= index <= len(rows):
+            raise Refusal("position")
+        like = rows[index] if index < len(rows) else rows[-1]
+        rows.insert(index, [self.new_story("") for _ in like])
+
+    def delete_row(self, table: str, index: int) -> None:
+        rows = self.rows(table)
+        if not 0 <= index < len(rows):
+            raise Refusal("position")
+        if len(rows) == 1:
+            raise Refusal("last row or column")
+        del rows[index]
+
+    def move_row(self, table: str, index: int, to: int) -> None:
+        rows = self.rows(table)
+        if not (0 <= index < len(rows) and 0 <= to < len(rows)):
+            raise Refusal("position")
+        rows.insert(to, rows.pop(index))
+
+    def insert_column(self, table: str, index: int) -> None:
+        rows = self.rows(table)
+        if not 0 <= index <= max(map(len, rows)):
+            raise Refusal("position")
+        for row in rows:
+            row.insert(min(index, len(row)), self.new_story(""))
+
+    def delete_column(self, table: str, index: int) -> None:
+        rows = self.rows(table)
+        if not 0 <= index < max(map(len, rows)):
+            raise Refusal("position")
+        losing = [row for row in rows if len(row) > index and len(row) > 1]
+        if not losing:
+            raise Refusal("last row or column")
+        for row in losing:
+            del row[index]
+
+    def add_comment(self, story: str, at: int, to: int, text: str) -> str:
+        cells = self.place(story, at, to)
+        if at == to:
+            raise Refusal("position")
+        if self.before_table(cells, to):
+            raise Refusal("not a block position")
+        ident = self.new_id()
+        self.entities[ident] = {"kind": "comment", "story": self.new_story(text)}
+        cells.insert(to, (COMMENT, frozenset(), ident))
+        self.format(story, at, to, f"cmt:{ident}")
+        return ident
+
+    def insert_field(self, story: str, at: int, code: str, result: str) -> str:
+        if not code:
+            raise Refusal("text")
+        cells = self.type_at(story, at)
+        ident = self.new_id()
+        self.entities[ident] = {"kind": "field", "code": code}
+        plain = lambda text: [(c, frozenset(), None) for c in text]
+        atom = lambda c: [(c, frozenset(), ident)]
+        cells[at:at] = [*atom(BEGIN), *plain(code), *atom(SEPARATOR), *plain(result), *atom(END)]
+        return ident
+
+    def insert_object(self, story: str, at: int) -> str:
+        cells = self.type_at(story, at)
+        ident = self.new_id()
+        self.entities[ident] = {"kind": "object"}
+        cells.insert(at, (OBJECT, frozenset(), ident))
+        return ident
+
+    def insert_bookmark(self, story: str, at: int, to: int, name: str) -> str:
+        cells = self.place(story, at, to)
+        if self.before_table(cells, at) or self.before_table(cells, to):
+            raise Refusal("not a block position")
+        ident = self.new_id()
+        self.entities[ident] = {"kind": "bookmark", "name": name}
+        cells.insert(to, (CLOSE, frozenset(), ident))
+        cells.insert(at, (OPEN, frozenset(), ident))
+        return ident
+
+    def inside(self, story: str, part: list) -> bool:
+        """Whether the story lies within what part holds, through its tables and comments."""
+        for c, _, entity in part:
+            owned = [s for row in self.tables.get(entity, []) for s in row] if c == TABLE else [self.entities[entity]["story"]] if c == COMMENT else []
+            if any(s == story or self.inside(story, self.stories[s]) for s in owned):
+                return True
+        return False
+
+    def move_range(self, story: str, at: int, to: int, target: str, place: int) -> None:
+        cells, there = self.place(story, at, to), self.place(target, place)
+        part, same = cells[at:to], story == target
+        if not part or (same and at < place < to):
+            raise Refusal("position")
+        if self.breaks(cells, at, to):
+            raise Refusal("block structure")
+        for first, last in ((BEGIN, END), (OPEN, CLOSE)):
+            if {e for c, _, e in part if c == first} != {e for c, _, e in part if c == last}:
+                raise Refusal("would unbalance")
+        if self.inside(target, part):
+            raise Refusal("would create a cycle")
+        if same and place in (at, to):
+            return
+        rest = cells[:at] + cells[to:] if same else there
+        paste = place - (to - at) if same and place >= to else place
+        if part[-1][0] not in (PARAGRAPH, TABLE) and self.before_table(rest, paste) or part[0][0] == TABLE and not self.block(rest, paste):
+            raise Refusal("not a block position")
+        del cells[at:to]
+        there[paste:paste] = part
+
+    def broken(self) -> list[str]:
+        """Invariants that do not hold: none after any edits."""
+        out = []
+        for cells in self.stories.values():
+            if not cells or cells[-1][0] != PARAGRAPH:
+                out.append("a story ends with a paragraph")
+            if any(c == TABLE and not self.block(cells, i) for i, (c, _, _) in enumerate(cells)):
+                out.append("tables stand at block positions")
+            bound = [e for c, _, e in cells if e is not None]
+            if any(e not in self.entities and e not in self.tables for e in bound):
+                out.append("atoms stand for entities")
+        if any(not rows or any(not row for row in rows) for rows in self.tables.values()):
+            out.append("tables have rows and rows cells")
+        return out
+
+    def text(self, story: str | None = None) -> str:
+        """What a reader sees of a story, tables as their cells in turn."""
+        out, code = [], 0
+        for c, _, entity in self.stories[story or self.main]:
+            code += {BEGIN: 1, SEPARATOR: -1}.get(c, 0)
+            if c == TABLE:
+                out += [self.text(s) for row in self.tables[entity] for s in row]
+            elif not code and c >= " ":
+                out.append(c)
+            elif c == PARAGRAPH:
+                out.append("\n")
+        return "".join(out)
+
+
+#: Edits of a simulation and their weights, which sum to 100.
+WEIGHTS = {"insert_text": 30, "delete": 12, "format": 10, "split_paragraph": 10, "merge_paragraph": 5, "set_paragraph_property": 3, "insert_table": 4, "insert_row": 4, "delete_row": 3, "move_row": 2, "insert_column": 3, "delete_column": 2, "add_comment": 3, "insert_field": 3, "insert_object": 2, "insert_bookmark": 2, "move_range": 2}
+
+
+def plan(seed: int, steps: int) -> list[tuple[str, list[int]]]:
+    """Edits (kind, five numbers) of a seed: the same for the same seed anywhere (SplitMix64)."""
+    state, out, kinds = seed & (1 << 64) - 1, [], [k for k, n in WEIGHTS.items() for _ in range(n)]
+
+    def draw() -> int:
+        nonlocal state
+        state = state + 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        z = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return z ^ z >> 31
+
+    for _ in range(steps):
+        out.append((kinds[draw() % len(kinds)], [draw() for _ in range(5)]))
+    return out
+
+
+def simulate(edits: list[tuple[str, list[int]]]) -> tuple[Document, Counter]:
+    """(document, stats) after the edits: numbers pick stories, places and tables; stats count applied and refused edits by reason."""
+    doc, stats = Document(), Counter()
+    for kind, (a, b, c, d, e) in edits:
+        stories, tables = sorted(doc.stories), sorted(doc.tables)
+        story = stories[a % len(stories)]
+        size = len(doc.stories[story])
+        at, to = sorted((b % size, c % size))
+        table = tables[a % len(tables)] if tables else ""
+        paragraphs = sorted(k for k, v in doc.entities.items() if v["kind"] == "paragraph")
+        calls: dict[str, tuple] = {
+            "insert_text": (story, b % size, "abcdefgh"[: 1 + c % 8]), "delete": (story, at, to), "format": (story, at, to, ("r:b", "link", "r:i")[d % 3], e % 4 > 0), "split_paragraph": (story, at), "merge_paragraph": (story, next((i for i in range(at, size) if doc.stories[story][i][0] == PARAGRAPH), size)),
+            "set_paragraph_property": (paragraphs[b % len(paragraphs)], "align", ("left", "right")[c % 2]), "insert_table": (story, at, 1 + c % 3, 1 + d % 3), "insert_row": (table, b % 5), "delete_row": (table, b % 5), "move_row": (table, b % 4, c % 4), "insert_column": (table, b % 5), "delete_column": (table, b % 5),
+            "add_comment": (story, at, to, "note"), "insert_field": (story, at, "PAGE", "1"), "insert_object": (story, at), "insert_bookmark": (story, at, to, "name"), "move_range": (story, at, to, stories[d % len(stories)], e % len(doc.stories[stories[d % len(stories)]])),
+        }
+        try:
+            getattr(doc, kind)(*calls[kind])
+            stats["applied"] += 1
+        except Refusal as refused:
+            stats[str(refused)] += 1
+    return doc, stats
+
+
+def shrink(edits: list, fails: Callable[[list], bool]) -> list:
+    """Fewer edits that still fail: larger and then smaller pieces are left out while the failure stays."""
+    size = len(edits)
+    while size:
+        at = 0
+        while at < len(edits):
+            less = edits[:at] + edits[at + size :]
+            if fails(less):
+                edits = less
+            else:
+                at += size
+        size //= 2
+    return edits
+
+
+def simulated(seeds: DataFrame, steps: int) -> DataFrame:
+    """(seed, applied, refused, stories, tables, broken, fingerprint) of each seed's simulation; broken lists invariants, joined."""
+    import hashlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for seed in batch.column(0).to_pylist():
+                doc, stats = simulate(plan(seed, steps))
+                rows.append((seed, stats["applied"], steps - stats["applied"], len(doc.stories), len(doc.tables), ",".join(sorted(set(doc.broken()))), hashlib.sha256(doc.text().encode()).hexdigest()[:16]))
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["seed", "applied", "refused", "stories", "tables", "broken", "fingerprint"])
+
+    return seeds.select(F.col("seed").cast("long")).mapInArrow(run, "seed long, applied long, refused long, stories long, tables long, broken string, fingerprint string")

@@ -255,3 +255,22 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     """SS11: sessions of each user, apart by pauses of six hours."""
     return windows.by_session(table(spark, sf, "events"), "6 hours", "1 hour", "user_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS peer, event_id AS seq, CASE event_type WHEN 'click' THEN 'undo' WHEN 'view' THEN 'redo' ELSE 'edit' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT peer, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::BIGINT AS step, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM e WHERE k = 1
+ UNION ALL SELECT e.peer, e.k, e.seq, CASE WHEN kind = 'edit' THEN e.seq WHEN kind = 'undo' AND len(done) > 0 THEN done[-1] WHEN kind = 'redo' AND len(undone) > 0 THEN undone[-1] END,
+ CASE WHEN kind = 'edit' THEN list_append(done, e.seq) WHEN kind = 'undo' AND len(done) > 0 THEN done[:-2] WHEN kind = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
+ CASE WHEN kind = 'edit' THEN [] WHEN kind = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN kind = 'redo' AND len(undone) > 0 THEN undone[:-2] ELSE undone END FROM f JOIN e ON e.peer = f.peer AND e.k = f.k + 1)
+SELECT peer, seq, step, len(done) AS can_undo, len(undone) AS can_redo FROM f WHERE k > 0""")
+def undo_redo_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """SS6: steps done, undone and redone by each peer (a user's clicks undo, views redo, the rest are edits)."""
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'undo' WHEN 'view' THEN 'redo' ELSE 'edit' END")
+    return oplog.undo_redo(table(spark, sf, "events").select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
+@query("SELECT c_custkey AS seed, 60::BIGINT AS edits, '' AS broken FROM customer")
+def simulated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A document under sixty random edits for each customer's key; no invariant may break."""
+    out = M.simulated(table(spark, sf, "customer").select(F.col("c_custkey").alias("seed")), 60)
+    return out.select("seed", (F.col("applied") + F.col("refused")).alias("edits"), "broken")

@@ -107,14 +107,23 @@ def runs_in_range(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_custkey", "o_orderkey", "lo", (F.col("lo") + 10).alias("hi")).where("lo < 35 and hi > 15")
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '[^ \n]*(?: +|\n|$)'), lambda w: w <> '') AS w FROM conversations),
+s AS (SELECT conv_id, turn, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c),
+g AS (SELECT conv_id, turn, i, sum(length(w)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS e, length(replace(w, chr(10), '')) AS width, length(replace(w, chr(10), '')) - length(rtrim(replace(w, chr(10), ''), ' ')) AS hang, ends_with(w, chr(10)) AS must FROM s),
+f AS (SELECT conv_id, turn, 1::BIGINT AS i, CASE WHEN must THEN 0 ELSE width END AS width, CASE WHEN NOT must THEN e END AS last, CASE WHEN must THEN [e] ELSE [] END AS ends FROM g WHERE i = 1
+ UNION ALL SELECT g.conv_id, g.turn, g.i, CASE WHEN g.must THEN 0 WHEN f.last IS NOT NULL AND f.width + g.width - g.hang > 60 THEN g.width ELSE f.width + g.width END, CASE WHEN NOT g.must THEN g.e END,
+ CASE WHEN f.last IS NOT NULL AND f.width + g.width - g.hang > 60 THEN list_append(f.ends, f.last) ELSE f.ends END || CASE WHEN g.must THEN [g.e] ELSE [] END FROM f JOIN g ON f.conv_id = g.conv_id AND f.turn = g.turn AND g.i = f.i + 1),
+z AS (SELECT conv_id, turn, arg_max(CASE WHEN last IS NULL THEN ends ELSE list_append(ends, last) END, i) AS ends FROM f GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(array_to_string(ends, ','), '') AS ends FROM conversations LEFT JOIN z USING (conv_id, turn)""")
 def first_fit_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Ends of greedy lines of 60 characters of each turn, folded in the JVM."""
     ends = S.first_fit(S.segments(F.col("text")), F.lit(60).cast("long"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", ends.alias("ends"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(ends, ",").alias("ends"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey AS doc, l_linenumber AS line, round(l_extendedprice / 100)::BIGINT AS b, l_quantity::BIGINT AS s FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line, b, s) AS k FROM r),
+f AS (SELECT doc, line, k, b, s, 0::BIGINT AS part FROM k WHERE k = 1 UNION ALL SELECT k.doc, k.line, k.k, CASE WHEN 2 * abs(k.b - f.b) <= greatest(k.s, f.s) AND k.s <= f.s THEN f.b ELSE k.b END, CASE WHEN 2 * abs(k.b - f.b) <= greatest(k.s, f.s) AND k.s <= f.s THEN f.s ELSE k.s END,
+ CASE WHEN 2 * abs(k.b - f.b) <= greatest(k.s, f.s) THEN f.part ELSE f.part + 1 END FROM f JOIN k ON k.doc = f.doc AND k.k = f.k + 1) SELECT doc, line, part FROM f""")
 def joined_line_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Lines whose baselines nearly agree become one, by a fold within each page (an order)."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.round(F.col("l_extendedprice") / 100).cast("long").alias("baseline"), F.col("l_quantity").cast("long").alias("size"))
@@ -126,7 +135,12 @@ def joined_line_groups(spark: SparkSession, sf: str) -> DataFrame:
     return S.fold(lines, "doc", "line", ["baseline", "size"], group, "line int, part long")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'begin' WHEN 'view' THEN 'separate' WHEN 'purchase' THEN 'end' ELSE 'text' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT user_id, 0::BIGINT AS k, []::STRUCT(b BIGINT, s BIGINT)[] AS open, NULL::STRUCT(b BIGINT, s BIGINT) AS shut, NULL::BIGINT AS e FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.k, CASE WHEN kind = 'begin' THEN list_append(open, {'b': event_id, 's': NULL::BIGINT}) WHEN kind = 'separate' AND len(open) > 0 AND open[-1].s IS NULL THEN list_append(open[:-2], {'b': open[-1].b, 's': event_id}) WHEN kind = 'end' AND len(open) > 0 THEN open[:-2] ELSE open END,
+ CASE WHEN kind = 'end' AND len(open) > 0 THEN open[-1] END, CASE WHEN kind = 'end' AND len(open) > 0 THEN event_id END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1),
+m AS (SELECT shut.b AS event_id, shut.b AS field FROM f WHERE e IS NOT NULL UNION ALL SELECT shut.s, shut.b FROM f WHERE e IS NOT NULL AND shut.s IS NOT NULL UNION ALL SELECT e, shut.b FROM f WHERE e IS NOT NULL)
+SELECT user_id, event_id, field FROM e LEFT JOIN m USING (event_id)""")
 def field_brackets(spark: SparkSession, sf: str) -> DataFrame:
     """Field delimiters matched by a stack within each story (a user's events)."""
     kinds = F.expr("CASE event_type WHEN 'click' THEN 'begin' WHEN 'view' THEN 'separate' WHEN 'purchase' THEN 'end' ELSE 'text' END")

@@ -104,7 +104,7 @@ MARKER_SQL = ", ".join(f"('{k}', '{p}')" for k, p in inspection.MARKERS.items())
 def marker_flags(spark: SparkSession, sf: str) -> DataFrame:
     """St15, A19: documents with each kind of marker."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(inspection.marker_counts(F.col("text"))).alias("m")).select("doc_id", F.col("m.kind").alias("flag")).groupBy("flag").agg(F.count_distinct("doc_id").alias("documents"))
+    return d.select("doc_id", F.explode(inspection.marker_kinds(F.col("text"))).alias("flag")).groupBy("flag").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 @query()

@@ -358,6 +358,49 @@ def read_hints(events: list[tuple]) -> tuple[str, list[int]]:
     return "".join(out), breaks
 
 
+def paragraph_texts(events: list[tuple]) -> list[str]:
+    """The text of each paragraph, its runs joined, in the order in which paragraphs end; one inside another is on its own."""
+    out, open_, inside = [], [], False
+    for kind, _, space, name, _, text in events:
+        if kind == "text":
+            if inside and open_:
+                open_[-1].append(text)
+        elif space.endswith("/main") and name == "p":
+            if kind == "start":
+                open_.append([])
+            else:
+                out.append("".join(open_.pop()))
+        elif space.endswith("/main") and name in ("t", "delText"):
+            inside = kind == "start"
+        elif kind == "start" and open_ and space.endswith("/main") and name in ("tab", "br", "cr"):
+            open_[-1].append("\t" if name == "tab" else "\n")
+    return out
+
+
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """(doc, part, n, text) of the paragraphs of parts (doc, part, bytes); refused parts have none."""
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (part, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                try:
+                    texts = paragraph_texts(Reader().read(data or b""))
+                except Refused:
+                    continue
+                if texts:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(texts))), pa.array([part] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "part", "n", "text"])
+
+    return rows.select("doc", "part", "bytes").mapInArrow(run, f"doc {kind}, part string, n long, text string")
+
+
+def people(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, people) and (doc, provider, n) of people parts: distinct authors, and presence entries by provider."""
+    own = events.where("kind = 'start'")
+    authors = own.where("name = 'person'").groupBy("doc").agg(F.count_distinct(F.col("attributes")["author"]).alias("people"))
+    return authors, own.where("name = 'presenceInfo'").groupBy("doc", F.col("attributes")["providerId"].alias("provider")).agg(F.count("*").alias("n"))
+
+
 def compound_streams(data: bytes) -> dict[str, int]:
     """Names and sizes of the streams of a compound file; a damaged one is refused."""
     if data[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" or len(data) < 512:

@@ -52,6 +52,33 @@ def undo_stack(log: DataFrame, peer: int, most: int = MOST_STEPS) -> DataFrame:
     return log.where(F.col("peer") == peer).orderBy(F.desc("counter")).limit(most)
 
 
+def undo_redo(actions: DataFrame, most: int = MOST_STEPS) -> DataFrame:
+    """(peer, seq, step, can_undo, can_redo): which step each of a peer's own actions (peer, seq, kind) does, undoes or redoes.
+
+    kind is edit, undo or redo. A new edit clears what could be redone; of more than `most` steps the oldest are forgotten; an
+    undo or redo with nothing left has no step.
+    """
+    from ..operators.sequence import fold
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        done, undone, out = [], [], []
+        for seq, kind in rows:
+            step = None
+            if kind == "edit":
+                step = seq
+                done, undone = [*done[-(most - 1) :], seq] if most > 1 else [seq], []
+            elif kind == "undo" and done:
+                step = done.pop()
+                undone.append(step)
+            elif kind == "redo" and undone:
+                step = undone.pop()
+                done.append(step)
+            out.append((seq, step, len(done), len(undone)))
+        return out
+
+    return fold(actions, "peer", "seq", ["kind"], run, "seq long, step long, can_undo long, can_redo long")
+
+
 STATE = "next long, waiting array<long>, poisoned boolean"
 OUTPUT = "peer long, counter long, status string"
 

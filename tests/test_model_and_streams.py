@@ -106,3 +106,115 @@ def test_binaries(spark):
     df = spark.createDataFrame([(b"\x89PNG\r\n\x1a\n", 1), (b"MZ\x00 printable!\x01\x02" + "wide text".encode("utf-16-le"), 2), (b"", 3), (None, 4)], "b binary, i int")
     got = {r.i: (r.k, r.s) for r in df.select("i", inspection.kind_of_binary(F.col("b")).alias("k"), inspection.binary_strings(F.col("b")).alias("s")).collect()}
     assert got[1][0] == "png" and got[2][0] == "program" and got[2][1] == " printable!\nwide text" and got[3][0] is None
+
+
+def test_document_edits():
+    from folioscope.operators.model import Document, Refusal
+
+    d = Document()
+    m = d.main
+    d.insert_text(m, 0, "one two")
+    d.format(m, 0, 3, "r:b")
+    d.format(m, 4, 7, "link")
+    d.insert_text(m, 3, "!")
+    d.insert_text(m, 8, "?")
+    marks = [set(c[1]) for c in d.stories[m]]
+    assert marks[3] == {"r:b"} and marks[8] == set() and d.text() == "one! two?\n"  # formatting goes on, a link does not
+    first = d.split_paragraph(m, 4)
+    d.set_paragraph_property(first, "align", "right")
+    assert d.text() == "one!\n two?\n" and d.entities[first]["align"] == "right"
+    t = d.insert_table(m, 5, 2, 2)
+    d.insert_text(d.tables[t][0][1], 0, "cell")
+    assert d.text() == "one!\n\ncell\n\n\n two?\n"
+    refused = [
+        ("not a block position", lambda: d.insert_text(m, 5, "x")), ("block structure", lambda: d.merge_paragraph(m, 4)), ("block structure", lambda: d.delete(m, 3, 5)), ("not a block position", lambda: d.insert_table(m, 2, 1, 1)), ("last row or column", lambda: d.insert_table(m, 0, 0, 1)),
+        ("position", lambda: d.delete(m, 0, 99)), ("text", lambda: d.insert_text(m, 0, "\x02")), ("no such table", lambda: d.insert_row("x", 0)), ("position", lambda: d.delete_column(t, 2)), ("no such paragraph", lambda: d.set_paragraph_property("x", "a", "b")), ("no such story", lambda: d.insert_text("x", 0, "a")),
+        ("would create a cycle", lambda: d.move_range(m, 5, 6, d.tables[t][0][0], 0)), ("not a paragraph end", lambda: d.merge_paragraph(m, 0)), ("position", lambda: d.move_range(m, 0, 3, m, 2)), ("not a block position", lambda: d.insert_object(m, 5)),
+    ]
+    before = (d.text(), d.count)
+    for why, edit in refused:
+        try:
+            edit()
+        except Refusal as error:
+            assert str(error) == why, why
+        else:
+            raise AssertionError(why)
+    assert d.text() == before[0]
+    d.insert_row(t, 1)
+    d.insert_column(t, 0)
+    d.move_row(t, 0, 2)
+    assert [len(r) for r in d.tables[t]] == [3, 3, 3] and d.text(d.tables[t][2][2]) == "cell\n"
+    d.delete_column(t, 0)
+    d.delete_row(t, 0)
+    assert [len(r) for r in d.tables[t]] == [2, 2]
+    f = d.insert_field(m, 0, "PAGE", "7")
+    assert d.text().startswith("7one!") and d.entities[f]["code"] == "PAGE"
+    for edit in (lambda: d.move_range(m, 0, 3, m, 9), ):
+        try:
+            edit()
+        except Refusal as error:
+            assert str(error) == "would unbalance"
+    c = d.add_comment(m, 8, 10, "why")
+    assert d.text(d.entities[c]["story"]) == "why\n" and f"cmt:{c}" in d.stories[m][8][1]
+    d.insert_bookmark(m, 8, 9, "here")
+    d.insert_object(m, 0)
+    assert not d.broken()
+
+
+def test_simulations_keep_the_structure():
+    from folioscope.operators import model
+
+    assert sum(model.WEIGHTS.values()) == 100
+    kinds = set()
+    for seed in range(60):
+        edits = model.plan(seed, 120)
+        assert edits == model.plan(seed, 120)
+        doc, stats = model.simulate(edits)
+        assert not doc.broken() and sum(stats.values()) == 120
+        kinds |= set(stats)
+    assert {"applied", "position", "block structure", "not a block position"} <= kinds
+    assert model.shrink(list(range(100)), lambda x: {3, 77} <= set(x)) == [3, 77]
+
+
+def test_undo_and_redo(spark):
+    from folioscope.streaming import oplog
+
+    actions = ["undo", "edit", "edit", "undo", "undo", "redo", "edit", "redo", "undo"]
+    df = spark.createDataFrame([("p", i, a) for i, a in enumerate(actions)], "peer string, seq long, kind string")
+    assert [r.step for r in oplog.undo_redo(df).orderBy("seq").collect()] == [None, 1, 2, 2, 1, 1, 6, None, 6]
+    few = spark.createDataFrame([("p", i, "edit" if i < 5 else "undo") for i in range(9)], "peer string, seq long, kind string")
+    assert [r.step for r in oplog.undo_redo(few, 3).orderBy("seq").collect()][5:] == [4, 3, 2, None]
+
+
+def test_protocol():
+    from folioscope.functions import protocol as P
+
+    ok = P.parse_envelope('{"v":1,"id":3,"type":"x","payload":{"a":{"b":1}},"more":2}')
+    assert ok == {"id": 3, "type": "x", "payload": '{"a":{"b":1}}', "error": None}
+    for text, why in ((None, "invalid"), ("", "invalid"), ('{"v":1.0,"id":1,"type":"x"}', "invalid"), ('{"v":true,"id":1,"type":"x"}', "invalid"), ('{"v":1,"id":1,"type":"x","payload":{"a":1,"a":2}}', "invalid"), ('{"v":9,"id":1,"type":"x"}', "version"), ('{"v":1,"id":NaN,"type":"x"}', "invalid"), ("[" * 100_000, "invalid"), ('"' + "x" * P.MOST_BYTES + '"', "too_large")):
+        assert P.parse_envelope(text)["error"] == why
+    assert [P.json_error(t) for t in ("{}", "", "[1,", "[1}", "NaN", '"a', "{\"a\" 1}")] == [None, "end", "end", "syntax", "number", "end", "syntax"]
+
+
+def test_depths_and_names(spark):
+    from folioscope.functions import protocol as P
+
+    values = [("1", 1), ("[]", 1), ("[1]", 2), ('{"a":[1,{"b":"[[[["}]}', 4), ('"x"', 1), ("[[],[[]]]", 3), ('{"a":1,"b":[2]}', 3)]
+    got = spark.createDataFrame(values, "v string, want int").select("v", "want", P.depth(F.col("v")).alias("d")).collect()
+    assert all(r.d == r.want for r in got), got
+    names = [("/a/b.xml", None), ("a", "no slash"), (None, "no slash"), ("/", "empty segment"), ("/a//b", "empty segment"), ("/a/", "empty segment"), ("/a/..", "dot"), ("/a./b", "dot"), ("/a%2fb", "escape"), ("/a%41", "escape"), ("/a%", "escape"), ("/a b", "character"), ("/é", None), ("/a%20b", None)]
+    got = spark.createDataFrame(names, "n string, want string").select("n", "want", P.part_name_problem(F.col("n")).alias("p")).collect()
+    assert all(r.p == r.want for r in got), got
+
+
+def test_people_and_nested_paragraphs(spark):
+    from folioscope.sources import packages
+
+    w = packages.W
+    body = f'<w:document xmlns:w="{w}"><w:p><w:r><w:t>a</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>in</w:t><w:tab/></w:r></w:p></w:txbxContent></w:pict></w:r><w:r><w:t>b</w:t></w:r></w:p></w:document>'
+    assert packages.paragraph_texts(packages.Reader().read(body.encode())) == ["in\t", "ab"]
+    people = '<w15:people xmlns:w15="x"><w15:person w15:author="A"><w15:presenceInfo w15:providerId="None"/></w15:person><w15:person w15:author="B"><w15:presenceInfo w15:providerId="AD"/></w15:person><w15:person w15:author="A"/></w15:people>'
+    parts = spark.createDataFrame([("d", "word/people.xml", people.encode()), ("d", "bad", b"<a>")], "doc string, part string, bytes binary")
+    authors, providers = packages.people(packages.xml_events(parts))
+    assert [tuple(r) for r in authors.collect()] == [("d", 2)] and {tuple(r) for r in providers.collect()} == {("d", "None", 1), ("d", "AD", 1)}
+    assert packages.paragraphs(parts).count() == 0
