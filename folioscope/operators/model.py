@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable
 
@@ -43,8 +44,8 @@ def resolved(rows: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
     return judged.where("rule is null").select(rows.columns), judged.where("rule is not null").select(*rows.columns, "rule")
 
 
-def paired_fields(rows: DataFrame) -> DataFrame:
-    """rows without field delimiters that match nothing, found by a stack within each story."""
+def unmatched_fields(rows: DataFrame) -> DataFrame:
+    """(doc, story, pos) of the field delimiters that match nothing, found by a stack within each story."""
     from .sequence import fold, match_fields
 
     marks = rows.where(F.col("kind").startswith("field_")).withColumn("story_key", F.concat_ws("\u001f", "doc", "story"))
@@ -54,14 +55,14 @@ def paired_fields(rows: DataFrame) -> DataFrame:
         return [(r[0],) for r, b in zip(story, begins, strict=True) if b is None]
 
     gone = fold(marks, "story_key", "pos", ["kind"], unmatched, "pos int").select(F.split("story_key", "\u001f").alias("s"), "pos")
-    return rows.join(gone.select(F.col("s")[0].alias("doc"), F.col("s")[1].alias("story"), "pos"), ["doc", "story", "pos"], "left_anti")
+    return gone.select(F.col("s")[0].alias("doc"), F.col("s")[1].alias("story"), "pos")
 
 
-def closed_stories(rows: DataFrame) -> DataFrame:
-    """Every story ends with a paragraph: one is put after the last item where it does not."""
+def closed_stories(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, put): every story ends with a paragraph; one is put after the last item where it does not."""
     last = rows.groupBy("doc", "story").agg(F.max(F.struct("pos", "kind")).alias("l")).where("l.kind <> 'paragraph'")
     put = last.select("doc", "story", (F.col("l.pos") + 1).alias("pos"), F.lit("paragraph").alias("kind"), F.lit("\u0001").alias("char"), F.lit(None).cast("string").alias("entity"), F.create_map().cast("map<string,string>").alias("marks"))
-    return rows.unionByName(put)
+    return rows.unionByName(put), put
 
 
 def living_comments(rows: DataFrame, comments: DataFrame) -> DataFrame:
@@ -81,11 +82,10 @@ def sections(properties: DataFrame) -> DataFrame:
     return properties.select("doc", "id", *(value(n) for n in SECTION_DEFAULTS))
 
 
-def tables(rows: DataFrame, cells: DataFrame, depth: int = MAX_TABLE_DEPTH) -> tuple[DataFrame, DataFrame]:
+def tables(rows: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, cells) of tables that keep something: rows are (doc, parent table, pos, child row), cells (doc, parent row, pos, child story).
 
-    A child belongs to its first parent; rows without cells go, then tables without rows. Nesting is not followed here: `depth`
-    bounds the tables of tables that a caller resolves.
+    A child belongs to its first parent; rows without cells go, then tables without rows. nested_tables() follows tables in cells.
     """
     once = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("doc", "child").orderBy("parent", "pos"))).where("n = 1 and child is not null").drop("n")
     cells = once(cells)
@@ -93,22 +93,114 @@ def tables(rows: DataFrame, cells: DataFrame, depth: int = MAX_TABLE_DEPTH) -> t
     return rows, cells.join(rows.select("doc", F.col("child").alias("parent")).distinct(), ["doc", "parent"], "left_semi")
 
 
+def normal_tables(main: str, stories: dict[str, list[str]], tables_: dict[str, list[str | None]], rows: dict[str, list[str | None]], cells: dict[str, str | None], depth: int = MAX_TABLE_DEPTH) -> tuple[list[tuple], Counter]:
+    """((kind, id, parent, depth, story), counts): what a document shows of its tables, from its main story on, each part once.
+
+    stories: the tables that stand in each, in order; tables_: rows of a table; rows: cells of a row; cells: the story of a cell. A
+    reference to nothing is `missing`, a second one to the same part `twice`, a row or table that keeps nothing `empty`; a table
+    nested deeper than `depth` is `too_deep`. A cell whose story does not exist or has an owner gets a virtual one, whose id
+    follows from the cell's.
+    """
+    out: list[tuple] = []
+    counts: Counter = Counter()
+    seen: set[tuple[str, str]] = {("story", main)}
+
+    def first(kind: str, ident: str | None, known) -> bool:
+        if ident is None or ident not in known:
+            counts["missing"] += 1
+        elif (kind, ident) in seen:
+            counts["twice"] += 1
+        else:
+            seen.add((kind, ident))
+            return True
+        return False
+
+    def owned(cell: str) -> str:
+        story = cells[cell]
+        if story is not None and story in stories and ("story", story) not in seen:
+            seen.add(("story", story))
+            return story
+        attempt = 0
+        while True:
+            virtual = hashlib.sha256(f"{cell}|story|{attempt}".encode()).hexdigest()[:32]
+            if virtual not in stories and ("story", virtual) not in seen:
+                seen.add(("story", virtual))
+                counts["virtual_story"] += 1
+                return virtual
+            attempt += 1
+
+    def show(story: str, level: int) -> list[tuple]:
+        shown: list[tuple] = []
+        for table in stories.get(story, []):
+            if level > depth:
+                counts["too_deep"] += 1
+            elif first("table", table, tables_):
+                kept: list[tuple] = []
+                for row in tables_[table]:
+                    if not first("row", row, rows):
+                        continue
+                    own: list[tuple] = []
+                    for cell in rows[row]:
+                        if first("cell", cell, cells):
+                            inner = owned(cell)
+                            own += [("cell", cell, row, level, inner), *show(inner, level + 1)]
+                    if own:
+                        kept += [("row", row, table, level, None), *own]
+                    else:
+                        counts["empty"] += 1
+                if kept:
+                    shown += [("table", table, story, level, None), *kept]
+                else:
+                    counts["empty"] += 1
+        return shown
+
+    out = show(main, 1)
+    return out, counts
+
+
+def nested_tables(parts: DataFrame, depth: int = MAX_TABLE_DEPTH) -> DataFrame:
+    """(doc, kind, id, parent, depth, story) of the tables, rows and cells that a document shows, and a row (doc, kind `count:<rule>`, id n) for each rule.
+
+    parts has (doc, kind, id, children, story): kind main, story (children: its tables), table (rows), row (cells) or cell (story).
+    A document's parts meet in one task; documents are independent.
+    """
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["doc", "kind", "id", "children", "story"]).to_pylist()
+        by: dict[str, dict] = {k: {} for k in ("story", "table", "row", "cell")}
+        main = ""
+        for r in rows:
+            if r["kind"] == "main":
+                main = r["id"]
+                by["story"][r["id"]] = r["children"] or []
+            elif r["kind"] in by:
+                by[r["kind"]][r["id"]] = r["story"] if r["kind"] == "cell" else r["children"] or []
+        found, counts = normal_tables(main, by["story"], by["table"], by["row"], by["cell"], depth)
+        found += [(f"count:{rule}", str(n), None, None, None) for rule, n in sorted(counts.items())]
+        columns = list(zip(*found, strict=True)) if found else [[]] * 5
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        return pa.table({"doc": pa.array([rows[0]["doc"]] * len(found), pa.string()), **{n: pa.array(c, k) for n, c, k in zip(("kind", "id", "parent", "depth", "story"), columns, kinds, strict=True)}})
+
+    return parts.groupBy("doc").applyInArrow(run, "doc string, kind string, id string, parent string, depth long, story string")
+
+
 def normalise(runs: DataFrame, registry: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, repairs): decode, unregistered and repeated atoms, fields, comment marks, closing paragraphs.
 
-    repairs counts by document what each rule removed or added. Normalizing the result again changes nothing.
+    repairs counts by document what each rule removed or added, where the rule is applied. Normalizing the result again changes
+    nothing.
     """
     decoded = items(runs)
     kept, dropped = resolved(decoded, registry)
-    matched = paired_fields(kept)
-    closed = closed_stories(living_comments(matched, comments))
+    loose = unmatched_fields(kept)
+    matched = kept.join(loose, ["doc", "story", "pos"], "left_anti")
+    closed, put = closed_stories(living_comments(matched, comments))
     order = Window.partitionBy("doc", "story").orderBy("pos")
     out = closed.withColumn("pos", F.row_number().over(order) - 1)
-    count = lambda df, rule: df.groupBy("doc").agg(F.count("*").alias("n")).withColumn("rule", F.lit(rule))
-    fields = kept.select("doc", "story", "pos").exceptAll(matched.select("doc", "story", "pos"))
-    added = closed.select("doc", "story", "pos").exceptAll(matched.select("doc", "story", "pos"))
-    repairs = dropped.groupBy("doc", "rule").agg(F.count("*").alias("n")).select("doc", "n", "rule").unionByName(count(fields, "unmatched field")).unionByName(count(added, "closing paragraph"))
-    return out, repairs
+    rule = lambda df, name: df.select("doc", F.lit(name).alias("rule"))
+    repairs = dropped.select("doc", "rule").unionByName(rule(loose, "unmatched field")).unionByName(rule(put, "closing paragraph"))
+    return out, repairs.groupBy("doc", "rule").agg(F.count("*").alias("n")).select("doc", "n", "rule")
 
 
 def merged_runs(rows: DataFrame) -> DataFrame:
@@ -520,7 +612,6 @@ def shrink(edits: list, fails: Callable[[list], bool]) -> list:
 
 def simulated(seeds: DataFrame, steps: int) -> DataFrame:
     """(seed, applied, refused, stories, tables, broken, fingerprint) of each seed's simulation; broken lists invariants, joined."""
-    import hashlib
     from collections.abc import Iterator
 
     import pyarrow as pa

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ids as I  # noqa: E741
 from ..functions import protocol as P
 from ..functions import text as T
 from ..operators import aggregate as A
+from ..operators import model as M
 from ..operators import tagger as G
-from ..sources import packages
+from ..sources import files, packages
 from ..sources.tables import table
+from ..streaming.windows import folder
 from .base import registry
 
 QUERIES, SQL, query = registry()
@@ -89,6 +92,37 @@ def usage_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count("*").alias("documents"))
 
 
+@query("SELECT 'objects/' || substr(h, 1, 2) || '/' || substr(h, 3) AS path, n AS length, false AS problem FROM (SELECT DISTINCT sha256(text) AS h, strlen(text) AS n FROM documents)")
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts put into a content store, listed, read back and checked."""
+    root = folder(spark).replace("stream-", "store-")
+    docs = table(spark, sf, "documents").select(F.col("text").cast("binary").alias("content"))
+    files.put_objects(docs, root).where("written").count()  # writes the objects
+    expected = docs.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size")).distinct()
+    listed = files.list_store(spark, root).select(F.regexp_extract("path", "(objects/.*)$", 1).alias("path"), "length")
+    wrong = files.store_problems(spark, root, expected).select(I.object_key(F.col("sha256")).alias("path"), F.lit(True).alias("p"))
+    return listed.join(wrong, "path", "left").select("path", "length", F.coalesce("p", F.lit(False)).alias("problem"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc, o_orderkey AS id FROM orders), l AS (SELECT l_orderkey AS id, l_partkey AS part FROM lineitem),
+t AS (SELECT o.doc, o.id, count(l.part) AS n FROM o LEFT JOIN l USING (id) GROUP BY 1, 2), d AS (SELECT doc, count(*) FILTER (n > 0) AS tables, count(*) FILTER (n = 0) AS empty, sum(n)::BIGINT AS rows FROM t GROUP BY doc)
+SELECT doc::VARCHAR AS doc, tables, rows, rows AS cells, empty, rows AS virtual FROM d""")
+def nested_table_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of documents and what of them shows. Stand-in: a customer's orders as tables, items as rows of one cell without a story."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc"), F.col("o_orderkey").cast("string").alias("id"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("order"), F.monotonically_increasing_id().cast("string").alias("row"))
+    by = lines.groupBy("order").agg(F.collect_list("row").alias("children"))
+    none, no_text = F.lit(None).cast("array<string>").alias("children"), F.lit(None).cast("string").alias("story")
+    tables_ = orders.join(by, orders["id"] == by["order"], "left").select("doc", F.lit("table").alias("kind"), "id", "children", no_text)
+    rows = tables_.select("doc", F.explode("children").alias("id"))
+    parts = tables_.unionByName(rows.select("doc", F.lit("row").alias("kind"), "id", F.array(F.concat(F.lit("c"), "id")).alias("children"), no_text))
+    parts = parts.unionByName(rows.select("doc", F.lit("cell").alias("kind"), F.concat(F.lit("c"), "id").alias("id"), none, no_text))
+    parts = parts.unionByName(orders.groupBy("doc").agg(F.collect_list("id").alias("children")).select("doc", F.lit("main").alias("kind"), F.lit("main").alias("id"), "children", no_text))
+    shown, count = M.nested_tables(parts), lambda k: F.count_if(F.col("kind") == k)
+    rule = lambda k: F.coalesce(F.max(F.when(F.col("kind") == f"count:{k}", F.col("id").cast("long"))), F.lit(0))
+    return shown.groupBy("doc").agg(count("table").alias("tables"), count("row").alias("rows"), count("cell").alias("cells"), rule("empty").alias("empty"), rule("virtual_story").alias("virtual"))
+
+
 #: Messages by the last digit of an event: well formed ones, and each way of being wrong.
 _MESSAGES = [
     ('{"v":1,"id":#,"type":"open","payload":{"a":[1,{"b":2}]}}', "open", None), ('{"v":1,"id":#,"type":"close"}', "close", None), ('{"v":2,"id":#,"type":"open"}', None, "version"), ('{"v":1,"v":1,"id":#,"type":"open"}', None, "invalid"),

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,25 +163,45 @@ def store_problems(spark: SparkSession, root: str, expected: DataFrame) -> DataF
     return both.select("sha256", problem.alias("problem")).where("problem is not null")
 
 
+def store_filesystem(root: str):
+    """(file system, path) of a store's root: a path, or a URI of file, hdfs or s3."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[5:].lstrip("/")
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
 def put_objects(objects: DataFrame, root: str) -> DataFrame:
-    """Write (content) into a store on a shared file system and give (sha256, written). Whole or not at all: a new file is renamed into place."""
+    """Write (content) into a store that all executors share, by path or URI, and give (sha256, written); null content is left out.
+
+    An object appears whole or not at all: a new file is renamed into place, and object stores show a finished upload only. The
+    same content written twice, by a task that runs again or by two at once, is the same object.
+    """
     import pyarrow as pa
 
     def write(batches):
         import hashlib
 
+        from pyarrow import fs
+
+        files, base = store_filesystem(root)
         for batch in batches:
             done = []
             for content in batch.column(0).to_pylist():
+                if content is None:
+                    continue
                 digest = hashlib.sha256(content).hexdigest()
-                target = Path(root) / "objects" / digest[:2] / digest[2:]
-                new = not target.exists()
+                folder, target = f"{base}/objects/{digest[:2]}", f"{base}/objects/{digest[:2]}/{digest[2:]}"
+                new = files.get_file_info(target).type == fs.FileType.NotFound
                 if new:
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    handle, name = tempfile.mkstemp(dir=target.parent)
-                    with os.fdopen(handle, "wb") as out:
+                    files.create_dir(folder, recursive=True)
+                    direct = isinstance(files, fs.S3FileSystem)
+                    place = target if direct else f"{base}/new-{uuid.uuid4().hex}"
+                    with files.open_output_stream(place, compression=None) as out:
                         out.write(content)
-                    os.replace(name, target)
+                    if not direct:
+                        files.move(place, target)
                 done.append((digest, new))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done]), pa.array([n for _, n in done])], ["sha256", "written"])
@@ -191,6 +209,35 @@ def put_objects(objects: DataFrame, root: str) -> DataFrame:
     return objects.select("content").mapInArrow(write, "sha256 string, written boolean")
 
 
+def write_layouts(lines: DataFrame, glyphs: DataFrame, path: str) -> None:
+    """Layouts as JSON lines, the form that read_layouts reads: one document a line, lengths in points to three decimals, nulls left out.
+
+    A document's lines and glyphs meet by equi-joins and become one row, as its layout is one object.
+    """
+    points = lambda c: (F.col(c) / F.lit(1000)).alias(c)
+    glyph = F.struct("idx", "offset", "length", points("x"), points("y"), points("advance"), "font", points("size"), "gid")
+    by_line = glyphs.groupBy("doc", "source", "page", "line").agg(F.transform(F.array_sort(F.collect_list(glyph)), lambda g: g.dropFields("idx")).alias("glyphs"))
+    joined = lines.drop("size").join(by_line, ["doc", "source", "page", "line"], "left")
+    line = F.struct("line", "start", "end", "text", "direction", points("baseline"), "glyphs")
+    pages = joined.groupBy("doc", "source", "page").agg(F.max("page_count").alias("n"), F.transform(F.array_sort(F.collect_list(line), lambda a, b: F.when(a["line"] < b["line"], -1).otherwise(1)), lambda x: x.dropFields("line")).alias("lines"))
+    docs = pages.groupBy("doc", "source").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("page", F.struct("lines")))).alias("by"))
+    empty = F.struct(F.filter(F.map_values("by")[0]["lines"], lambda x: F.lit(False)).alias("lines"))
+    whole = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("by", i), empty))
+    docs.select(F.to_json(F.struct("doc", "source", whole.alias("pages"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_recordings(entries: DataFrame, path: str) -> None:
+    """Session recordings (session, seq, t_ms, kind, text, base64, width, height, digest), one JSON object a line and session, entries in order."""
+    entry = F.struct("seq", "t_ms", "kind", "text", "base64", "width", "height", "digest")
+    rows = entries.groupBy("session").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["seq"] < b["seq"], -1).otherwise(1)).alias("entries"))
+    rows.select(F.to_json(F.struct(F.lit("recording").alias("format"), "session", "entries")).alias("value")).write.mode("overwrite").text(path)
+
+
+def stats_json(tables: dict[str, DataFrame]) -> str:
+    """Statistics as one JSON object: an array of rows for each table, which are as long as there are names, not documents."""
+    return json.dumps({name: [json.loads(r["j"]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).collect()] for name, df in tables.items()}, indent=2, ensure_ascii=False) + "\n"
+
+
 def markdown_report(stats: DataFrame, title: str) -> str:
     """A table of (name, documents, share), which is as long as there are names."""
     rows = stats.select(T.markdown_escape(F.col("name")).alias("name"), "documents", "share").collect()

@@ -218,3 +218,17 @@ def test_people_and_nested_paragraphs(spark):
     authors, providers = packages.people(packages.xml_events(parts))
     assert [tuple(r) for r in authors.collect()] == [("d", 2)] and {tuple(r) for r in providers.collect()} == {("d", "None", 1), ("d", "AD", 1)}
     assert packages.paragraphs(parts).count() == 0
+
+
+def test_nested_tables_and_virtual_stories():
+    stories = {"main": ["t1", "t2", "t1", "gone"], "s1": ["t3"], "s3": []}
+    found, counts = M.normal_tables("main", stories, {"t1": ["r1", "r2", "r1", None], "t2": ["r3"], "t3": ["r4"]}, {"r1": ["c1", "c2"], "r2": [], "r3": ["c1", "nothing"], "r4": ["c4"]}, {"c1": "s1", "c2": "s1", "c4": "s3"})
+    kept = [(k, i, p, d) for k, i, p, d, _ in found]
+    assert kept == [("table", "t1", "main", 1), ("row", "r1", "t1", 1), ("cell", "c1", "r1", 1), ("table", "t3", "s1", 2), ("row", "r4", "t3", 2), ("cell", "c4", "r4", 2), ("cell", "c2", "r1", 1)]
+    assert counts == {"twice": 3, "missing": 3, "empty": 3, "virtual_story": 1}
+    virtual = next(s for k, i, _, _, s in found if i == "c2")
+    assert len(virtual) == 32 and virtual not in stories
+    deep = M.normal_tables("s0", {f"s{i}": [f"t{i}"] for i in range(40)}, {f"t{i}": [f"r{i}"] for i in range(40)}, {f"r{i}": [f"c{i}"] for i in range(40)}, {f"c{i}": f"s{i + 1}" for i in range(40)})
+    assert max(d for *_, d, _ in deep[0]) == 32 and deep[1] == {"too_deep": 1}
+    loop = M.normal_tables("a", {"a": ["t"], "b": ["t"]}, {"t": ["r"]}, {"r": ["c"]}, {"c": "a"})
+    assert [x[1] for x in loop[0]] == ["t", "r", "c"] and loop[1] == {"virtual_story": 1}  # the main story has no cell for an owner

@@ -197,3 +197,29 @@ def test_summary(spark, tmp_path):
     documents, problems = files.read_summary(spark, f"{tmp_path}/s.json")
     assert {(r.sha256, r.problem) for r in problems.collect()} == {(None, "version"), ("a", "twice"), ("b", "ranges"), ("c", "ranges")}
     assert [r.m2 for r in documents.where("sha256 = 'a'").orderBy(F.desc(F.size("m2"))).collect()][0] == [0, 1, 3]
+
+
+def test_layouts_and_recordings_are_written_and_read_back(spark, tmp_path):
+    layout = {"doc": "d", "source": "pdf", "pages": [{"lines": [{"start": 0, "end": 2, "text": "ab", "direction": "ltr", "baseline": 100.5, "glyphs": [{"offset": 0, "length": 1, "x": 1.25, "y": 100.5, "advance": 6.0, "font": 0, "size": 10.0, "gid": 3}, {"offset": 1, "length": 1, "x": 7.25, "y": 100.5, "advance": 6.0, "font": 0, "size": 10.0}]}, {"start": 3, "end": 3, "text": ""}]}, {"lines": []}, {"lines": [{"start": 4, "end": 5, "text": "c"}]}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(layout) + "\n")
+    lines, glyphs = files.read_layouts(spark, str(tmp_path / "in"))
+    files.write_layouts(lines, glyphs, str(tmp_path / "out"))
+    again = files.read_layouts(spark, str(tmp_path / "out"))
+    for a, b in zip((lines, glyphs), again, strict=True):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    rows = [("s1", 1, 10, "message", "hi", None, None, None, "x"), ("s1", 0, 5, "tile", None, "AA==", 2, 3, "y"), ("s2", 0, 1, "message", "z", None, None, None, "q")]
+    files.write_recordings(spark.createDataFrame(rows, "session string, seq long, t_ms long, kind string, text string, base64 string, width int, height int, digest string").repartition(2, "session"), str(tmp_path / "rec"))
+    texts = [json.loads(x) for p in (tmp_path / "rec").glob("part-*") for x in p.read_text().splitlines()]
+    assert {(t["session"], tuple(e["seq"] for e in t["entries"])) for t in texts} == {("s1", (0, 1)), ("s2", (0,))}
+    stats = json.loads(files.stats_json({"by": spark.createDataFrame([("a", 1), ("b", None)], "name string, documents int")}))
+    assert stats == {"by": [{"name": "a", "documents": 1}, {"name": "b", "documents": None}]}
+
+
+def test_objects_by_uri(spark, tmp_path):
+    data = spark.createDataFrame([(b"one",), (b"two",), (b"one",), (None,)], "content binary").coalesce(1)
+    for root in (f"file://{tmp_path}/a", str(tmp_path / "b")):
+        got = [tuple(r) for r in files.put_objects(data, root).collect()]
+        assert len(got) == 3 and sum(n for _, n in got) == 2
+        assert {r.sha256 for r in files.read_store(spark, root).collect()} == {hashlib.sha256(x).hexdigest() for x in (b"one", b"two")}
+        assert not any(n for _, n in files.put_objects(data, root).collect())
