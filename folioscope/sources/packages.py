@@ -69,14 +69,18 @@ def read_parts(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def write_parts(parts: dict[str, bytes]) -> bytes:
-    """A package of these parts: the same parts give the same bytes, content types first, no times of today."""
+    """A package of these parts: the same parts give the same bytes, content types first, no times of today.
+
+    Parts that would expand more than read_parts allows are stored as they are.
+    """
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
         for name in sorted(parts, key=lambda n: (n != "[Content_Types].xml", n)):
             if name.startswith("/") or "\\" in name or any(s in ("", ".", "..") for s in name.split("/")):
                 raise Refused("a name outside the package")
             entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-            entry.compress_type, entry.external_attr, entry.create_system = zipfile.ZIP_DEFLATED, 0, 0
+            expands = len(parts[name]) > MOST_RATIO // 2 * len(zlib.compress(parts[name]))
+            entry.compress_type, entry.external_attr, entry.create_system = zipfile.ZIP_STORED if expands else zipfile.ZIP_DEFLATED, 0, 0
             archive.writestr(entry, parts[name])
     return out.getvalue()
 

@@ -114,6 +114,7 @@ def test_packages_are_written_and_read_back(spark):
     rows = spark.createDataFrame([(1, "<a/>", b"x"), (2, "<b/>", None), (None, None, None)], "k int, text string, data binary")
     made = packages.packages_of(rows, "k", {"a/b.xml": "text", "c.bin": "data"}).collect()
     assert [dict(packages.read_parts(r.content)) for r in made] == [{"a/b.xml": b"<a/>", "c.bin": b"x"}, {"a/b.xml": b"<b/>"}, {}]
+    assert dict(packages.read_parts(packages.write_parts({"a": b"x" * 5_000_000}))) == {"a": b"x" * 5_000_000}
     assert packages.write_parts({"b": b"1", "a": b"2"}) == packages.write_parts({"a": b"2", "b": b"1"})
 
 
