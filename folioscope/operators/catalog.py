@@ -202,6 +202,34 @@ def violations(corpus: DataFrame, places: DataFrame, sources: DataFrame) -> Data
     return own.unionByName(between).unionByName(shared).unionByName(twice)
 
 
+def _broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, rule) of each rule whose condition holds; unknown is not broken. One scan."""
+    found = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in rules.items())))
+    return rows.select(key, F.explode(found).alias("rule"))
+
+
+def source_violations(sources: DataFrame) -> DataFrame:
+    """(name, rule) of the sources of a manifest: name, url, revision, license, copyright, license_texts, notes."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    named = F.col("license") != "NOASSERTION"
+    return _broken(sources, "name", {
+        "name": ~T.is_source_name(F.col("name")), "url": ~F.coalesce(F.col("url").startswith("https://"), F.lit(False)), "no revision": blank("revision"), "license": named & ~F.col("license").isin(*PUBLIC_LICENSES),
+        "no copyright": named & blank("copyright"), "no license text": named & (F.coalesce(F.size("license_texts"), F.lit(0)) < 1), "license text path": F.exists("license_texts", lambda t: ~T.is_relative_path(t["path"])), "empty notes": F.trim("notes") == "",
+    })
+
+
+def scan_violations(documents: DataFrame, version: int, known: Sequence[str], undetectable: Sequence[str] = ()) -> DataFrame:
+    """(sha256, rule) of what a manifest's documents say of their scan (see sources.files.SCAN), ground truth and notes."""
+    scan = lambda c: F.col(f"scan.{c}")
+    unsorted = lambda c: c != F.array_sort(F.array_distinct(c))
+    truth, build = F.col("ground_truth.status"), F.col("ground_truth.word_build")
+    return _broken(documents, "sha256", {
+        "tagger version": scan("tagger") != version, "unknown feature": F.exists(scan("features"), lambda f: ~f.isin(*known)), "undetectable feature": F.exists(scan("features"), lambda f: f.isin(*undetectable)) if undetectable else F.lit(False),
+        **{f"{n} not sorted": unsorted(scan(n)) for n in ("features", "fonts", "languages", "notes")}, "options not sorted": unsorted(scan("compatibility.options")), "script without characters": F.exists(F.map_values(scan("scripts")), lambda n: n <= 0),
+        "ground truth build": (truth == "produced") != build.isNotNull(), "empty notes": F.trim("notes") == "",
+    })
+
+
 def new_problems(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a change would break that was not broken before."""
     return after.exceptAll(before)

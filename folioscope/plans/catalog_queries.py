@@ -149,6 +149,18 @@ def source_license_check(spark: SparkSession, sf: str) -> DataFrame:
     return C.violations(catalogue(spark, sf), places(spark, sf), sources.withColumn("license", license_of(F.col("name"))))
 
 
+@query("SELECT s_name AS name, unnest(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'name' END, CASE WHEN s_suppkey % 3 = 0 THEN 'url' END, CASE WHEN s_suppkey % 5 = 0 THEN 'no revision' END, CASE WHEN s_suppkey % 7 = 0 THEN 'license' END, CASE WHEN s_suppkey % 11 = 0 THEN 'no copyright' END, CASE WHEN s_suppkey % 13 = 0 THEN 'no license text' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'supplier-' || s_suppkey END AS n FROM supplier) t(s_suppkey, old, s_nationkey, s_acctbal, s_name)")
+def source_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """V1: rules that sources of a manifest break. Stand-in: suppliers, each fault by a remainder of the key."""
+    k = F.col("s_suppkey")
+    texts = F.array(F.struct(F.lit("LICENSE").alias("path"), F.lit("0").alias("sha256")))
+    rows = table(spark, sf, "supplier").select(
+        F.when(k % 2 == 0, F.col("s_name")).otherwise(F.concat(F.lit("supplier-"), k.cast("string"))).alias("name"), F.when(k % 3 == 0, "http://x.org").otherwise("https://x.org").alias("url"), F.when(k % 5 == 0, " ").otherwise("r1").alias("revision"),
+        F.when(k % 7 == 0, "Other").otherwise("MIT").alias("license"), F.when(k % 11 != 0, "c").alias("copyright"), F.when(k % 13 != 0, texts).alias("license_texts"), F.lit(None).cast("string").alias("notes"),
+    )
+    return C.source_violations(rows)
+
+
 @query("SELECT sha256(text) AS sha256, strlen(any_value(text))::BIGINT AS size, arg_min(source, doc_id) AS source, count(*) AS places FROM documents GROUP BY 1")
 def dedup_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     """One document for each content, places appended in order of arrival."""

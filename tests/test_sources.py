@@ -224,3 +224,19 @@ def test_objects_by_uri(spark, tmp_path):
         assert len(got) == 3 and sum(n for _, n in got) == 2
         assert {r.sha256 for r in files.read_store(spark, root).collect()} == {hashlib.sha256(x).hexdigest() for x in (b"one", b"two")}
         assert not any(n for _, n in files.put_objects(data, root).collect())
+
+
+def test_rules_of_scans_and_sources(spark):
+    from folioscope.operators import catalog as C
+
+    scan = {"tagger": 3, "features": ["A", "B"], "fonts": ["F"], "languages": [], "scripts": {"Latin": 1}, "compatibility": {"mode": 15, "options": []}, "application": None, "pages_hint": None, "notes": []}
+    truth = {"status": "none", "word_build": None}
+    rows = [("good", scan, truth, None), ("raw", None, truth, None), ("old", scan | {"tagger": 2}, truth, None), ("odd", scan | {"features": ["A", "Z"]}, truth, None), ("never", scan | {"features": ["N"]}, truth, " "), ("order", scan | {"fonts": ["b", "a"], "languages": ["x", "x"]}, truth, None), ("script", scan | {"scripts": {"Latin": 0}}, truth, None), ("built", scan, {"status": "produced", "word_build": None}, None), ("early", scan, {"status": "none", "word_build": "16"}, None)]
+    df = spark.createDataFrame(rows, f"sha256 string, scan {files.SCAN}, ground_truth struct<status:string,word_build:string>, notes string")
+    got = {(r.sha256, r.rule) for r in C.scan_violations(df, 3, ["A", "B", "N"], ["N"]).collect()}
+    assert got == {("old", "tagger version"), ("odd", "unknown feature"), ("never", "undetectable feature"), ("never", "empty notes"), ("order", "fonts not sorted"), ("order", "languages not sorted"), ("script", "script without characters"), ("built", "ground truth build"), ("early", "ground truth build")}
+    text = [{"path": "L", "sha256": "0"}]
+    sources = [("ok", "https://x", "1", "MIT", "c", text, None), ("none", "https://x", "1", "NOASSERTION", None, None, None), ("Bad Name", "ftp://x", "", "Odd", " ", [], " "), ("path", "https://x", "1", "MIT", "c", [{"path": "../L", "sha256": "0"}], None)]
+    df = spark.createDataFrame(sources, "name string, url string, revision string, license string, copyright string, license_texts array<struct<path:string,sha256:string>>, notes string")
+    got = {(r.name, r.rule) for r in C.source_violations(df).collect()}
+    assert got == {("Bad Name", r) for r in ("name", "url", "no revision", "license", "no copyright", "no license text", "empty notes")} | {("path", "license text path")}
