@@ -232,3 +232,18 @@ def test_nested_tables_and_virtual_stories():
     assert max(d for *_, d, _ in deep[0]) == 32 and deep[1] == {"too_deep": 1}
     loop = M.normal_tables("a", {"a": ["t"], "b": ["t"]}, {"t": ["r"]}, {"r": ["c"]}, {"c": "a"})
     assert [x[1] for x in loop[0]] == ["t", "r", "c"] and loop[1] == {"virtual_story": 1}  # the main story has no cell for an owner
+
+
+def test_markers_hold_their_keys(spark):
+    """Each alternative of each pattern, spelled out, is found: what is searched for first is in all of them."""
+    samples = {
+        "rights": ["Copyright 2020", "all, All rights reserved.", "All Rights Reserved", "Alle Rechte", "Todos los derechos", "Tous droits", "© x", "(c) 1999", "(C)2001"],
+        "confidential": ["confidential", "Confidential", "CONFIDENTIAL", "do not distribute", "Do Not Distribute", "Internal use only", "Proprietary", "Trade secret"],
+        "license": ["AGPL", "Apache License", "BSD", "CC-BY", "CC BY", "Creative Commons", "GNU", "LGPL", "GPL", "MIT License", "Mozilla Public", "Public License", "ShareAlike"],
+        "news or pictures": ["AFP", "Associated Press", "Getty", "Reuters", "Shutterstock", "Wikimedia", "Wikipedia", "iStock"],
+        "publisher": ["Cambridge University Press", "Elsevier", "Hachette", "Macmillan", "McGraw-Hill", "Oxford University Press", "Pearson", "Penguin", "Springer", "Wiley"],
+        "standard": ["ANSI", "DIN EN", "ECMA-376", "IEEE Std", "ISO/IEC 29500", "ITU-T", "RFC 5321"],
+    }
+    rows = [(k, t) for k, texts in samples.items() for t in texts] + [(None, "nothing of note, rightsx"), (None, None)]
+    got = spark.createDataFrame(rows, "want string, text string").select("want", "text", inspection.marker_kinds(F.col("text")).alias("k")).collect()
+    assert all((r.want in r.k) if r.want else not r.k for r in got), [r for r in got if r.want and r.want not in r.k]
