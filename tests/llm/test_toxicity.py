@@ -131,3 +131,73 @@ def test_long_labelled_texts_are_not_learnt_from(spark, world, monkeypatch):
     more = labels.unionByName(spark.createDataFrame([(7001, 0), (7002, 1)], labels.schema))
     a = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert a == {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs.unionByName(long), more)).collect()}
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows of both kinds, and longer ones, than the bounded sample of before: the known features are those of all fitted rows."""
+    letters = "abcdefghij"
+    rows = [(i, f"w{letters[i // 8 % 10]}{letters[i // 80 % 10]}{letters[i // 800 % 10]}q {'vermin' if i % 2 else 'lamp'}", "en") for i in range(14_000)]
+    rows += [(20_000 + i, "zyxwv " + "lamp " * 5000, "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "if(doc_id < 20000 and doc_id % 2 = 1, 1, 0) toxic")
+    fitted = {r[0] for r in docs.where("crc32(string(doc_id)) % 5 <> 0").select("doc_id").collect()}
+    seen = Counter()
+    for i, text, _ in rows:
+        if i in fitted:
+            seen.update(set(toxicity.buckets(sorted(set(toxicity.words_of(text))))[1].tolist()))
+    model = toxicity.train(docs, labels)
+    assert set(model.row.nonzero()[0].tolist()) == {b for b, n in seen.items() if n >= toxicity.LEAST_DOCUMENTS}
+    assert toxicity.judge(model, ["vermin", "lamp", "zyxwv"], [None] * 3)[1].tolist() == [True, False, False]
+
+
+def test_partitions_do_not_matter(world):
+    docs, labels, _ = world
+    a, b = (toxicity.train(d, labels) for d in (docs, docs.repartition(7, "text")))
+    assert a.thresholds == b.thresholds and a.shift == b.shift and (a.embedding == b.embedding).all()
+    assert all((x == y).all() for x, y in zip([*a.filters, *a.bias, a.out], [*b.filters, *b.bias, b.out], strict=True))
+
+
+def test_gradients_against_differences(monkeypatch):
+    import copy
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["", "lamp", *(" ".join(rng.choice(["vermin", "lamp", "tree", "zorgle", "house"], n)) for n in (3, 9, 40))]
+    batch = pa.record_batch([pa.array(texts), pa.array([0, 1, 1, 0, 1]), pa.array(["en"] * 5)], ["text", "label", "lang"])
+    (chunk,) = toxicity.Chunk.of(toxicity.chunks(iter([batch])))
+    row = np.zeros(toxicity.BUCKETS, np.int32)
+    known = np.unique(chunk.bucket)
+    row[known] = np.arange(1, len(known) + 1)
+    embedding = rng.normal(0, 0.5, (len(known) + 1, toxicity.SIZE))
+    embedding[0] = 0
+    filters = [rng.normal(0, 0.5, (w, toxicity.SIZE, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    model = toxicity.Model(row, embedding, filters, [np.full(toxicity.FILTERS, 0.1) for _ in filters], rng.normal(0, 0.5, toxicity.FILTERS * len(filters)), 0.2)
+
+    def sums(model):
+        features, dense = np.zeros(embedding.shape, np.int64), np.zeros(sum(f.size for f in filters) + 2 * len(model.out) + 2, np.int64)
+        chunk.gradient(model, (0.1, 0.2), features, dense)
+        return features * toxicity.UNIT, dense * toxicity.UNIT
+
+    features, dense = sums(model)
+    for word in (1, len(known) // 2):
+        more, less = copy.deepcopy(model), copy.deepcopy(model)
+        more.embedding[word, 2] += 1e-3
+        less.embedding[word, 2] -= 1e-3
+        assert abs((sums(more)[1][-1] - sums(less)[1][-1]) / 2e-3 - features[word, 2]) < 1e-3
+    at = 0
+    for k, f in enumerate(filters):
+        more, less = copy.deepcopy(model), copy.deepcopy(model)
+        more.filters[k][-1, 3, 5] += 1e-3
+        less.filters[k][-1, 3, 5] -= 1e-3
+        place = at + np.ravel_multi_index((len(f) - 1, 3, 5), f.shape)
+        assert abs((sums(more)[1][-1] - sums(less)[1][-1]) / 2e-3 - dense[place]) < 1e-3
+        at += f.size
+
+    assert np.allclose(chunk.forward(model)[0], model.logits(texts), atol=1e-4)
+    whole = chunk.forward(model)
+    monkeypatch.setattr(toxicity, "PIECE", 3)
+    assert (chunk.forward(model)[0] == whole[0]).all()
+    (again,) = toxicity.Chunk.of(toxicity.chunks(iter([batch])))
+    assert (again.ids == chunk.ids).all()
