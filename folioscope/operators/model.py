@@ -556,39 +556,61 @@ class Document:
 WEIGHTS = {"insert_text": 30, "delete": 12, "format": 10, "split_paragraph": 10, "merge_paragraph": 5, "set_paragraph_property": 3, "insert_table": 4, "insert_row": 4, "delete_row": 3, "move_row": 2, "insert_column": 3, "delete_column": 2, "add_comment": 3, "insert_field": 3, "insert_object": 2, "insert_bookmark": 2, "move_range": 2}
 
 
-def plan(seed: int, steps: int) -> list[tuple[str, list[int]]]:
-    """Edits (kind, five numbers) of a seed: the same for the same seed anywhere (SplitMix64)."""
-    state, out, kinds = seed & (1 << 64) - 1, [], [k for k, n in WEIGHTS.items() for _ in range(n)]
+def _pick(idents: list[str], number: int) -> str:
+    """Identifiers are numbered as they are made and kept in that order, which is their own."""
+    return idents[number % len(idents)]
+
+
+#: Each edit's arguments, from what simulate() picked and its numbers; of an edit only its own are worked out.
+ARGUMENTS: dict[str, Callable[..., tuple]] = {
+    "insert_text": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, b % size, "abcdefgh"[: 1 + c % 8]),
+    "delete": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, to),
+    "format": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, to, ("r:b", "link", "r:i")[d % 3], e % 4 > 0),
+    "split_paragraph": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at),
+    "merge_paragraph": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, next((i for i in range(at, size) if doc.stories[story][i][0] == PARAGRAPH), size)),
+    "set_paragraph_property": lambda doc, story, table, size, at, to, a, b, c, d, e: (_pick([k for k, v in doc.entities.items() if v["kind"] == "paragraph"], b), "align", ("left", "right")[c % 2]),
+    "insert_table": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, 1 + c % 3, 1 + d % 3),
+    "insert_row": lambda doc, story, table, size, at, to, a, b, c, d, e: (table, b % 5),
+    "delete_row": lambda doc, story, table, size, at, to, a, b, c, d, e: (table, b % 5),
+    "move_row": lambda doc, story, table, size, at, to, a, b, c, d, e: (table, b % 4, c % 4),
+    "insert_column": lambda doc, story, table, size, at, to, a, b, c, d, e: (table, b % 5),
+    "delete_column": lambda doc, story, table, size, at, to, a, b, c, d, e: (table, b % 5),
+    "add_comment": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, to, "note"),
+    "insert_field": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, "PAGE", "1"),
+    "insert_object": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at),
+    "insert_bookmark": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, to, "name"),
+    "move_range": lambda doc, story, table, size, at, to, a, b, c, d, e: (story, at, to, (other := _pick(list(doc.stories), d)), e % len(doc.stories[other])),
+}
+
+
+def plans(seeds: list[int], steps: int) -> list[list[tuple[str, list[int]]]]:
+    """Edits (kind, five numbers) of each seed: the same for the same seed anywhere (SplitMix64), drawn for all seeds at once."""
+    import numpy as np
+
+    kinds = [k for k, n in WEIGHTS.items() for _ in range(n)]
+    start = np.array([s & (1 << 64) - 1 for s in seeds], np.uint64)[:, None]
+    z = start + np.arange(1, 6 * steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    draws = (z ^ z >> np.uint64(31)).reshape(len(seeds), steps, 6).tolist()
+    return [[(kinds[n[0] % len(kinds)], n[1:]) for n in rows] for rows in draws]
 
-    def draw() -> int:
-        nonlocal state
-        state = state + 0x9E3779B97F4A7C15 & (1 << 64) - 1
-        z = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-        return z ^ z >> 31
 
-    for _ in range(steps):
-        out.append((kinds[draw() % len(kinds)], [draw() for _ in range(5)]))
-    return out
+def plan(seed: int, steps: int) -> list[tuple[str, list[int]]]:
+    """The edits of one seed."""
+    return plans([seed], steps)[0]
 
 
 def simulate(edits: list[tuple[str, list[int]]]) -> tuple[Document, Counter]:
     """(document, stats) after the edits: numbers pick stories, places and tables; stats count applied and refused edits by reason."""
     doc, stats = Document(), Counter()
     for kind, (a, b, c, d, e) in edits:
-        stories, tables = sorted(doc.stories), sorted(doc.tables)
-        story = stories[a % len(stories)]
+        story = _pick(list(doc.stories), a)
         size = len(doc.stories[story])
         at, to = sorted((b % size, c % size))
-        table = tables[a % len(tables)] if tables else ""
-        paragraphs = sorted(k for k, v in doc.entities.items() if v["kind"] == "paragraph")
-        calls: dict[str, tuple] = {
-            "insert_text": (story, b % size, "abcdefgh"[: 1 + c % 8]), "delete": (story, at, to), "format": (story, at, to, ("r:b", "link", "r:i")[d % 3], e % 4 > 0), "split_paragraph": (story, at), "merge_paragraph": (story, next((i for i in range(at, size) if doc.stories[story][i][0] == PARAGRAPH), size)),
-            "set_paragraph_property": (paragraphs[b % len(paragraphs)], "align", ("left", "right")[c % 2]), "insert_table": (story, at, 1 + c % 3, 1 + d % 3), "insert_row": (table, b % 5), "delete_row": (table, b % 5), "move_row": (table, b % 4, c % 4), "insert_column": (table, b % 5), "delete_column": (table, b % 5),
-            "add_comment": (story, at, to, "note"), "insert_field": (story, at, "PAGE", "1"), "insert_object": (story, at), "insert_bookmark": (story, at, to, "name"), "move_range": (story, at, to, stories[d % len(stories)], e % len(doc.stories[stories[d % len(stories)]])),
-        }
+        table = _pick(list(doc.tables), a) if doc.tables else ""
         try:
-            getattr(doc, kind)(*calls[kind])
+            getattr(doc, kind)(*ARGUMENTS[kind](doc, story, table, size, at, to, a, b, c, d, e))
             stats["applied"] += 1
         except Refusal as refused:
             stats[str(refused)] += 1
@@ -611,19 +633,24 @@ def shrink(edits: list, fails: Callable[[list], bool]) -> list:
 
 
 def simulated(seeds: DataFrame, steps: int) -> DataFrame:
-    """(seed, applied, refused, stories, tables, broken, fingerprint) of each seed's simulation; broken lists invariants, joined."""
+    """(seed, applied, refused, stories, tables, broken, fingerprint) of each seed's simulation; broken lists invariants, joined.
+
+    A seed is eight bytes and milliseconds of work, so seeds are spread over all cores, however few row groups hold them.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for seed in batch.column(0).to_pylist():
-                doc, stats = simulate(plan(seed, steps))
-                rows.append((seed, stats["applied"], steps - stats["applied"], len(doc.stories), len(doc.tables), ",".join(sorted(set(doc.broken()))), hashlib.sha256(doc.text().encode()).hexdigest()[:16]))
-            if rows:
+            for i in range(0, batch.num_rows, 256):
+                rows = []
+                seeds = batch.column(0).slice(i, 256).to_pylist()
+                for seed, edits in zip(seeds, plans(seeds, steps), strict=True):
+                    doc, stats = simulate(edits)
+                    rows.append((seed, stats["applied"], steps - stats["applied"], len(doc.stories), len(doc.tables), ",".join(sorted(set(doc.broken()))), hashlib.sha256(doc.text().encode()).hexdigest()[:16]))
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["seed", "applied", "refused", "stories", "tables", "broken", "fingerprint"])
 
-    return seeds.select(F.col("seed").cast("long")).mapInArrow(run, "seed long, applied long, refused long, stories long, tables long, broken string, fingerprint string")
+    own = seeds.select(F.col("seed").cast("long"))
+    return own.repartition(max(64, 4 * own.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "seed long, applied long, refused long, stories long, tables long, broken string, fingerprint string")

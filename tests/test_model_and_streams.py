@@ -176,6 +176,20 @@ def test_simulations_keep_the_structure():
     assert model.shrink(list(range(100)), lambda x: {3, 77} <= set(x)) == [3, 77]
 
 
+def test_simulations_are_spread_and_the_same_for_each_seed(spark):
+    from folioscope.operators import model
+
+    seeds = spark.range(300).coalesce(1).withColumnRenamed("id", "seed")
+    out = model.simulated(seeds, 30)
+    assert out.rdd.getNumPartitions() > 4
+    rows = {r.seed: r for r in out.collect()}
+    assert len(rows) == 300 and model.plans([7, -3, 299], 30) == [model.plan(7, 30), model.plan(-3, 30), model.plan(299, 30)]
+    assert model.plan(0, 1) == [("delete", [0x6E789E6AA1B965F4, 0x06C45D188009454F, 0xF88BB8A8724C81EC, 0x1B39896A51A8749B, 0x53CB9F0C747EA2EA])]  # SplitMix64 of 0
+    for seed in (0, 41, 299):
+        doc, stats = model.simulate(model.plan(seed, 30))
+        assert (rows[seed].applied, rows[seed].stories) == (stats["applied"], len(doc.stories)) and rows[seed].broken == ""
+
+
 def test_undo_and_redo(spark):
     from folioscope.streaming import oplog
 
