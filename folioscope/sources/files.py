@@ -144,15 +144,53 @@ def read_summary(spark: SparkSession, path: str, version: int = 1) -> tuple[Data
     return docs.select("sha256", "digest", "pages_match", spread("m2"), spread("m3"), spread("m7")), version_.unionByName(twice).unionByName(ranges)
 
 
+#: Bytes of content in a batch that leaves Python; one object may be more.
+BATCH_BYTES = 8 << 20
+
+
 def read_store(spark: SparkSession, root: str, most_bytes: int = 512 << 20) -> DataFrame:
-    """(sha256, path, length, content) of a content store's objects."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/objects").where(F.col("length") <= most_bytes)
-    return raw.select(I.key_digest(F.col("path")).alias("sha256"), "path", "length", "content").where("sha256 is not null")
+    """(sha256, path, length, content) of a content store's objects, empty ones too; a few at a time in a task."""
+    import pyarrow as pa
+
+    def read(batches):
+        files, base = store_filesystem(root)
+        for batch in batches:
+            at, held = 0, []
+            for i, path in enumerate(batch.column(1).to_pylist()):
+                with files.open_input_stream(f"{base}/{path[len(root) + 1 :]}", compression=None) as stream:
+                    held.append(stream.read())
+                if i + 1 == batch.num_rows or sum(map(len, held)) > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(held)).columns, pa.array(held, pa.binary())], ["sha256", "path", "length", "content"])
+                    at, held = i + 1, []
+
+    keyed = list_store(spark, root).where(F.col("length") <= most_bytes).select(I.key_digest(F.col("path")).alias("sha256"), "path", "length")
+    return keyed.where("sha256 is not null").mapInArrow(read, "sha256 string, path string, length long, content binary")
 
 
 def list_store(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every object, without reading content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").orderBy("path")
+    """(path, length) of every object, empty ones too, without reading content: each folder of objects is listed by a task.
+
+    Spark's own file sources leave out files without bytes.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def find(batches):
+        from pyarrow import fs
+
+        files, base = store_filesystem(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [i for i in files.get_file_info(fs.FileSelector(f"{base}/{folder}", recursive=True)) if i.type == fs.FileType.File and i.base_name[0] not in "._"]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{i.path.removeprefix(base).lstrip('/')}" for i in found], pa.string()), pa.array([i.size for i in found], pa.int64())], ["path", "length"])
+
+    from pyarrow import fs
+
+    files, base = store_filesystem(root)
+    inside = files.get_file_info(fs.FileSelector(f"{base}/objects", allow_not_found=True))
+    folders = [(f"objects/{i.base_name}",) for i in inside if i.type == fs.FileType.Directory]
+    rows = spark.createDataFrame(folders, StructType([StructField("folder", StringType())]))
+    return rows.repartition(max(1, min(len(folders), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(find, "path string, length long")
 
 
 def store_problems(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:

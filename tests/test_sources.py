@@ -240,3 +240,24 @@ def test_rules_of_scans_and_sources(spark):
     df = spark.createDataFrame(sources, "name string, url string, revision string, license string, copyright string, license_texts array<struct<path:string,sha256:string>>, notes string")
     got = {(r.name, r.rule) for r in C.source_violations(df).collect()}
     assert got == {("Bad Name", r) for r in ("name", "url", "no revision", "license", "no copyright", "no license text", "empty notes")} | {("path", "license text path")}
+
+
+def test_empty_and_null_texts_in_a_store(spark, sf, tmp_path):
+    import duckdb
+
+    from folioscope.plans import package_queries as P
+    from folioscope.sources import files
+
+    objects = spark.createDataFrame([(b"",), (b"x",), (None,)], "content binary")
+    root = f"file://{tmp_path}/objects-and-more"
+    assert sum(r.written for r in files.put_objects(objects, root).collect()) == 2
+    (tmp_path / "objects-and-more" / "new-left-by-a-lost-task").write_bytes(b"part")
+    assert sorted(r.length for r in files.list_store(spark, root).collect()) == [0, 1]
+    assert sorted(bytes(r.content) for r in files.read_store(spark, root).collect()) == [b"", b"x"]
+    rows = [(1, "", "en", "s", 0), (2, None, "en", "s", 0), (3, "é", "en", "s", 1), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.execute(P.SQL["store_round_trip"]).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in P.QUERIES["store_round_trip"](spark, str(tmp_path)).collect()))) == sorted(map(repr, theirs))
