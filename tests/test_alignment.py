@@ -169,3 +169,22 @@ def test_glyphs_and_rasters():
     b[1:4, 1:4] = 255
     assert AL.visual_difference(a, b)[1] == 21
     assert AL.image_comparison(a, b) == {"pixels": 25, "differing": 9, "beyond_2": 9, "beyond_64": 9, "largest": 255}
+
+
+def sides(spark, glyphs=False):
+    rows = [(d, 1, 0, i, 12_000 * i, 10_000, t) for d, texts in (("a", ["one two", "three"]), ("b", ["four"]), (None, ["five"])) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "doc string, page_count int, page int, line int, baseline long, size long, text string")
+    if glyphs:
+        lines = lines.selectExpr("*", "transform(sequence(0, length(text) - 1), i -> named_struct('offset', i, 'length', 1, 'x', i * 6000L, 'y', baseline)) AS glyphs")
+    return lines, lines.where("doc = 'a' or doc is null")
+
+
+def test_comparisons_cross_line_by_line(spark):
+    reference, candidate = sides(spark, True)
+    out = AL.compare_layouts(reference, candidate)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    got = sorted((r.doc or "", r.pages_reference, r.pages_candidate, r.m3_total, r.m3_agreed, r.m4_glyphs, r.text_matched) for r in out.collect())
+    assert got == [("", 0, 1, 0, 0, 0, 0), ("", 1, 0, 1, 0, 0, 0), ("a", 1, 1, 2, 2, 11, 11), ("b", 1, 0, 1, 0, 0, 0)]
+    many = spark.createDataFrame([(str(d), 1, 0, 0, 0, 10_000, "x" * 9) for d in range(900)], reference.columns[:7])
+    assert {(r.m3_agreed, r.text_matched) for r in AL.compare_layouts(many, many).collect()} == {(1, 9)} and AL.compare_layouts(many, many).count() == 900
