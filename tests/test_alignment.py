@@ -188,3 +188,10 @@ def test_comparisons_cross_line_by_line(spark):
     assert got == [("", 0, 1, 0, 0, 0, 0), ("", 1, 0, 1, 0, 0, 0), ("a", 1, 1, 2, 2, 11, 11), ("b", 1, 0, 1, 0, 0, 0)]
     many = spark.createDataFrame([(str(d), 1, 0, 0, 0, 10_000, "x" * 9) for d in range(900)], reference.columns[:7])
     assert {(r.m3_agreed, r.text_matched) for r in AL.compare_layouts(many, many).collect()} == {(1, 9)} and AL.compare_layouts(many, many).count() == 900
+
+
+def test_length_of_a_reference_of_many_lines(spark):
+    lines = spark.range(30_000).selectExpr("string(id % 2) AS doc", "1 AS page_count", "0 AS page", "int(id) AS line", "id * 12000 AS baseline", "10000L AS size", "'a b' AS text")
+    out = AL.compare_layouts(lines, lines)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.select("doc", "text_reference", "m3_agreed").orderBy("doc").collect()] == [("0", 30_000, 15_000), ("1", 30_000, 15_000)]
