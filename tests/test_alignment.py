@@ -195,3 +195,10 @@ def test_length_of_a_reference_of_many_lines(spark):
     out = AL.compare_layouts(lines, lines)
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert [tuple(r) for r in out.select("doc", "text_reference", "m3_agreed").orderBy("doc").collect()] == [("0", 30_000, 15_000), ("1", 30_000, 15_000)]
+
+
+def test_a_candidate_without_its_last_line_meets_all_lines_in_one_shuffle(spark):
+    reference, _ = sides(spark, True)
+    out = AL.compare_layouts(reference.where("doc = 'a'"), reference.where("doc = 'a' and line = 0"))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert [(r.m3_total, r.m3_agreed, r.m4_lines, r.m4_glyphs, r.text_reference, r.text_matched) for r in out.collect()] == [(2, 1, 1, 6, 11, 6)]
