@@ -202,3 +202,10 @@ def test_a_candidate_without_its_last_line_meets_all_lines_in_one_shuffle(spark)
     out = AL.compare_layouts(reference.where("doc = 'a'"), reference.where("doc = 'a' and line = 0"))
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert [(r.m3_total, r.m3_agreed, r.m4_lines, r.m4_glyphs, r.text_reference, r.text_matched) for r in out.collect()] == [(2, 1, 1, 6, 11, 6)]
+
+
+def test_hints_of_documents_cross_line_by_line(spark):
+    reference, candidate = sides(spark)
+    out = AL.paired(reference, candidate, lambda x, y: AL.hint_agreement(x.text, [3], y), "total long, agreed long, pages_reference long, pages_candidate long")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted((r.doc or "", r.total, r.pages_candidate) for r in out.collect()) == [("", 1, 0), ("", 1, 1), ("a", 1, 1), ("b", 1, 0)]
