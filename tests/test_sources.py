@@ -261,3 +261,19 @@ def test_empty_and_null_texts_in_a_store(spark, sf, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     theirs = con.execute(P.SQL["store_round_trip"]).fetchall()
     assert sorted(map(repr, (tuple(r) for r in P.QUERIES["store_round_trip"](spark, str(tmp_path)).collect()))) == sorted(map(repr, theirs))
+
+
+def test_packages_are_held_a_few_at_a_time():
+    import pyarrow as pa
+
+    from folioscope.operators import tagger as G
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([b"x"] * 1000)], ["doc", "content"])
+    got = list(packages.pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= packages.FEW and [v for b in got for v in b.column(0).to_pylist()] == list(range(1000))
+    for data in (b"", b"a" * 500, b"a" * 600, b"a" * 100_000, bytes(range(256)) * 300, bytes(range(256)) + b"b" * 90_000, b"c" * 90_000 + bytes(range(256))):
+        import zlib
+
+        assert packages.expands(data) == (len(data) > 50 * len(zlib.compress(data)))
+    types = b'<Types xmlns="t"><Default Extension="XML" ContentType="x"/><Override PartName="/A/b.xml" ContentType="y"/></Types>'
+    assert G.stated_types(types) == {"a/b.xml": "y", ".xml": "x"} and G.stated_types(types + b" " * 5000) == {"a/b.xml": "y", ".xml": "x"}
