@@ -176,9 +176,21 @@ def utf16_length(text: Column) -> Column:
 
 
 def script_counts(text: Column) -> Column:
-    """Map of script to number of its characters, without scripts that do not occur."""
-    pairs = F.array(*(F.struct(F.lit(s).alias("key"), F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")).cast("long").alias("value")) for s in SCRIPTS))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
+    """Map of script to number of its characters, without scripts that do not occur.
+
+    Characters are counted by the length of what is left without the others, so no array of them is made; ASCII, of which only
+    letters have a script, is left out before the scripts' own tables are asked.
+    """
+    only = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    ascii_ = only(text, "[^A-Za-z]+")
+
+    def count(rest: Column) -> Column:
+        own = lambda s: F.when(rest == "", 0).otherwise(only(rest, rf"\P{{Is{s}}}+"))
+        pairs = F.array(*(F.struct(F.lit(s).alias("key"), ((own(s) + ascii_) if s == "Latin" else own(s)).cast("long").alias("value")) for s in SCRIPTS))
+        return F.filter(pairs, lambda p: p["value"] > 0)
+
+    return F.map_from_entries(F.flatten(F.transform(F.array(beyond), count)))
 
 
 def luhn(digits: Column) -> Column:

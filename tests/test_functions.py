@@ -109,3 +109,14 @@ def test_unique_grams_reads_whole_texts(spark, tmp_path):
     text = " ".join(f"{i:05d}" for i in range(200))
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in registry.QUERIES["unique_grams"](spark, str(tmp_path)).select("d", "grams").collect()] == [(1, len(text) - 31)]
+
+
+def test_scripts_are_counted_without_arrays_of_characters(spark, tmp_path):
+    from folioscope.plans import catalog_queries as C
+
+    rows = [(1, "abc де 𠀀中é", "en", "s"), (2, "abc де 𠀀中é", "en", "s"), (3, "", "en", "s"), (4, None, "en", "s"), (5, "1 2", "en", "s"), (6, "Zß", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = C.QUERIES["script_counts"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "min(text" not in plan
+    assert [tuple(r) for r in out.collect()] == [("Latin", 2, 6), ("Cyrillic", 1, 2), ("Han", 1, 2)]
