@@ -161,27 +161,23 @@ def nested_tables(parts: DataFrame, depth: int = MAX_TABLE_DEPTH) -> DataFrame:
     """(doc, kind, id, parent, depth, story) of the tables, rows and cells that a document shows, and a row (doc, kind `count:<rule>`, id n) for each rule.
 
     parts has (doc, kind, id, children, story): kind main, story (children: its tables), table (rows), row (cells) or cell (story).
-    A document's parts meet in one task; documents are independent.
+    A document's parts meet in one task, sorted, and cross to Python with those of others; it holds one document at a time.
     """
-    import pyarrow as pa
+    from .sequence import fold_rows
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["doc", "kind", "id", "children", "story"]).to_pylist()
+    def run(rows: Iterator[tuple]) -> list[tuple]:
         by: dict[str, dict] = {k: {} for k in ("story", "table", "row", "cell")}
         main = ""
-        for r in rows:
-            if r["kind"] == "main":
-                main = r["id"]
-                by["story"][r["id"]] = r["children"] or []
-            elif r["kind"] in by:
-                by[r["kind"]][r["id"]] = r["story"] if r["kind"] == "cell" else r["children"] or []
+        for kind, ident, children, story in rows:
+            if kind == "main":
+                main = ident
+                by["story"][ident] = children or []
+            elif kind in by:
+                by[kind][ident] = story if kind == "cell" else children or []
         found, counts = normal_tables(main, by["story"], by["table"], by["row"], by["cell"], depth)
-        found += [(f"count:{rule}", str(n), None, None, None) for rule, n in sorted(counts.items())]
-        columns = list(zip(*found, strict=True)) if found else [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        return pa.table({"doc": pa.array([rows[0]["doc"]] * len(found), pa.string()), **{n: pa.array(c, k) for n, c, k in zip(("kind", "id", "parent", "depth", "story"), columns, kinds, strict=True)}})
+        return found + [(f"count:{rule}", str(n), None, None, None) for rule, n in sorted(counts.items())]
 
-    return parts.groupBy("doc").applyInArrow(run, "doc string, kind string, id string, parent string, depth long, story string")
+    return fold_rows(parts.withColumn("doc", F.col("doc").cast("string")), "doc", "kind", ["id", "children", "story"], run, "kind string, id string, parent string, depth long, story string")
 
 
 def normalise(runs: DataFrame, registry: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame]:

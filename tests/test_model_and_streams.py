@@ -337,3 +337,14 @@ def test_undo_of_a_peer_with_many_actions(spark):
             done.append(step := undone.pop())
         want.append((seq, step, len(done), len(undone)))
     assert [tuple(r)[1:] for r in out.orderBy("seq").collect()] == want
+
+
+def test_tables_of_many_documents_cross_together(spark):
+    from folioscope.operators import model
+
+    rows = [(d, *part) for d in ("a", "b", None) for part in (("main", "m", ["t"], None), ("table", "t", ["r", "none"], None), ("row", "r", ["c"], None), ("cell", "c", None, None))]
+    out = model.nested_tables(spark.createDataFrame(rows, "doc string, kind string, id string, children array<string>, story string"))
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+    got = [(r.doc, r.kind, r.id) for r in out.collect()]
+    one = [("table", "t"), ("row", "r"), ("cell", "c"), ("count:missing", "1"), ("count:virtual_story", "1")]
+    assert sorted(got, key=repr) == sorted(((d, *x) for d in ("a", "b", None) for x in one), key=repr)
